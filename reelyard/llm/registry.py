@@ -1,9 +1,10 @@
 """Queries of this subpackage, and the SQL of those that SQL expresses on whole tables."""
 
-from reelyard.llm import mixing, sharding
+from reelyard.llm import mixing, sharding, token_counts
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_query,
+    "op6_token_counts": token_counts.op6_query,
     "op8_hilbert_sharding": sharding.op8_query,
 }
 ORACLES = {}
