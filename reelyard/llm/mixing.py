@@ -95,7 +95,8 @@ def block_slots(targets: DataFrame, block: int = BLOCK_WORDS, shards: int = SHAR
     last_key = F.xxhash64(F.lit(seed), F.col("source_rank"), F.col("passes"))
     sized = sized.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), last_key, back=True))
     # two levels of ranges, dealt out in between, so that one large source doesn't make all its slots in one task
-    chunks = sized.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).where("slots > 0").repartition("source_rank", "chunk")
+    chunks = sized.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).where("slots > 0")
+    chunks = chunks.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "chunk")
     slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")))
     key = F.xxhash64(F.lit(seed), F.col("source_rank"), F.expr("slot div blocks"))
     slots = slots.withColumn("block", permuted(F.expr("slot % blocks"), F.col("blocks"), key))
@@ -124,7 +125,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     joined = ordered.alias("o").join(starts.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")), "left")
     rows = joined.select("o.doc_id", "o.size", "o.row", (F.col("o.offset") - F.col("t.source_start")).alias("at"), "t.source_rank", "t.source_size", "t.target")
     spans = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
-    met = spans.join(block_slots(targets, block, shards, seed), ["source_rank", "block"])
+    # both sides grow after their last exchange, so their sizes there must not decide on a broadcast
+    met = spans.join(block_slots(targets, block, shards, seed).hint("merge"), ["source_rank", "block"])
     low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("words"))
     pieces = met.select("shard", "source_rank", "slot", "block", "row", "doc_id", (low - F.col("at")).alias("from_word"), (high - low).alias("n_words")).where("n_words > 0")
     taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
