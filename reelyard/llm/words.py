@@ -62,6 +62,17 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def prefix_hashes(data: bytes, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """The words' hashes, then for each length the hashes of the words' leading bytes (a shorter word as a whole)."""
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends = word_spans(data) if data else (np.zeros(0, np.int64),) * 2
+    up, down = _Powers.of(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    base, back = total[starts], down[starts]
+    return [mix((total[ends] - base) * back)] + [mix((total[np.minimum(ends, starts + k)] - base) * back + np.uint64(k)) for k in lengths]
+
+
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     """A hash for each run of width words in text order; a shorter text is one shingle; no words, none."""
     n = len(words)
