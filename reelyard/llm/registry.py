@@ -1,11 +1,12 @@
 """Queries of this subpackage, and the SQL of those that SQL expresses on whole tables."""
 
-from reelyard.llm import bit_slices, decontaminate, mixing, quality, sharding, token_counts, toxicity
+from reelyard.llm import bit_slices, decontaminate, mixing, quality, sharding, token_counts, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity_severity": toxicity.op1_query,
     "op3_source_mixing": mixing.op3_query,
     "op4_bit_sliced_search": bit_slices.op4_query,
+    "op5_page_wrappers": wrappers.op5_query,
     "op6_token_counts": token_counts.op6_query,
     "op7_benchmark_leaks": decontaminate.op7_query,
     "op8_hilbert_sharding": sharding.op8_query,
