@@ -65,9 +65,13 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -50, 50)))
 
 
-def fit_cumulative(x: np.ndarray, grade: np.ndarray, grades: int, decay: float = 1e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing cuts of the cumulative-link model, by full-batch Adam on the penalised likelihood."""
-    n, d = x.shape
+def fit_cumulative(x: tuple[np.ndarray, np.ndarray, np.ndarray], d: int, grade: np.ndarray, grades: int, decay: float = 1e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing cuts of the cumulative-link model, by full-batch Adam on the penalised likelihood.
+
+    x holds the row, column (below d) and value of each feature that isn't 0.
+    """
+    at, column, value = x
+    n = len(grade)
     cut_params = np.concatenate(([1.0], np.zeros(grades - 2)))
     params = np.concatenate((np.zeros(d), cut_params))
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -75,7 +79,7 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, grades: int, decay: float =
         w, c = params[:d], params[d:]
         cuts = np.concatenate(([c[0]], c[0] + np.cumsum(np.exp(c[1:]))))
         edges = np.concatenate(([-np.inf], cuts, [np.inf]))
-        score = x @ w
+        score = np.bincount(at, value * w[column], n)
         with np.errstate(over="ignore"):
             upper, lower = 1 / (1 + np.exp(-(edges[grade + 1] - score))), 1 / (1 + np.exp(-(edges[grade] - score)))
         share = np.maximum(upper - lower, 1e-12)
@@ -83,7 +87,7 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, grades: int, decay: float =
         by_score = (d_upper - d_lower) / n  # of the negative log likelihood
         by_cut = np.array([(d_lower[grade == k + 1].sum() - d_upper[grade == k].sum()) / n for k in range(grades - 1)])
         by_param = np.concatenate(([by_cut.sum()], [np.exp(c[j]) * by_cut[j:].sum() for j in range(1, grades - 1)]))
-        g = np.concatenate((x.T @ by_score + decay * w, by_param))
+        g = np.concatenate((np.bincount(column, value * by_score[at], d) + decay * w, by_param))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     c = params[d:]
@@ -136,14 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
 
     rows_ = sample.mapInArrow(encode, "doc_id long, toxic int, words long, hits double, at array<int>, n array<int>").toPandas()
     rows_ = rows_.sort_values(["doc_id", "words", "hits"], kind="stable").reset_index(drop=True)
-    x = np.zeros((len(rows_), len(hashes)), np.float32)
-    for i, (at, n) in enumerate(zip(rows_["at"], rows_["n"], strict=True)):
-        x[i, at] = np.log1p(np.asarray(n, np.float32))
+    row = np.repeat(np.arange(len(rows_)), rows_["at"].map(len).to_numpy())
+    x = row, np.concatenate(rows_["at"].to_list()).astype(np.int64), np.log1p(np.concatenate(rows_["n"].to_list()))
     grade = np.zeros(len(rows_), np.int64)
     bad = rows_["toxic"].to_numpy() == 1
     steps = np.quantile(rows_["hits"].to_numpy()[bad], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grade[bad] = 1 + np.searchsorted(steps, rows_["hits"].to_numpy()[bad], side="left")
-    weights, cuts = fit_cumulative(x, grade, GRADES)
+    weights, cuts = fit_cumulative(x, len(hashes), grade, GRADES)
     return Severity(hashes, weights.astype(np.float64), cuts)
 
 
