@@ -1,9 +1,10 @@
 """Queries of this subpackage, and the SQL of those that SQL expresses on whole tables."""
 
-from reelyard.llm import bit_slices, decontaminate, mixing, quality, sharding, token_counts, toxicity, wrappers
+from reelyard.llm import bit_slices, decontaminate, mixing, quality, repeats, sharding, token_counts, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity_severity": toxicity.op1_query,
+    "op2_run_length_repeats": repeats.op2_query,
     "op3_source_mixing": mixing.op3_query,
     "op4_bit_sliced_search": bit_slices.op4_query,
     "op5_page_wrappers": wrappers.op5_query,
