@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL expresses on whole tables."""
 
-from reelyard.llm import bit_slices, decontaminate, mixing, quality, repeats, sharding, token_counts, toxicity, wrappers
+from reelyard.llm import bit_slices, decontaminate, mixing, quality, repeats, set_join, sharding, token_counts, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity_severity": toxicity.op1_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_query,
     "op7_benchmark_leaks": decontaminate.op7_query,
     "op8_hilbert_sharding": sharding.op8_query,
+    "op9_set_relations_join": set_join.op9_query,
     "op10_importance_resampling": quality.op10_query,
 }
 ORACLES = {"op4_bit_sliced_search": bit_slices.OP4_SQL}
