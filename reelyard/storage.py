@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -33,4 +34,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelyard/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the plan that wrote is garbage now: once both collectors have run, Spark's cleaner drops its shuffle files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
