@@ -96,17 +96,37 @@ def _from_five(raw: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """For each of b = 2**k >= 2n values of the leading bits of a scrambled hash, whether an odd number of shingles has it.
+
+    Of two sets at least as many shingles are in one only as their bitmaps differ in bits. Halving b adds neighbouring bits,
+    so sets of different b compare at the smaller one.
+    """
+    size = max(8, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 8
+    at = mix(shingles ^ np.uint64(0x5BF03635)) >> np.uint64(64 - (size.bit_length() - 1))
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def most_common(n1: int, bits1: bytes, n2: int, bits2: bytes) -> int:
+    """No fewer than the sets have in common."""
+    x, y = np.frombuffer(bits1, np.uint8), np.frombuffer(bits2, np.uint8)
+    if len(x) != len(y):
+        small = min(len(x), len(y))
+        x, y = (np.packbits(np.bitwise_xor.reduce(np.unpackbits(b).reshape(small * 8, -1), axis=1)) if len(b) > small else b for b in (x, y))
+    return min(n1, n2, (n1 + n2 - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
 def digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2 (hash of the set), prefix of every row of docs."""
+    """doc_id, n, h1, h2 (hash of the set), prefix, bits of every row of docs."""
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in columns(batches, "doc_id", "text"):
             sets = [shingle_set(t) for t in texts]
             hashes = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array([_five(order.value.prefix(s)) for s in sets], pa.binary())], ["doc_id", "n", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array([_five(order.value.prefix(s)) for s in sets], pa.binary()), pa.array([parity_bits(s) for s in sets], pa.binary())], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix binary, bits binary")
 
 
 def postings(classes: DataFrame, buckets: int) -> DataFrame:
@@ -190,6 +210,19 @@ def list_pairs(blobs: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
     return blobs.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, n long, place long, token long")
 
 
+def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave it possible that their similarity is num / den or more; others can't be so similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, n1, n2, left, right in columns(batches, "a", "b", "n1", "n2", "left", "right"):
+            most = [most_common(*x) for x in zip(n1, left, n2, right, strict=True)]
+            ok = [den * m >= num * (x + y - m) for m, x, y in zip(most, n1, n2, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, good in zip(side, ok, strict=True) if good], pa.int64()) for side in (a, b)], ["a", "b"])
+
+    one, two = (bits.select(F.col("rep").alias(k), F.col("n").alias(n), F.col("bits").alias(side)) for k, n, side in (("a", "n1", "left"), ("b", "n2", "right")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, set of the documents with these ids."""
 
@@ -232,34 +265,41 @@ def _ordered_pairs(x: DataFrame, y: DataFrame, condition) -> DataFrame:
     return met.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
-def settle_long_lists(entries: DataFrame, sets: DataFrame, longest: int = LONG) -> tuple[list[DataFrame], list[DataFrame]]:
+def by_length(entries: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of lists up to longest, and of longer ones."""
+    many = entries.groupBy("token").count().where(F.col("count") > longest).select("token")
+    return entries.join(many, "token", "left_anti"), entries.join(many, "token", "left_semi")
+
+
+def settle_long_lists(entries: DataFrame, bits: DataFrame, sets: DataFrame, longest: int = LONG) -> tuple[list[DataFrame], list[DataFrame]]:
     """(links, pairs still to check) of the entries (a, n, place, token) of long lists.
 
-    A round compares every entry of a list with its leader (by a fixed hash, so lists of the same sets have the same
-    leader) whatever the bounds say, since the distance serves the others. Similar entries leave the list. Of these, x, and
-    the entries y that stay, only pairs with d(y) - d(x) <= 1/4 can be similar; they are to be checked. Rounds go on while
-    a list is longer than `longest` and the last round took a tenth; then all pairs left in a list are to be checked.
+    A round measures the distance d of every entry of a list to its leader (by a fixed hash, so lists of the same sets have
+    the same leader), unless the bitmaps show that it is over 1/2. Similar entries leave the list. Of these, x, and the
+    entries y that stay, only pairs with d(y) - d(x) <= 1/4 can be similar; they are to be checked. Rounds go on while a
+    list is longer than `longest` and the last round took a tenth; then all pairs left in a list are to be checked.
     """
     links, pairs = [], []
     left = entries.count()
     while left:
-        lead = entries.groupBy("token").agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a"))).alias("lead"), F.count(F.lit(1)).alias("entries"))
-        if lead.where(F.col("entries") > longest).isEmpty():
-            break
-        named = entries.join(lead.where(F.col("entries") > longest).select("token", F.col("lead.a").alias("leader")), "token", "left")
-        star = named.where("leader is not null and a <> leader").select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
-        measured = keep(overlaps(star, sets), "stars")
+        lead = entries.groupBy("token").agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a"))).alias("lead"))
+        named = entries.join(lead.select("token", F.col("lead.a").alias("leader")), "token")
+        star = named.where("a <> leader").select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
+        # who can't be half as similar to the leader is too far from all that are similar to it
+        measured = keep(overlaps(possible(star, bits, 1, 2), sets), "stars")
         links.append(measured.where(SIMILAR).select("a", "b"))
         far = 1 - F.col("both") / F.col("either")
         ends = measured.select(F.col("a").alias("_x"), F.col("b").alias("_y"), far.alias("d"), F.expr(SIMILAR).alias("near"))
         ends = ends.unionByName(ends.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"), "d", "near"))
-        known = keep(named.join(ends, (F.col("a") == F.col("_x")) & (F.col("leader") == F.col("_y")), "left").select("token", "a", "n", "place", "leader", "d", "near"), "entries")
-        joined = known.where("near and a <> leader")
-        stay = known.where("leader is null or (a <> leader and not near)")
-        edge = stay.where(F.col("leader").isNotNull() & (F.col("d") <= 0.5 + 1e-9))
-        pairs.append(keep(_ordered_pairs(joined, edge, F.expr("y.d - x.d <= 0.25 + 1e-9")), "edge"))
-        entries = keep(stay.select("a", "n", "place", "token"), "entries")
-        before, left = left, entries.count()
+        known = keep(named.where("a <> leader").join(ends, (F.col("a") == F.col("_x")) & (F.col("leader") == F.col("_y")), "left").select("token", "a", "n", "place", "d", "near"), "entries")
+        stay = known.where("not coalesce(near, false)")
+        edge = stay.where(F.col("d") <= 0.5 + 1e-9)
+        if not edge.isEmpty():
+            pairs.append(keep(_ordered_pairs(known.where("near"), edge, F.expr("y.d - x.d <= 0.25 + 1e-9")), "edge"))
+        rest = keep(stay.select("a", "n", "place", "token"), "entries")
+        before, (few, entries) = left, by_length(rest, longest)
+        pairs.append(_ordered_pairs(few, few, F.expr("x.a < y.a")))
+        left = entries.count()
         if left > 0.9 * before:
             break
     if left:
@@ -277,16 +317,20 @@ def similarity_classes(docs: DataFrame, short: int = SHORT, longest: int = LONG)
     """
     spark = docs.sparkSession
     signed = keep(digests(docs, frequent_shingles(docs)), "digests")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = keep(classes, "classes")
+    bits = classes.select("rep", "n", "bits")
     total = classes.agg(F.sum(F.length("prefix") / 5)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)))
     listed = keep(list_pairs(postings(classes.select("rep", "n", "prefix"), buckets), buckets, short), "lists")
-    plain, entries = listed.where("b is not null").select("a", "b").distinct(), listed.where("b is null").select("a", "n", "place", "token")
-    sets = keep(full_sets(docs, plain.select(F.col("a").alias("id")).unionByName(plain.select(F.col("b").alias("id"))).unionByName(entries.select(F.col("a").alias("id")))), "sets")
-    links, pairs = settle_long_lists(entries, sets, longest)
-    for more in pairs:
-        plain = plain.unionByName(more)
+    few, many = by_length(listed.where("b is null").select("a", "n", "place", "token"), longest)
+    pairs = listed.where("b is not null").select("a", "b").unionByName(_ordered_pairs(few, few, F.expr("x.a < y.a")))
+    plain, many = keep(possible(pairs.distinct(), bits, 3, 4), "pairs"), keep(many, "long")
+    used = plain.select(F.col("a").alias("id")).unionByName(plain.select(F.col("b").alias("id"))).unionByName(many.select(F.col("a").alias("id")))
+    sets = keep(full_sets(docs, used), "sets")
+    links, more_pairs = settle_long_lists(many, bits, sets, longest)
+    for more in more_pairs:
+        plain = plain.unionByName(possible(more, bits, 3, 4))
     links = [*links, overlaps(plain.distinct(), sets).where(SIMILAR).select("a", "b")]
     united = links[0]
     for more in links[1:]:
