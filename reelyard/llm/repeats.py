@@ -28,7 +28,7 @@ from reelyard.llm.words import _Powers, columns, mix, to_bytes
 from reelyard.storage import keep
 
 LENGTH = 200
-GRAM = 16
+GRAM = 48
 MOST = 1000
 BUCKET_BYTES = 4 << 20
 STRETCH = 8 << 20
