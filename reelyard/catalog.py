@@ -1,4 +1,412 @@
-"""The registered queries and their SQL, by module."""
+"""The registered queries and their SQL: each reads whole tables of the given schema through jobs.adapters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from reelyard.functions import text, vec
+from reelyard.jobs import adapters as A
+from reelyard.operators import cameras, captions, decks, manifest, plane, sample_plan, tracks
+from reelyard.operators.manifest import REQUIRED
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+def _sql_tokens(col: str, drop=text.STOP_WORDS) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce({col}, '')), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains({_sql_list(drop)}, x))))"
+
+
+def _sql_words(col: str) -> str:
+    return rf"len(list_filter(string_split_regex(coalesce({col}, ''), '[\x09-\x0D\x20]+'), lambda x: x <> ''))"
+
+
+def _sql_jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE) END"
+
+
+_ISSUE = f"""issues AS (SELECT *, CASE WHEN n < 60 OR n > 125 THEN 'word count ' || n || ' outside 60-125' WHEN found <> '' THEN 'forbidden word: ' || found
+  WHEN NOT regexp_matches(caption, '{text.CONTINUOUS}') THEN 'missing continuous-shot phrase' WHEN scene_n > 24 THEN 'scene summary longer than 20 words'
+  WHEN family <> '' AND sim >= 0.7 THEN 'action restates the family name; write a specific sibling move, variation or combination' END AS issue
+  FROM (SELECT *, {_sql_words("caption")} AS n, {_sql_words("scene")} AS scene_n, regexp_extract(caption, '{text.FORBIDDEN}', 2) AS found, {_sql_jaccard("ta", "tf")} AS sim
+    FROM (SELECT *, {_sql_tokens("action", text.STOP_WORDS + text.COUNT_WORDS)} AS ta, {_sql_tokens("family", text.STOP_WORDS + text.COUNT_WORDS)} AS tf FROM captions)))"""
+
+
+# --- captions
+
+
+@query(f"WITH {A.CAPTIONS} SELECT id, {_sql_words('caption')} AS words, array_to_string({_sql_tokens('scene')}, ' ') AS scene_tokens FROM captions")
+def caption_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return A.captions(spark, d).select("id", text.word_count(F.col("caption")).cast("long").alias("words"), F.concat_ws(" ", text.tokens(F.col("scene"))).alias("scene_tokens"))
+
+
+@query(f"WITH {A.CAPTIONS}, {_ISSUE} SELECT id, issue FROM issues")
+def mechanical_issues(spark: SparkSession, d: str) -> DataFrame:
+    return A.captions(spark, d).select("id", text.mechanical_issue(F.col("caption"), F.col("scene"), F.col("action"), F.col("family")).alias("issue"))
+
+
+@query(f"WITH {A.CAPTIONS}, k AS (SELECT id, array_to_string({_sql_tokens('caption')}, ' ') AS key FROM captions), f AS (SELECT *, min(id) OVER (PARTITION BY key) AS first_id FROM k) SELECT id, first_id FROM f WHERE id > first_id")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return captions.exact_duplicates(A.captions(spark, d))
+
+
+@query(f"WITH {A.CAPTIONS}, s AS (SELECT id, {_sql_tokens('scene')} AS t FROM captions) SELECT x.id AS a, y.id AS b, round({_sql_jaccard('x.t', 'y.t')}, 6) AS similarity FROM s x JOIN s y ON x.id < y.id WHERE {_sql_jaccard('x.t', 'y.t')} > 0.6")
+def similar_scenes(spark: SparkSession, d: str) -> DataFrame:
+    return captions.similar_pairs(A.captions(spark, d), "scene", 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of 60 to 125 words, the length that the mechanical rules allow."""
+    return A.captions(spark, d).where(text.word_count(F.col("caption")).between(60, 125))
+
+
+@query(f"WITH {A.CAPTIONS}, s AS (SELECT id, family, {_sql_tokens('caption')} AS t FROM captions WHERE {_sql_words('caption')} BETWEEN 60 AND 125) SELECT x.id AS a, y.id AS b, round({_sql_jaccard('x.t', 'y.t')}, 6) AS similarity FROM s x JOIN s y ON x.id < y.id AND x.family = y.family WHERE {_sql_jaccard('x.t', 'y.t')} > 0.45")
+def similar_captions_in_family(spark: SparkSession, d: str) -> DataFrame:
+    return captions.similar_pairs(_checked(spark, d), "caption", 0.45, "family").withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def near_duplicate_captions(spark: SparkSession, d: str) -> DataFrame:
+    return captions.near_duplicates(_checked(spark, d))
+
+
+@query(f"WITH {A.CAPTIONS}, {_ISSUE}, k AS (SELECT id, array_to_string({_sql_tokens('caption')}, ' ') AS key FROM captions), f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first_id FROM k) SELECT i.family, count(*) AS captions, count(*) FILTER (issue IS NULL) AS sound, count(*) FILTER (f.id > first_id) AS copies FROM issues i JOIN f USING (id) GROUP BY i.family")
+def caption_check_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of each family: all, sound by the mechanical rules, copies of an earlier one."""
+    items = A.captions(spark, d)
+    issue = text.mechanical_issue(F.col("caption"), F.col("scene"), F.col("action"), F.col("family"))
+    flagged = items.select("id", "family", issue.isNull().alias("ok")).join(captions.exact_duplicates(items), "id", "left")
+    return flagged.groupBy("family").agg(F.count(F.lit(1)).alias("captions"), F.count_if("ok").alias("sound"), F.count_if(F.col("first_id").isNotNull()).alias("copies"))
+
+
+_VERDICTS = "verdicts AS (SELECT l.doc_id AS id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'ok' ELSE 'fixed' END AS verdict, CASE WHEN toxic = 1 AND l.doc_id % 2 = 0 THEN 'toxic' END AS issue, substr(d.text, 1, 500) AS fixed FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(f"""WITH {A.CAPTIONS}, {_VERDICTS}, j AS (SELECT c.id, c.scene, c.action, c.family, c.caption AS old, verdict, v.issue AS said, fixed, CASE WHEN verdict = 'fixed' AND fixed <> '' THEN fixed ELSE c.caption END AS caption FROM captions c LEFT JOIN verdicts v USING (id)),
+{_ISSUE.replace("issues AS", "issues AS").replace("FROM captions)", "FROM j)")}
+SELECT id, reason IS NULL AS accepted, reason, md5(caption) AS caption_md5 FROM (SELECT id, caption, CASE WHEN verdict IS NULL THEN 'validator returned no verdict' WHEN verdict = 'ok' THEN NULL WHEN verdict = 'fixed' AND fixed <> '' THEN 'after fix: ' || issue WHEN said <> '' THEN said ELSE 'rejected by validator' END AS reason FROM issues)""")
+def verdicts_applied(spark: SparkSession, d: str) -> DataFrame:
+    labels, docs = A.table(spark, d, "labels"), A.table(spark, d, "documents").select("doc_id", "text")
+    verdict = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "ok").otherwise("fixed")
+    verdicts = labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), verdict.alias("verdict"), F.when((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0), "toxic").alias("issue"), F.substring("text", 1, 500).alias("caption"))
+    return captions.apply_verdicts(A.captions(spark, d), verdicts).select("id", "accepted", "reason", F.md5("caption").alias("caption_md5"))
+
+
+@query("WITH r AS (SELECT conv_id % 10 * 1000 + turn AS id, conv_id AS batch, turn AS item, trim(text, ' ') AS text FROM conversations WHERE text IS NOT NULL) SELECT id, batch, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC, item DESC, text DESC) AS n FROM r) WHERE n = 1")
+def merged_responses(spark: SparkSession, d: str) -> DataFrame:
+    said = A.table(spark, d, "conversations").select((F.col("conv_id") % 10 * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("batch"), F.col("turn").alias("item"), "text")
+    return captions.merge_responses(said).select("id", "batch", F.md5("text").alias("text_md5"))
+
+
+@query("WITH r AS (SELECT doc_id AS id, text, (row_number() OVER (ORDER BY doc_id) - 1) // 40 AS batch FROM documents) SELECT batch, count(*) AS items, min(id) AS first_id, max(id) AS last_id, md5(string_agg(text, chr(10) ORDER BY id)) AS prompt_md5 FROM r GROUP BY batch")
+def prompt_batches(spark: SparkSession, d: str) -> DataFrame:
+    made = captions.make_batches(A.captions(spark, d), 40)
+    return made.select("batch", F.col("items").cast("long").alias("items"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("WITH r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents) SELECT id, rank FROM r WHERE rank % 100 = 0 AND rank < 2000")
+def review_sample(spark: SparkSession, d: str) -> DataFrame:
+    return captions.review_sample(A.captions(spark, d).select("id")).select("id", "rank")
+
+
+# --- dealing
+
+_CAMERA_WORDS = ["static", "pan left", "pan right", "dolly in", "dolly out", "orbit", "crane"]
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS stratum, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat_ws('|', '0', 'camera', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS r FROM orders),
+v AS (SELECT v, row_number() OVER (ORDER BY md5('0|camera|' || v), v) - 1 AS i FROM (SELECT unnest({_sql_list(_CAMERA_WORDS)}) AS v)) SELECT id, stratum, v AS camera FROM r JOIN v ON r.r % {len(_CAMERA_WORDS)} = v.i""")
+def even_camera_deck(spark: SparkSession, d: str) -> DataFrame:
+    cards = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("stratum"))
+    return decks.even_deck(cards, _CAMERA_WORDS, "camera", "camera", ["stratum"]).select("id", "stratum", "camera")
+
+
+_SHARES = "w AS (SELECT n_name AS value, CAST(n_nationkey % 7 + 1 AS DOUBLE) AS weight, n_nationkey AS pos FROM nation), n AS (SELECT count(*) AS n FROM orders), e AS (SELECT *, weight * (SELECT n FROM n) / (SELECT sum(weight) FROM w) AS x FROM w), f AS (SELECT *, CAST(floor(x) AS BIGINT) AS fl, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, pos) AS i FROM e), c AS (SELECT value, pos, fl + CASE WHEN i <= (SELECT n FROM n) - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS count FROM f), g AS (SELECT *, CAST(sum(count) OVER (ORDER BY pos) AS BIGINT) AS high FROM c)"
+
+
+def _shares(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    weights = A.table(spark, d, "nation").select(F.col("n_name").alias("value"), (F.col("n_nationkey") % 7 + 1).cast("double").alias("weight"), F.col("n_nationkey").alias("pos"))
+    cards = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return decks.weighted_counts(weights, cards.count()), cards
+
+
+@query(f"WITH {_SHARES} SELECT value, count, high - count AS low, high FROM g")
+def largest_remainder_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d)[0].select("value", "count", "low", "high")
+
+
+@query(f"WITH {_SHARES}, r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5(concat_ws('|', '0', 'people', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS r FROM orders) SELECT id, value AS people FROM r JOIN g ON r >= high - count AND r < high")
+def weighted_people_deck(spark: SparkSession, d: str) -> DataFrame:
+    counts, cards = _shares(spark, d)
+    return decks.weighted_deck(cards, counts, "people", "people").select("id", "people")
+
+
+@query("""WITH g AS (SELECT n_name AS region, row_number() OVER (ORDER BY md5('region|' || n_name), n_name) - 1 AS i FROM nation), a AS (SELECT CAST(p_partkey AS VARCHAR) AS archetype, row_number() OVER (ORDER BY md5('archetype|' || p_partkey), CAST(p_partkey AS VARCHAR)) - 1 AS i FROM part),
+r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders) SELECT id, region, archetype FROM r JOIN g ON rank // ((SELECT count(*) FROM orders) // (SELECT count(*) FROM nation)) = g.i JOIN a ON rank % (SELECT count(*) FROM part) = a.i""")
+def dealt_places(spark: SparkSession, d: str) -> DataFrame:
+    cards = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    regions, kinds = A.table(spark, d, "nation").select(F.col("n_name").alias("value")), A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("value"))
+    return decks.deal_places(cards, regions, kinds).select("id", "region", "archetype")
+
+
+@query("WITH r AS (SELECT o_orderkey AS id, o_orderstatus = 'O' AS fit, row_number() OVER (PARTITION BY o_orderstatus = 'O' ORDER BY md5(concat_ws('|', '0', 'crowd', CAST(o_orderkey AS VARCHAR))), o_orderkey) AS n FROM orders) SELECT id, fit AND n <= 1000 AS crowd FROM r")
+def exact_crowd_sample(spark: SparkSession, d: str) -> DataFrame:
+    cards = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"))
+    return decks.exact_sample(cards, 1000, "crowd", where=F.col("s") == "O").select("id", F.col("chosen").alias("crowd"))
+
+
+@query("SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) LIKE '%49' OR CAST(o_orderkey AS VARCHAR) LIKE '%99' AS holdout FROM orders")
+def holdout_ids(spark: SparkSession, d: str) -> DataFrame:
+    return decks.holdout_split(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+_AXES = ("p_brand", "p_type", "p_size", "p_name")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS axis, CAST({a} AS VARCHAR) AS value, count(*) AS cards, round(100.0 * count(*) / (SELECT count(*) FROM part), 4) AS pct FROM part GROUP BY {a}" for a in _AXES))
+def axis_histograms(spark: SparkSession, d: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in _AXES]))
+    counts = A.table(spark, d, "part").select(each.alias("v")).groupBy("v.axis", "v.value").agg(F.count(F.lit(1)).alias("cards"))
+    return counts.withColumn("pct", F.round(100.0 * F.col("cards") / F.sum("cards").over(Window.partitionBy("axis")), 4))
+
+
+@query("WITH c AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) SELECT min(n) AS least, max(n) AS most, count(*) AS regions, CAST(sum(parts) AS BIGINT) AS pairs, (SELECT count(*) FILTER (l_discount > 0.05 AND l_returnflag = 'R') FROM lineitem) AS violations FROM c")
+def coverage_checks(spark: SparkSession, d: str) -> DataFrame:
+    lines = A.table(spark, d, "lineitem")
+    pairs = lines.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("l_discount") > 0.05) & (F.col("l_returnflag") == "R")).alias("bad"))
+    each = pairs.groupBy("l_suppkey").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.sum("bad").alias("bad"))
+    return each.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("regions"), F.sum("parts").alias("pairs"), F.sum("bad").alias("violations"))
+
+
+# --- files, quality, manifests
+
+
+@query(rf"""SELECT page_id AS id, clip_id, file, CASE WHEN parent = '_reports' THEN CASE WHEN file LIKE '%.jsonl' THEN 'report' END WHEN clip_id IS NOT NULL AND list_contains({_sql_list(REQUIRED)}, file) THEN 'clip' END AS kind
+FROM (SELECT page_id, list_filter(p, lambda x: regexp_matches(x, '^c[0-9]{{4}}$'))[1] AS clip_id, p[len(p)] AS file, p[len(p) - 1] AS parent FROM (SELECT page_id, string_split(path, '/') AS p FROM (
+  SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '_reports/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.jsonl' ELSE '.txt' END ELSE 'clips/c' || right('0000' || (page_id % 10000), CASE WHEN page_id % 7 = 0 THEN 3 ELSE 4 END) || '/' || {_sql_list(REQUIRED)}[1 + page_id % 13] END AS path FROM pages)))""")
+def routed_members(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id")
+    names = F.element_at(F.array(*map(F.lit, REQUIRED)), (i % 13 + 1).cast("int"))
+    digits = F.concat(F.lit("0000"), (i % 10000).cast("string"))
+    clip = F.concat(F.lit("clips/c"), F.when(i % 7 == 0, F.expr("right(concat('0000', cast(page_id % 10000 as string)), 3)")).otherwise(F.right(digits, F.lit(4))), F.lit("/"), names)
+    path = F.when(i % 5 == 0, F.concat(F.lit("_reports/"), i.cast("string"), F.when(i % 2 == 0, ".jsonl").otherwise(".txt"))).otherwise(clip)
+    members = A.table(spark, d, "pages").select(i.alias("id"), path.alias("path"))
+    return manifest.route_members(members).join(members, "path").select("id", "clip_id", "file", "kind")
+
+
+@query(f"""WITH {A.INVENTORY}, h AS (SELECT clip_id, list(DISTINCT file) AS have FROM inventory WHERE valid AND size > 0 AND list_contains({_sql_list(REQUIRED)}, file) GROUP BY 1)
+SELECT o_orderkey AS clip_id, array_to_string(list_sort(list_filter({_sql_list(REQUIRED)}, lambda x: NOT list_contains(coalesce(have, []), x))), ',') AS missing, have IS NULL AS absent, coalesce(len(have), 0) = 13 AS complete FROM orders LEFT JOIN h ON o_orderkey = clip_id""")
+def missing_files(spark: SparkSession, d: str) -> DataFrame:
+    expected = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("clip_id"))
+    return manifest.missing_files(expected, A.inventory(spark, d)).withColumn("missing", F.concat_ws(",", "missing"))
+
+
+@query(f"WITH {A.QC} SELECT id, array_to_string(hard_flags, ',') AS hard_flags, array_to_string(soft_flags, ',') AS soft_flags, len(hard_flags) = 0 AS training_ready FROM flags")
+def qc_flags(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.qc_flags(A.qc(spark, d)).select("id", F.concat_ws(",", "hard_flags").alias("hard_flags"), F.concat_ws(",", "soft_flags").alias("soft_flags"), "training_ready")
+
+
+def _demoted(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.demote_flags(manifest.qc_flags(A.qc(spark, d)))
+
+
+@query(f"WITH {A.QC} SELECT id, array_to_string(hard_flags, ',') AS hard_flags, array_to_string(soft_flags, ',') AS soft_flags, len(hard_flags) = 0 AS training_ready FROM demoted")
+def demoted_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _demoted(spark, d).select("id", F.concat_ws(",", "hard_flags").alias("hard_flags"), F.concat_ws(",", "soft_flags").alias("soft_flags"), "training_ready")
+
+
+@query(f"WITH {A.QC}, e AS (SELECT 'hard' AS kind, unnest(hard_flags) AS flag FROM demoted UNION ALL SELECT 'soft', unnest(soft_flags) FROM demoted) SELECT kind, flag, count(*) AS clips FROM e GROUP BY 1, 2")
+def flag_summary(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.flag_summary(_demoted(spark, d))
+
+
+_MANIFEST = f"{A.QC}, {A.INVENTORY}, have AS (SELECT clip_id AS id, max(CASE WHEN file = 'control.mp4' THEN 1 ELSE 0 END) AS control, max(CASE WHEN file = 'background.png' THEN 1 ELSE 0 END) AS background FROM inventory WHERE valid GROUP BY 1), manifest AS (SELECT d.id, 'order ' || o_orderkey AS caption, len(hard_flags) = 0 AND coalesce(control, 0) = 1 AND coalesce(background, 0) = 1 AS training_ready, soft_flags, CAST(d.id AS VARCHAR) LIKE '%49' OR CAST(d.id AS VARCHAR) LIKE '%99' AS holdout FROM orders JOIN demoted d ON o_orderkey = d.id LEFT JOIN have ON have.id = d.id)"
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    texts = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("caption"))
+    return manifest.build_manifest(texts, _demoted(spark, d).select("id", "training_ready", "hard_flags", "soft_flags"), A.inventory(spark, d))
+
+
+@query(f"WITH {_MANIFEST} SELECT id, caption, training_ready, array_to_string(soft_flags, ',') AS soft_flags, holdout FROM manifest")
+def training_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return _manifest(spark, d).select("id", "caption", "training_ready", F.concat_ws(",", "soft_flags").alias("soft_flags"), "holdout")
+
+
+@query(f"WITH {_MANIFEST} SELECT count(*) AS rows, count(*) FILTER (training_ready AND NOT holdout) AS train_ready, count(*) FILTER (training_ready AND holdout) AS holdout_ready, count(*) FILTER (training_ready AND NOT holdout AND NOT list_contains(soft_flags, 'bystanders')) AS without_bystanders FROM manifest")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.manifest_counts(_manifest(spark, d))
+
+
+@query(f"WITH {A.SIDECARS} SELECT status, count(*) AS clips, CAST(round(sum(coalesce(cost_usd, 0.0)), 4) AS DOUBLE) AS cost FROM sidecars GROUP BY 1 UNION ALL SELECT 'todo', count(*), CAST(round(count(*) * 0.1 * 6.0, 4) AS DOUBLE) FROM orders WHERE o_orderkey NOT IN (SELECT id FROM sidecars WHERE status = 'ok')")
+def spend_summary(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.spend_summary(A.sidecars(spark, d), A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS id, substr(sha256('batch' || chr(31) || role || chr(31) || '' || chr(31) || coalesce(text, '') || chr(31) || '' || chr(31) || 'low'), 1, 24) AS key FROM conversations), c AS (SELECT DISTINCT key FROM r WHERE id % 3 = 0) SELECT id, key FROM r WHERE key NOT IN (SELECT key FROM c)""")
+def uncached_requests(spark: SparkSession, d: str) -> DataFrame:
+    asked = A.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("batch").alias("backend"), F.col("role").alias("model"), F.lit("").alias("system"), F.col("text").alias("user"), F.lit("").alias("schema"), F.lit("low").alias("effort"))
+    empty = spark.createDataFrame([], "key string")
+    cache = manifest.uncached_requests(asked.where("id % 3 = 0"), empty).select("key").distinct()
+    return manifest.uncached_requests(asked, cache).select("id", "key")
+
+
+# --- cameras and tracks
+
+_MOTION = f"""{A.CAMERAS}, s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM cams WINDOW w AS (PARTITION BY clip_id ORDER BY kf)),
+m AS (SELECT clip_id, sum(coalesce(step, 0)) / CASE WHEN clip_id % 4 = 0 THEN 1.0 ELSE (clip_id % 4) / 2.0 END AS path, max(degrees(abs(a))) AS rot_deg FROM s GROUP BY clip_id), motion AS (SELECT *, path < 0.25 AND rot_deg < 3 AS static FROM m)"""
+
+
+def _motion(spark: SparkSession, d: str) -> DataFrame:
+    spacing = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("clip_id"), (F.col("s_suppkey") % 4 / 2.0).alias("grid_spacing"))
+    return cameras.camera_motion(A.cameras(spark, d), spacing)
+
+
+@query(f"WITH {_MOTION} SELECT clip_id, round(path, 5) AS path, round(rot_deg, 3) AS rot_deg, static FROM motion")
+def camera_motion(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d).select("clip_id", F.round("path", 5).alias("path"), F.round("rot_deg", 3).alias("rot_deg"), "static")
+
+
+@query(f"WITH {_MOTION} SELECT n_name AS label, count(*) AS clips, round(100.0 * avg(CASE WHEN static THEN 0 ELSE 1 END), 4) AS moving_pct FROM motion JOIN supplier ON clip_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_name)")
+def moving_share(spark: SparkSession, d: str) -> DataFrame:
+    labels = A.table(spark, d, "supplier").join(A.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("clip_id"), F.col("n_name").alias("label"))
+    return cameras.moving_share(_motion(spark, d).join(labels, "clip_id"))
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("clip_id"), F.explode(F.sequence(F.lit(-1), F.lit(82))).alias("frame"))
+
+
+_FRAMES = "frames AS (SELECT s_suppkey AS clip_id, unnest(range(-1, 83)) AS frame FROM supplier)"
+
+
+@query(f"""WITH {A.CAMERAS}, {_FRAMES}, b AS (SELECT f.clip_id, f.frame, max(CASE WHEN c.frame <= f.frame THEN kf END) AS lo, min(CASE WHEN c.frame > f.frame THEN kf END) AS hi FROM frames f JOIN cams c USING (clip_id) GROUP BY 1, 2)
+SELECT b.clip_id, b.frame, round(CASE WHEN lo IS NULL THEN h.x WHEN hi IS NULL THEN l.x ELSE l.x + (h.x - l.x) * (b.frame - l.frame) / CAST(h.frame - l.frame AS DOUBLE) END, 5) AS x FROM b LEFT JOIN cams l ON l.clip_id = b.clip_id AND l.kf = lo LEFT JOIN cams h ON h.clip_id = b.clip_id AND h.kf = hi""")
+def interpolated_centers(spark: SparkSession, d: str) -> DataFrame:
+    return cameras.interpolated_centers(_frames(spark, d), A.cameras(spark, d)).select("clip_id", "frame", (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query(f"WITH {A.CAMERAS}, {_FRAMES} SELECT clip_id, frame, kf FROM (SELECT f.clip_id, f.frame, kf, row_number() OVER (PARTITION BY f.clip_id, f.frame ORDER BY abs(f.frame - c.frame), kf) AS n FROM frames f JOIN cams c USING (clip_id)) WHERE n = 1")
+def nearest_keyframes(spark: SparkSession, d: str) -> DataFrame:
+    return cameras.nearest_keyframe(_frames(spark, d), A.cameras(spark, d))
+
+
+@query(f"WITH {A.DETECTIONS} SELECT clip_id, track_id, list_sort(list(height) FILTER (visible AND height > 0))[1 + count(*) FILTER (visible AND height > 0) // 2] AS height, count(*) FILTER (visible) AS visible_frames FROM detections GROUP BY 1, 2")
+def median_heights(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.median_heights(A.detections(spark, d))
+
+
+_FILLED = f"""{A.DETECTIONS}, g AS (SELECT clip_id, track_id, frame, foot_x, last_value(CASE WHEN foot_x IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS bf, last_value(foot_x IGNORE NULLS) OVER p AS bv, first_value(CASE WHEN foot_x IS NOT NULL THEN frame END IGNORE NULLS) OVER q AS af, first_value(foot_x IGNORE NULLS) OVER q AS av FROM detections
+  WINDOW p AS (PARTITION BY clip_id, track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY clip_id, track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT clip_id, track_id, frame, foot_x IS NULL AS interpolated, CASE WHEN bf IS NULL THEN av WHEN af IS NULL OR af = bf THEN bv ELSE bv + (frame - bf) / CAST(af - bf AS DOUBLE) * (av - bv) END AS x FROM g)"""
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.fill_gaps(A.detections(spark, d).select("clip_id", "track_id", "frame", F.col("foot_x").alias("x")))
+
+
+@query(f"WITH {_FILLED} SELECT clip_id, track_id, frame, interpolated, round(x, 5) AS x FROM filled")
+def filled_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d).select("clip_id", "track_id", "frame", "interpolated", F.round("x", 5).alias("x"))
+
+
+_SMOOTH = f"""{_FILLED}, a AS (SELECT clip_id, track_id, list(x ORDER BY frame) AS xs, list(frame ORDER BY frame) AS fs FROM filled WHERE x IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT clip_id, track_id, xs, fs[i] AS frame, i FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM a)),
+smoothed AS (SELECT clip_id, track_id, frame, list_sum(list_transform(range(-8, 9), lambda k: xs[greatest(1, least(len(xs), i + k))] * exp(-(k * k) / 8.0))) / (SELECT sum(exp(-(k * k) / 8.0)) FROM (SELECT unnest(range(-8, 9)) AS k)) AS x FROM i)"""
+
+
+@query(f"WITH {_SMOOTH} SELECT clip_id, track_id, frame, round(x, 4) AS x FROM smoothed")
+def smooth_paths(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.smooth_path(_filled(spark, d).where("x is not null")).select("clip_id", "track_id", "frame", F.round("smooth", 4).alias("x"))
+
+
+@query(f"WITH {A.DETECTIONS}, f AS (SELECT clip_id, track_id, coalesce(arg_min(foot_x, frame) FILTER (foot_x IS NOT NULL), 0.0) AS x FROM detections GROUP BY 1, 2) SELECT clip_id, track_id, place, place % 6 AS color FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY x, track_id) - 1 AS place FROM f)")
+def left_to_right(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.left_to_right(A.detections(spark, d)).select("clip_id", "track_id", F.col("place").cast("long").alias("place"), F.col("color").cast("long").alias("color"))
+
+
+@query(f"WITH {A.DETECTIONS} SELECT clip_id, track_id, frame, 2 * (frame // 3) + frame % 3 AS kept FROM detections WHERE frame % 3 <> 2 AND 2 * (frame // 3) + frame % 3 < 81")
+def kept_frames(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.keep_frames(A.detections(spark, d)).select("clip_id", "track_id", "frame", "kept")
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    return A.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("clip_id"), *[F.get(e, F.lit(i)).cast("double").alias("xyz"[i]) for i in range(3)])
+
+
+@query("SELECT CAST(label AS VARCHAR) AS clip_id, count(*) AS points, count(*) FILTER (abs(CAST(embedding[2] AS DOUBLE) + 0.01 * label) < 0.05) AS inliers FROM embeddings GROUP BY label")
+def plane_inliers(spark: SparkSession, d: str) -> DataFrame:
+    planes = A.table(spark, d, "embeddings").groupBy(F.col("label").cast("string").alias("clip_id")).agg((F.first("label") * 0.01).alias("d")).select("clip_id", F.lit(0.0).alias("nx"), F.lit(1.0).alias("ny"), F.lit(0.0).alias("nz"), "d")
+    return plane.inlier_counts(_points(spark, d), planes, 0.05)
+
+
+@query()
+def fitted_ground(spark: SparkSession, d: str) -> DataFrame:
+    return plane.fit_ground(_points(spark, d))
+
+
+@query(f"WITH {A.CAMERAS} SELECT clip_id, kf, round(500 * (cos(a) * (1 - x) + sin(a) * (6 - z)) / greatest(-sin(a) * (1 - x) + cos(a) * (6 - z), 1e-9) + 640, 4) AS u, round(-sin(a) * (1 - x) + cos(a) * (6 - z), 4) AS depth FROM cams")
+def projected_points(spark: SparkSession, d: str) -> DataFrame:
+    n = F.lit
+    p = vec.project(n(500.0), n(500.0), n(640.0), n(360.0), F.col("r"), F.col("t"), F.array(n(1.0), n(0.0), n(6.0)))
+    return A.cameras(spark, d).select("clip_id", "kf", p.alias("p")).select("clip_id", "kf", F.round("p.u", 4).alias("u"), F.round("p.depth", 4).alias("depth"))
+
+
+# --- sample plan
+
+
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "image").otherwise("video").alias("type"), F.col("n_chars").alias("length"), F.col("source").alias("text"))
+
+
+_META = "meta AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'image' ELSE 'video' END AS type, n_chars AS length, source AS text FROM documents)"
+_HASH01 = "CAST(('0x' || substr({0}, 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(f"WITH {_META} SELECT id, type, copy, row_number() OVER (ORDER BY type <> 'image', copy, id) - 1 AS position FROM (SELECT *, unnest(range(1, CASE WHEN type = 'image' THEN 2 ELSE 4 END)) AS copy FROM meta)")
+def repeated_videos(spark: SparkSession, d: str) -> DataFrame:
+    return sample_plan.repeat_videos(_meta(spark, d), 3).select("id", "type", F.col("copy").cast("long").alias("copy"), "position")
+
+
+@query(f"""WITH {_META}, s AS (SELECT id, length, floor(length * (CAST(0.95 AS DOUBLE) - CAST(0.05 AS DOUBLE))) AS span, {_HASH01.format("md5(concat_ws('|', '0', 'start', CAST(id AS VARCHAR)))")} AS h FROM meta), n AS (SELECT *, least(81, floor(span / 3)) AS n FROM s),
+f AS (SELECT id, n, CASE WHEN n < 9 THEN 'too short' END AS error, floor(length * 0.05) + floor(h * (span - (n - 1) * 3)) AS first FROM n)
+SELECT id, error, CASE WHEN error IS NULL THEN array_to_string(list_transform(range(0, CAST(n AS BIGINT)), lambda i: CAST(first + i * 3 AS BIGINT)), ',') ELSE '' END AS frames FROM f""")
+def frame_plans(spark: SparkSession, d: str) -> DataFrame:
+    return sample_plan.frame_plan(_meta(spark, d), 81, 0.05, 0.95, 3, 9).select("id", "error", F.concat_ws(",", "frames").alias("frames"))
+
+
+@query(f"WITH {_META} SELECT id, CASE WHEN {_HASH01.format(chr(109) + 'd5(concat_ws(' + repr('|') + ', ' + repr('0.0') + ', ' + repr('drop') + ', CAST(id AS VARCHAR)))')} < 0.1 THEN '' ELSE text END AS text FROM meta")
+def dropped_captions(spark: SparkSession, d: str) -> DataFrame:
+    return sample_plan.caption_dropout(_meta(spark, d), 0.1).select("id", "text")
+
+
+@query(f"""WITH {_META}, o AS (SELECT *, md5(concat_ws('|', '0', 'order', CAST(id AS VARCHAR))) AS h FROM meta), p AS (SELECT *, row_number() OVER (ORDER BY h, id) - 1 AS position, (row_number() OVER (PARTITION BY type ORDER BY h, id) - 1) // 8 AS batch FROM o)
+SELECT type, batch, array_to_string(list(id ORDER BY position), ',') AS ids, max(position) AS position FROM p GROUP BY 1, 2 HAVING count(*) = 8""")
+def bucketed_batches(spark: SparkSession, d: str) -> DataFrame:
+    return sample_plan.bucket_batches(_meta(spark, d), 8).select("type", "batch", F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).alias("ids"), "position")
+
+
+@query(f"WITH {_META}, {_MOTION} SELECT id, copy FROM (SELECT id, unnest(range(1, CASE WHEN coalesce(static, true) THEN 2 ELSE 3 END)) AS copy FROM meta LEFT JOIN motion ON id = clip_id)")
+def oversampled_moving(spark: SparkSession, d: str) -> DataFrame:
+    moving = _motion(spark, d).withColumnRenamed("clip_id", "id")
+    return manifest.oversample_moving(_meta(spark, d), moving).select("id", F.col("copy").cast("long").alias("copy"))
+
 
-QUERIES = {}
-ORACLES = {}
