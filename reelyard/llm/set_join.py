@@ -29,6 +29,8 @@ LONG = 256
 FREQUENT = 48
 FREQUENT_ROWS = 200_000
 FLUSH = 1 << 20
+FILTER_BITS = 1 << 22
+ROUNDS = 3
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -211,27 +213,41 @@ def list_pairs(blobs: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
 
 
 def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps leave it possible that their similarity is num / den or more; others can't be so similar."""
+    """a, b, most: the pairs (a, b) whose bitmaps leave it possible that their similarity is num / den or more, with the
+    greatest similarity that these leave possible; others can't be so similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, n1, n2, left, right in columns(batches, "a", "b", "n1", "n2", "left", "right"):
             most = [most_common(*x) for x in zip(n1, left, n2, right, strict=True)]
             ok = [den * m >= num * (x + y - m) for m, x, y in zip(most, n1, n2, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, good in zip(side, ok, strict=True) if good], pa.int64()) for side in (a, b)], ["a", "b"])
+            bound = [m / (x + y - m) for m, x, y in zip(most, n1, n2, strict=True)]
+            kept = [[v for v, good in zip(side, ok, strict=True) if good] for side in (a, b, bound)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.float64())], ["a", "b", "most"])
 
     one, two = (bits.select(F.col("rep").alias(k), F.col("n").alias(n), F.col("bits").alias(side)) for k, n, side in (("a", "n1", "left"), ("b", "n2", "right")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a long, b long, most double")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set of the documents with these ids."""
+def full_sets(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """id, set of the documents with these ids.
+
+    Whole texts aren't shuffled: a bitmap of hashed ids, of a fixed size, says which texts can be wanted, and the join drops
+    what passed by chance."""
+    wanted = keep(ids.distinct(), "wanted")
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words_ = wanted.groupBy(F.expr(f"pmod(xxhash64(id), {bits}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("mask"))
+    table = np.zeros(bits // 64, np.int64)
+    for r in words_.toLocalIterator():  # at most bits / 64 rows
+        table[r["word"]] = r["mask"]
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, texts in columns(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], ["id", "set"])
+        for own, at, texts in columns(batches, "doc_id", "place", "text"):
+            take = [(i, shingle_set(t).tobytes()) for i, p, t in zip(own, at, texts, strict=True) if i is not None and shared.value[p]]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in take], pa.int64()), pa.array([x for _, x in take], pa.binary())], ["id", "set"])
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, set binary")
+    made = docs.select(F.col("doc_id").alias("id"), "text").select(F.col("id").alias("doc_id"), place.alias("place"), "text").mapInArrow(run, "id long, set binary")
+    return made.join(wanted, "id", "left_semi")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,7 +302,7 @@ def settle_long_lists(entries: DataFrame, bits: DataFrame, sets: DataFrame, long
         named = entries.join(lead.select("token", F.col("lead.a").alias("leader")), "token")
         star = named.where("a <> leader").select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
         # who can't be half as similar to the leader is too far from all that are similar to it
-        measured = keep(overlaps(possible(star, bits, 1, 2), sets), "stars")
+        measured = keep(overlaps(possible(star, bits, 1, 2).select("a", "b"), sets), "stars")
         links.append(measured.where(SIMILAR).select("a", "b"))
         far = 1 - F.col("both") / F.col("either")
         ends = measured.select(F.col("a").alias("_x"), F.col("b").alias("_y"), far.alias("d"), F.expr(SIMILAR).alias("near"))
@@ -307,6 +323,30 @@ def settle_long_lists(entries: DataFrame, bits: DataFrame, sets: DataFrame, long
     return links, pairs
 
 
+def link_components(pairs: DataFrame, links: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """node, component from the links and from the pairs (a, b, most) to check.
+
+    Pairs inside a component need no check. A round checks, of the pairs between components, the likeliest of each
+    component, and drops what it checked; after some rounds all that are left between components are checked.
+    """
+    links, found, left = keep(links, "links"), None, keep(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "left")
+    for last in [False] * rounds + [True]:
+        found = components(links)
+        of_a, of_b = (found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
+        named = left.join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", "most", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        left = keep(named.where("ca <> cb"), "left")
+        if left.isEmpty():
+            return found
+        ask = left.select("a", "b")
+        if not last:
+            ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("most", "a", "b").alias("p"))
+            ask = ends.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+        checked = keep(overlaps(ask, sets), "checked")
+        links = keep(links.unionByName(checked.where(SIMILAR).select("a", "b")), "links")
+        left = left.select("a", "b", "most").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return components(links)
+
+
 def similarity_classes(docs: DataFrame, short: int = SHORT, longest: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: sets of 5-word shingles, linked where 100 * intersection >=
     75 * union, components of links.
@@ -331,11 +371,10 @@ def similarity_classes(docs: DataFrame, short: int = SHORT, longest: int = LONG)
     links, more_pairs = settle_long_lists(many, bits, sets, longest)
     for more in more_pairs:
         plain = plain.unionByName(possible(more, bits, 3, 4))
-    links = [*links, overlaps(plain.distinct(), sets).where(SIMILAR).select("a", "b")]
-    united = links[0]
-    for more in links[1:]:
+    united = plain.limit(0).select("a", "b")
+    for more in links:
         united = united.unionByName(more)
-    found = components(united).withColumnsRenamed({"node": "rep"})
+    found = link_components(plain, united, sets).withColumnsRenamed({"node": "rep"})
     of_class = classes.select("h1", "h2", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_component"))
     known = signed.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_component", "doc_id")).alias("component_id"))
