@@ -63,76 +63,86 @@ def _stretch(data: bytes, offset: int, length: int):
     return first + offset, np.diff(np.concatenate((first, [len(at)]))), hashed[at[first]]
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling, from ranks of 7 symbols (below 512) on."""
+def block_ranks(symbols: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """(rank of the block of symbols from each position, 0 past the end; block size): as many symbols as fit in 63 bits, then
+    doubled twice, `length` at most."""
     n = len(symbols)
-    padded = np.concatenate((symbols.astype(np.int64) + 1, np.zeros(7, np.int64)))
+    used = np.zeros(int(symbols.max()) + 1, bool)
+    used[symbols] = True
+    dense = np.cumsum(used)[symbols]  # from 1, in the same order; 0 is past the end
+    bits = int(dense.max()).bit_length()
+    span = min(63 // bits, length)
+    padded = np.concatenate((dense.astype(np.int64), np.zeros(span, np.int64)))
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key << 9 | padded[k : k + n]
-    span = 7
-    while True:
-        order = np.argsort(key, kind="stable")
+    for k in range(span):
+        key = key << bits | padded[k : k + n]
+    for doubling in range(3):
+        order = np.argsort(key)
         ranked = key[order]
-        step = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        if n == 0 or step[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        after = np.zeros(n, np.int64)
-        after[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + after
+        rank = np.zeros(n + length, np.int64)
+        rank[order] = np.concatenate(([1], 1 + np.cumsum(ranked[1:] != ranked[:-1])))
+        if doubling == 2 or 2 * span > length:
+            return rank, span
+        key = rank[:n] * (n + 1) + rank[span : span + n]
         span *= 2
 
 
+def suffix_order(symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes at the starts in the order of their first `length` symbols."""
+    rank, span = block_ranks(symbols, length)
+    offsets = [*range(0, length - span, span), length - span]
+    ranks = [rank[starts + at] for at in offsets]
+    if len(ranks) % 2:
+        ranks.append(np.zeros(len(starts), np.int64))
+    keys = [x * (len(symbols) + 1) + y for x, y in zip(ranks[::2], ranks[1::2], strict=True)]
+    return np.lexsort(keys[::-1])
+
+
 class RunIndex:
-    """The run-compressed BWT of a text: where runs begin, the suffixes at both sides of each beginning, and the common
-    prefix of these two. That determines the matching statistics of every position against the rest of the text."""
-
-    def __init__(self, symbols: np.ndarray):
-        self.n = len(symbols)
-        self.order = order = suffix_array(symbols)
-        bwt = symbols[order - 1]
-        heads = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1]))) if self.n else np.zeros(0, np.int64)
-        # the suffix of text position 0 has no left neighbour, and that of 1 leans on it: they are heads in any case
-        where = np.zeros(self.n, bool)
-        where[heads] = True
-        where[np.isin(order, (0,))] = True
-        after = np.flatnonzero(np.isin(order[:-1], (0,))) + 1
-        where[after] = True
-        self.heads = np.flatnonzero(where)
-        self.run_start = order[self.heads]
-        self.run_before = np.where(self.heads > 0, order[self.heads - 1], -1)
-        self.common = self._common(symbols, self.run_start, self.run_before)
+    """The run-compressed BWT of the suffixes at some starts of a text: where runs begin, the suffixes at both sides of each
+    beginning, and the common prefix of these two. That determines the matching statistics of all starts.
+
+    Suffixes are ordered by `length` symbols, so a run also ends where the left neighbours of two suffixes aren't neighbours
+    in that order (in a full suffix array equal BWT symbols imply that they are)."""
+
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, length: int):
+        self.size = len(starts)
+        self.order = order = suffix_order(symbols, starts, length)
+        place = np.empty(self.size, np.int64)
+        place[order] = np.arange(self.size)
+        joined = np.concatenate(([False], np.diff(starts) == 1))  # has its left neighbour among the starts
+        this, that = order[1:], order[:-1]
+        inside = joined[this] & joined[that]
+        inside &= symbols[starts[this] - 1] == symbols[starts[that] - 1]  # the BWT
+        inside &= place[this - 1] == place[that - 1] + 1
+        heads = np.concatenate(([0], np.flatnonzero(~inside) + 1))
+        self.run_start, before = order[heads], order[np.maximum(heads - 1, 0)]
+        self.common = self._common(symbols, starts[self.run_start], np.where(heads > 0, starts[before], -1))
 
     def _common(self, symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(b >= 0)
-        padded = np.concatenate((symbols, np.full(64, 511, symbols.dtype)))
-        reach = np.arange(64)
+        n, out = len(symbols), np.zeros(len(a), np.int64)
+        live, width = np.flatnonzero(b >= 0), 16
         while len(live):
-            again = []
+            padded, reach, again = np.concatenate((symbols, np.full(width, 511, symbols.dtype))), np.arange(width), []
             for low in range(0, len(live), 8192):
                 part = live[low : low + 8192]
                 x, y = a[part] + out[part], b[part] + out[part]
-                same = padded[np.minimum(x, self.n)[:, None] + reach] == padded[np.minimum(y, self.n)[:, None] + reach]
-                length = np.where(same.all(axis=1), 64, same.argmin(axis=1))
-                length = np.minimum(length, self.n - np.maximum(x, y))
-                out[part] += length
-                again.append(part[(length == 64)])
-            live = np.concatenate(again)
+                same = padded[np.minimum(x, n)[:, None] + reach] == padded[np.minimum(y, n)[:, None] + reach]
+                run = np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)), n - np.maximum(x, y))
+                out[part] += run
+                again.append(part[run == width])
+            live, width = np.concatenate(again), 64
         return out
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position, how long a string from there also starts elsewhere in the text."""
-        by_position = np.argsort(self.run_start, kind="stable")
-        places, values = self.run_start[by_position], self.common[by_position]
-        last = np.searchsorted(places, np.arange(self.n), side="right") - 1
-        back = values[last] - (np.arange(self.n) - places[last])  # with the suffix just before in order
+        """For each start, how long a string from there also begins at another one."""
+        by_start = np.argsort(self.run_start)
+        heads, values = self.run_start[by_start], self.common[by_start]
+        last = np.searchsorted(heads, np.arange(self.size), side="right") - 1
+        back = values[last] - (np.arange(self.size) - heads[last])  # in common with the suffix just before it in order
         in_order = back[self.order]
-        both = np.maximum(in_order, np.concatenate((in_order[1:], [0])))
-        out = np.empty(self.n, np.int64)
-        out[self.order] = both
+        out = np.empty(self.size, np.int64)
+        out[self.order] = np.maximum(in_order, np.concatenate((in_order[1:], [0])))
         return out
 
 
@@ -149,14 +159,12 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 def bucket_marks(texts: list[bytes], times: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each segment of a bucket, the spans of its windows that occur in another segment or whose segment is repeated."""
     symbols = np.concatenate([np.concatenate((np.frombuffer(t, np.uint8).astype(np.int16), [256])) for t in texts]).astype(np.int16)
-    matched = RunIndex(symbols).matching_statistics() >= length
-    out, at = [], 0
-    for text, n in zip(texts, times, strict=True):
-        windows = len(text) - length + 1
-        starts = np.arange(windows) if n > 1 else np.flatnonzero(matched[at : at + windows])
-        out.append(covered(starts, length))
-        at += len(text) + 1
-    return out
+    windows = np.array([len(t) - length + 1 for t in texts])
+    first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
+    at = np.concatenate(([0], np.cumsum(windows)))
+    starts = np.repeat(first - at[:-1], windows) + np.arange(at[-1])
+    matched = RunIndex(symbols, starts, length).matching_statistics() >= length
+    return [covered(np.arange(k) if n > 1 else np.flatnonzero(matched[low : low + k]), length) for k, n, low in zip(windows.tolist(), times, at.tolist(), strict=False)]
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:

@@ -50,7 +50,8 @@ def test_matching_statistics():
     draw = random.Random(5)
     for _ in range(40):
         symbols = np.array([draw.randint(0, 2) for _ in range(draw.randint(1, 60))], np.int16)
-        n, got = len(symbols), repeats.RunIndex(symbols).matching_statistics()
+        n = len(symbols)
+        got = repeats.RunIndex(symbols, np.arange(n), 200).matching_statistics()
         s = symbols.tolist()
         common = lambda i, j: next((k for k in range(n - max(i, j)) if s[i + k] != s[j + k]), n - max(i, j))
         assert got.tolist() == [max((common(i, j) for j in range(n) if j != i), default=0) for i in range(n)]
