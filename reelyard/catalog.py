@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelyard.functions import text, vec
 from reelyard.jobs import adapters as A
-from reelyard.operators import cameras, captions, decks, manifest, plane, sample_plan, tracks
+from reelyard.operators import cameras, captions, cards, decks, manifest, plane, sample_plan, tracks
 from reelyard.operators.manifest import REQUIRED
 
 QUERIES: dict = {}
@@ -195,6 +195,62 @@ def coverage_checks(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("regions"), F.sum("parts").alias("pairs"), F.sum("bad").alias("violations"))
 
 
+FAMILIES = [
+    {"name": "walk", "ranges": ["short", "long"], "small_ok": True},
+    {"name": "skate", "ranges": ["long"], "ice_only": True},
+    {"name": "glide", "ranges": ["short", "long"], "ice_ok": True, "min_people": 2},
+    {"name": "dribble", "ranges": ["in_place", "short"], "needs_hard_surface": True},
+    {"name": "tumble", "ranges": ["short"], "dry_only": True, "needs_space": True},
+    {"name": "sprint", "ranges": ["long"], "large_only": True, "outdoor_only": True},
+    {"name": "toss", "ranges": ["in_place"], "needs_headroom": True, "min_people": 3},
+    {"name": "splash", "ranges": ["in_place", "short"], "surface_any": ["water"], "small_ok": True},
+    {"name": "march", "ranges": ["long"], "ground_any": ["red", "green"], "surface_any": ["reflective"]},
+    {"name": "kneel", "ranges": ["in_place"], "ground_none": ["blue"], "small_ok": True},
+    {"name": "salute", "ranges": ["in_place", "short", "long"], "archetype_any": ["an", "or"], "small_ok": True, "ice_ok": True},
+    {"name": "bow", "ranges": ["in_place"], "archetype_none": ["e"], "small_ok": True, "ice_ok": True},
+]
+_CARDS = """cards AS (SELECT p_partkey AS id, lower(p_name) AS archetype, lower(p_name) AS ground, CASE WHEN p_size <= 5 THEN 'small' WHEN p_size <= 20 THEN 'medium' ELSE 'large' END AS size, p_partkey % 10 < 3 AS indoor,
+  CASE p_partkey % 8 WHEN 0 THEN 'ice' WHEN 1 THEN 'water' WHEN 2 THEN 'reflective' ELSE 'normal' END AS surface, p_partkey % 6 + 1 AS person_count, ['in_place', 'short', 'long'][1 + p_partkey % 3] AS motion_range, p_partkey % 5 = 0 AS low_ceiling,
+  NOT contains(lower(p_name), 'blue') AND (contains(lower(p_name), 'e') OR contains(lower(p_name), 'steel')) AS hard_ground FROM part)"""
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    k, name = F.col("p_partkey"), F.lower("p_name")
+    size = F.when(F.col("p_size") <= 5, "small").when(F.col("p_size") <= 20, "medium").otherwise("large")
+    surface = F.when(k % 8 == 0, "ice").when(k % 8 == 1, "water").when(k % 8 == 2, "reflective").otherwise("normal")
+    reach = F.element_at(F.array(*map(F.lit, ("in_place", "short", "long"))), (k % 3 + 1).cast("int"))
+    rows = A.table(spark, d, "part").select(k.alias("id"), name.alias("archetype"), name.alias("ground"), size.alias("size"), (k % 10 < 3).alias("indoor"), surface.alias("surface"), (k % 6 + 1).alias("person_count"), reach.alias("motion_range"), (k % 5 == 0).alias("low_ceiling"))
+    return rows.withColumn("hard_ground", cards.hard_ground(F.col("ground"), ["e", "steel"], ["blue"]))
+
+
+def _sql_eligible(f: dict) -> str:
+    words = "regexp_extract_all(ground, '[a-z]+')"
+    rules = [f"list_contains({_sql_list(f['ranges'])}, motion_range)", f"person_count >= {f.get('min_people', 1)}"]
+    rules += ["surface = 'ice'"] if f.get("ice_only") else [] if f.get("ice_ok") else ["surface <> 'ice'"]
+    rules += ["surface NOT IN ('ice', 'water')"] if (f.get("needs_hard_surface") or f.get("dry_only")) and not f.get("ice_ok") else []
+    rules += ["size = 'large'"] if f.get("large_only") else []
+    rules += ["hard_ground"] if f.get("needs_hard_surface") else []
+    rules += [] if f.get("small_ok") else ["size <> 'small'"]
+    rules += ["NOT indoor"] if f.get("outdoor_only") else []
+    rules += ["(NOT indoor OR size = 'large' AND NOT low_ceiling)"] if f.get("needs_headroom") else []
+    rules += [f"(list_has_any({words}, {_sql_list(f['ground_any'])}) OR list_contains({_sql_list(f.get('surface_any', []))}, surface))"] if f.get("ground_any") else [f"list_contains({_sql_list(f['surface_any'])}, surface)"] if f.get("surface_any") else []
+    rules += [f"NOT list_has_any({words}, {_sql_list(f['ground_none'])})"] if f.get("ground_none") else []
+    rules += ["(" + " OR ".join(f"contains(archetype, '{w}')" for w in f["archetype_any"]) + ")"] if f.get("archetype_any") else []
+    rules += ["NOT (" + " OR ".join(f"contains(archetype, '{w}')" for w in f["archetype_none"]) + ")"] if f.get("archetype_none") else []
+    return " AND ".join(rules)
+
+
+@query(f"WITH {_CARDS} " + " UNION ALL ".join(f"SELECT id, '{f['name']}' AS family FROM cards WHERE {_sql_eligible(f)}" for f in FAMILIES))
+def eligible_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cards.eligible_families(_cards(spark, d), FAMILIES).select("id", F.explode("families").alias("family"))
+
+
+@query()
+def assigned_families(spark: SparkSession, d: str) -> DataFrame:
+    fit = cards.eligible_families(_cards(spark, d), FAMILIES).where(F.size("families") > 0)
+    return cards.assign_least_used(fit.select("id", "families")).select("id", "action_family")
+
+
 # --- files, quality, manifests
 
 
