@@ -466,3 +466,39 @@ def oversampled_moving(spark: SparkSession, d: str) -> DataFrame:
     return manifest.oversample_moving(_meta(spark, d), moving).select("id", F.col("copy").cast("long").alias("copy"))
 
 
+
+
+def _md5_01(salt: str, col: str = "id") -> str:
+    return _HASH01.format(f"md5(concat_ws('|', '0', '{salt}', CAST({col} AS VARCHAR)))")
+
+
+@query(f"""WITH b AS (SELECT l_orderkey AS batch, CAST(min(l_quantity) AS BIGINT) AS shortest FROM lineitem GROUP BY 1), s AS (SELECT *, CASE WHEN {_md5_01("half", "batch")} < 0.5 THEN 640 ELSE [256, 512, 640, 768][1 + CAST(floor({_md5_01("size", "batch")} * 4) AS BIGINT)] END AS size FROM b)
+SELECT batch, size, CAST(greatest(1, floor((least(floor(12000000 / CAST(size * size AS DOUBLE)), shortest) - 1) / 4.0) * 4 + 1) AS BIGINT) AS frames FROM s""")
+def token_budgets(spark: SparkSession, d: str) -> DataFrame:
+    shortest = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.min("l_quantity").cast("long").alias("shortest"))
+    return sample_plan.token_budget_frames(shortest, [256, 512, 640, 768], 640, 12_000_000)
+
+
+@query(f"WITH {_META} SELECT id, CASE WHEN id % 4 = 0 THEN -1 WHEN length <= 1 OR {_md5_01('ref0')} < 0.4 THEN 0 ELSE CAST(floor({_md5_01('ref')} * greatest(length - 1, 1)) AS BIGINT) + 1 END AS ref_frame FROM meta")
+def reference_frames(spark: SparkSession, d: str) -> DataFrame:
+    return sample_plan.reference_frame_choice(_meta(spark, d).withColumn("has_reference", F.col("id") % 4 == 0))
+
+
+@query("""WITH i AS (SELECT c_nationkey AS id, CAST(c_custkey AS VARCHAR) AS x FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '0', 'image', CAST(id AS VARCHAR), x)), x) AS n FROM i) SELECT id, array_to_string(list(x ORDER BY n), ',') AS images FROM r WHERE n <= 4 GROUP BY id""")
+def subject_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.collect_list(F.col("c_custkey").cast("string")).alias("images"))
+    return sample_plan.subject_images(rows).select("id", F.concat_ws(",", "images").alias("images"))
+
+
+@query(f"""WITH {_META}, p AS (SELECT id, type, id % 7 = 0 AS bad FROM meta), g AS (SELECT id AS used, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS r FROM p WHERE NOT bad), n AS (SELECT type, count(*) AS n FROM g GROUP BY 1)
+SELECT id, id AS used FROM p WHERE NOT bad UNION ALL SELECT p.id, g.used FROM p LEFT JOIN n ON p.type = n.type LEFT JOIN g ON g.type = p.type AND g.r = floor({_md5_01("bad", "p.id")} * n.n) WHERE bad""")
+def replaced_samples(spark: SparkSession, d: str) -> DataFrame:
+    plan = _meta(spark, d).select("id", "type", F.when(F.col("id") % 7 == 0, "unreadable").alias("error"))
+    return sample_plan.replace_bad_samples(plan)
+
+
+@query(f"WITH {A.CAMERAS} SELECT clip_id, kf, round(360 - 500 * (sin(a) * 0.2 * 40 / 500.0 + cos(a) * 0.2) / -1.0, 4) AS horizon FROM cams")
+def horizon_rows(spark: SparkSession, d: str) -> DataFrame:
+    n = F.lit
+    y = vec.horizon_y(n(500.0), n(640.0), n(360.0), n(500.0), F.col("r"), F.array(n(0.0), n(-1.0), n(0.2)), n(680.0))
+    return A.cameras(spark, d).select("clip_id", "kf", F.round(y, 4).alias("horizon"))

@@ -67,3 +67,23 @@ def to_plane(x: Column, origin: Column, u: Column, v: Column, n: Column) -> Colu
     """Plane coordinates u, v and height over the plane."""
     d = sub(x, origin)
     return F.struct(dot(d, u).alias("u"), dot(d, v).alias("v"), dot(d, n).alias("n"))
+
+
+def horizon_y(fy: Column, cx: Column, cy: Column, fx: Column, r: Column, n: Column, x: Column) -> Column:
+    """Pixel row of a plane's vanishing line at column x; null where it is degenerate (under 1e-9)."""
+    m = [at(r, 3 * i) * at(n, 0) + at(r, 3 * i + 1) * at(n, 1) + at(r, 3 * i + 2) * at(n, 2) for i in range(3)]
+    return F.when(F.abs(m[1]) >= 1e-9, cy - fy * (m[0] * (x - cx) / fx + m[2]) / m[1])
+
+
+def look_at(eye: Column, target: Column, up: Column) -> Column:
+    """Row-major world-to-camera rotation of a camera at eye that faces target (x right, y down, z forward)."""
+    d = sub(target, eye)
+    z = F.transform(d, lambda c: c / norm(d))
+    side = cross(z, up)
+    x = F.transform(side, lambda c: c / norm(side))
+    return F.concat(x, cross(z, x), z)
+
+
+def pitch_from_horizon(f: Column, cy: Column, y: Column) -> Column:
+    """Camera pitch in radians from the row of the horizon."""
+    return F.atan2(cy - y, f)

@@ -37,3 +37,35 @@ def bucket_batches(plan: DataFrame, size: int, seed=0) -> DataFrame:
     ranked = stratum_rank(ordered, ["type"], [F.col("_h"), F.col("id")], "_r").withColumn("batch", F.expr(f"_r div {size}"))
     full = ranked.groupBy("type", "batch").agg(F.array_sort(F.collect_list(F.struct("position", "id"))).alias("m")).where(F.size("m") == size)
     return full.select("type", "batch", F.transform("m", lambda x: x.id).alias("ids"), F.element_at("m", -1).position.alias("position"))
+
+
+def token_budget_frames(batches: DataFrame, sizes: list[int], base: int, budget: int, seed=0) -> DataFrame:
+    """batch, size, frames: half of the batches take the size nearest to base, the others an even draw of all; frames fit the
+    budget of frames * size**2, at most the shortest clip of the batch, of the form 4k + 1 and 1 at least."""
+    nearest = min(sizes, key=lambda s: (abs(s - base), s))
+    drawn = F.element_at(F.array(*map(F.lit, sizes)), (F.floor(hash01(hash_key(seed, "size", "batch")) * len(sizes)) + 1).cast("int"))
+    sized = batches.withColumn("size", F.when(hash01(hash_key(seed, "half", "batch")) < 0.5, nearest).otherwise(drawn))
+    fit = F.least(F.floor(F.lit(budget) / (F.col("size") * F.col("size"))), F.col("shortest"))
+    return sized.select("batch", "size", F.greatest(F.lit(1), F.floor((fit - 1) / 4) * 4 + 1).cast("long").alias("frames"))
+
+
+def reference_frame_choice(plan: DataFrame, first: float = 0.4, seed=0) -> DataFrame:
+    """id, ref_frame: -1 where the reference is a file of its own; else frame 0 with probability `first`, others evenly."""
+    drawn = F.floor(hash01(hash_key(seed, "ref", "id")) * F.greatest(F.col("length") - 1, F.lit(1))) + 1
+    inside = F.when((F.col("length") <= 1) | (hash01(hash_key(seed, "ref0", "id")) < first), 0).otherwise(drawn)
+    return plan.select("id", F.when(F.col("has_reference"), -1).otherwise(inside).cast("long").alias("ref_frame"))
+
+
+def subject_images(meta: DataFrame, k: int = 4, seed=0) -> DataFrame:
+    """id, images: at most k of a row's images in seeded order."""
+    keyed = F.transform("images", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("image"), F.col("id").cast("string"), x)).alias("h"), x.alias("x")))
+    return meta.select("id", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s.x).alias("images"))
+
+
+def replace_bad_samples(plan: DataFrame, seed=0) -> DataFrame:
+    """id, used: each good row itself; a bad one (error not null) a seeded good row of its type; null where there is none."""
+    good = stratum_rank(plan.where("error is null").select("id", "type"), ["type"], [F.col("id")], "_r").select("type", "_r", F.col("id").alias("used"))
+    counts = good.groupBy("type").agg(F.count(F.lit(1)).alias("_n"))
+    bad = plan.where("error is not null").join(counts, "type", "left")
+    bad = bad.withColumn("_r", F.floor(hash01(hash_key(seed, "bad", "id")) * F.col("_n")))
+    return plan.where("error is null").select("id", F.col("id").alias("used")).unionByName(bad.join(good, ["type", "_r"], "left").select("id", "used"))
