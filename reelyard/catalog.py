@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelyard.functions import text, vec
@@ -82,9 +82,15 @@ def similar_captions_in_family(spark: SparkSession, d: str) -> DataFrame:
     return captions.similar_pairs(_checked(spark, d), "caption", 0.45, "family").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"WITH {A.CAPTIONS}, s AS (SELECT id, family, {_sql_tokens('caption')} AS t FROM captions) SELECT x.id AS a, y.id AS b, round({_sql_jaccard('x.t', 'y.t')}, 6) AS similarity FROM s x JOIN s y ON x.id < y.id AND x.family = y.family WHERE {_sql_jaccard('x.t', 'y.t')} > 0.45")
+def all_similar_captions_in_family(spark: SparkSession, d: str) -> DataFrame:
+    """As similar_captions_in_family, whose SQL takes one range of lengths, over captions of any length."""
+    return captions.similar_pairs(A.captions(spark, d), "caption", 0.45, "family").withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def near_duplicate_captions(spark: SparkSession, d: str) -> DataFrame:
-    return captions.near_duplicates(_checked(spark, d))
+    return captions.near_duplicates(A.captions(spark, d))
 
 
 @query(f"WITH {A.CAPTIONS}, {_ISSUE}, k AS (SELECT id, array_to_string({_sql_tokens('caption')}, ' ') AS key FROM captions), f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first_id FROM k) SELECT i.family, count(*) AS captions, count(*) FILTER (issue IS NULL) AS sound, count(*) FILTER (f.id > first_id) AS copies FROM issues i JOIN f USING (id) GROUP BY i.family")
@@ -96,6 +102,12 @@ def caption_check_flags(spark: SparkSession, d: str) -> DataFrame:
     return flagged.groupBy("family").agg(F.count(F.lit(1)).alias("captions"), F.count_if("ok").alias("sound"), F.count_if(F.col("first_id").isNotNull()).alias("copies"))
 
 
+def _verdicts(spark: SparkSession, d: str, fixed: Column) -> DataFrame:
+    labels, docs = A.table(spark, d, "labels"), A.table(spark, d, "documents").select("doc_id", "text")
+    verdict = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "ok").otherwise("fixed")
+    return labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), verdict.alias("verdict"), F.when((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0), "toxic").alias("issue"), fixed.alias("caption"))
+
+
 _VERDICTS = "verdicts AS (SELECT l.doc_id AS id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'ok' ELSE 'fixed' END AS verdict, CASE WHEN toxic = 1 AND l.doc_id % 2 = 0 THEN 'toxic' END AS issue, substr(d.text, 1, 500) AS fixed FROM labels l JOIN documents d USING (doc_id))"
 
 
@@ -103,10 +115,14 @@ _VERDICTS = "verdicts AS (SELECT l.doc_id AS id, CASE WHEN toxic = 1 THEN 'rejec
 {_ISSUE.replace("issues AS", "issues AS").replace("FROM captions)", "FROM j)")}
 SELECT id, reason IS NULL AS accepted, reason, md5(caption) AS caption_md5 FROM (SELECT id, caption, CASE WHEN verdict IS NULL THEN 'validator returned no verdict' WHEN verdict = 'ok' THEN NULL WHEN verdict = 'fixed' AND fixed <> '' THEN 'after fix: ' || issue WHEN said <> '' THEN said ELSE 'rejected by validator' END AS reason FROM issues)""")
 def verdicts_applied(spark: SparkSession, d: str) -> DataFrame:
-    labels, docs = A.table(spark, d, "labels"), A.table(spark, d, "documents").select("doc_id", "text")
-    verdict = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "ok").otherwise("fixed")
-    verdicts = labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), verdict.alias("verdict"), F.when((F.col("toxic") == 1) & (F.col("doc_id") % 2 == 0), "toxic").alias("issue"), F.substring("text", 1, 500).alias("caption"))
-    return captions.apply_verdicts(A.captions(spark, d), verdicts).select("id", "accepted", "reason", F.md5("caption").alias("caption_md5"))
+    """The verdicts alone; their SQL fixes captions by the first 500 characters."""
+    return captions.apply_verdicts(A.captions(spark, d), _verdicts(spark, d, F.substring("text", 1, 500))).select("id", "accepted", "reason", F.md5("caption").alias("caption_md5"))
+
+
+@query()
+def validated_captions(spark: SparkSession, d: str) -> DataFrame:
+    """The whole validation step, fixed captions being whole texts: rules, verdicts, near duplicates of what is accepted."""
+    return captions.validate(A.captions(spark, d), _verdicts(spark, d, F.col("text"))).select("id", "accepted", "reason", F.md5("caption").alias("caption_md5"))
 
 
 @query("WITH r AS (SELECT conv_id % 10 * 1000 + turn AS id, conv_id AS batch, turn AS item, trim(text, ' ') AS text FROM conversations WHERE text IS NOT NULL) SELECT id, batch, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC, item DESC, text DESC) AS n FROM r) WHERE n = 1")
