@@ -421,7 +421,7 @@ def kept_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
-    return A.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("clip_id"), *[F.get(e, F.lit(i)).cast("double").alias("xyz"[i]) for i in range(3)])
+    return A.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("clip_id"), *[F.get(e, F.lit(i)).cast("double").alias(name) for i, name in enumerate(("x", "y", "z", "nx", "ny", "nz"))])
 
 
 @query("SELECT CAST(label AS VARCHAR) AS clip_id, count(*) AS points, count(*) FILTER (abs(CAST(embedding[2] AS DOUBLE) + 0.01 * label) < 0.05) AS inliers FROM embeddings GROUP BY label")
