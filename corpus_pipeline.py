@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelyard.llm import decontaminate, mixing, set_join, sharding, toxicity
+from reelyard.operators.rank import running_total
 from reelyard.storage import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,11 +18,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.without_toxic(docs.select(*COLUMNS), model)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row, kept, so that the numbers stay the same: doc_ids may repeat or be null."""
+    return keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered")
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest doc_id, of each component of similar documents; those with no words stay."""
-    found = set_join.similarity_classes(docs.select("doc_id", "text"))
-    stay = found.where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """One row, one of the smallest doc_id, of each component of similar rows; those with no words stay."""
+    rows = numbered(docs)
+    found = set_join.similarity_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +38,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the mix takes its words: the number of copies is taken / size, rounded up or down
-    at random (by doc_id) in proportion to what is left, so sources keep their shares. Documents without words go once."""
-    taken, _ = mixing.mix(docs)
-    share = F.col("taken") / F.col("size")
-    draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
-    number = F.when(F.col("size") == 0, 1).otherwise(F.floor(share + draw)).cast("int")
-    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(number).alias("copies"))
-    mixed = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("copies > 0")
+    """Whole documents, each as often as the mix takes its words: the number of copies is taken / size, rounded down, or up
+    for as many rows of the source, drawn by what is left of them, as bring the source's words nearest to what the mix
+    takes: half a document at most. Documents without words go once."""
+    rows = numbered(docs)
+    taken = keep(mixing.mix(rows, key="_row")[0].select("_row", "row", "source_rank", "size", "taken"), "taken")
+    rest = F.expr("taken % greatest(size, 1)")
+    draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "row"), F.lit(1 << 40)) / float(1 << 40)
+    spare = taken.withColumn("rest", rest).where("rest > 0").withColumn("place", draw * F.col("size") / F.col("rest"))
+    ordered = running_total(spare, [F.col("source_rank"), F.col("place"), F.col("row")], F.col("size"), rank="_n", before="offset")
+    sources = ordered.groupBy("source_rank").agg(F.min("offset").alias("start"), F.sum("rest").alias("left"))
+    up = ordered.join(sources, "source_rank").where("offset - start + size / 2 <= left").select("_row", F.lit(1).alias("more"))
+    number = F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div greatest(size, 1)") + F.coalesce("more", F.lit(0))).cast("int")
+    copies = taken.join(up, "_row", "left").select("_row", number.alias("copies")).where("copies > 0")
+    mixed = rows.join(copies, "_row")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

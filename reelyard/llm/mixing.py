@@ -110,27 +110,29 @@ def block_slots(targets: DataFrame, block: int = BLOCK_WORDS, shards: int = SHAR
     return slots.select("source_rank", "slot", "shard", "block", words.cast("int").alias("words")).where("words > 0")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces): each document with size, source_size, target and taken, and the mix itself.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces): each document with size, source_rank, source_size, target and taken, and the mix itself.
 
     pieces says what output shard holds what: shard, source_rank, slot, block, doc_id, from_word, n_words. A document's
     taken is the words of its pieces, repeats counted. A null text has no words; a null source is a source of its own,
     after all others; documents without words and sources without words take part with size 0 and taken 0; each repeated
-    row counts by itself; an empty table gives empty results. Only doc_id, text and source are read.
+    row counts by itself; an empty table gives empty results. Only doc_id, text and source are read, and the column `key`,
+    which goes with the documents and orders repeated rows.
     """
-    light = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    keys = [key] if key else []
+    light = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keys), "sizes")
     targets = keep(source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
-    ordered = running_total(light, [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("size")], F.col("size"), rank="row", before="offset")
+    ordered = running_total(light, [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("size"), *map(F.col, keys)], F.col("size"), rank="row", before="offset")
     starts = running_total(targets, [F.col("source").asc_nulls_last()], F.col("source_size"), rank="_n", before="source_start")
     joined = ordered.alias("o").join(starts.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")), "left")
-    rows = joined.select("o.doc_id", "o.size", "o.row", (F.col("o.offset") - F.col("t.source_start")).alias("at"), "t.source_rank", "t.source_size", "t.target")
+    rows = joined.select("o.doc_id", *[f"o.{k}" for k in keys], "o.size", "o.row", (F.col("o.offset") - F.col("t.source_start")).alias("at"), "t.source_rank", "t.source_size", "t.target")
     spans = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     # both sides grow after their last exchange, so their sizes there must not decide on a broadcast
     met = spans.join(block_slots(targets, block, shards, seed).hint("merge"), ["source_rank", "block"])
     low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("words"))
     pieces = met.select("shard", "source_rank", "slot", "block", "row", "doc_id", (low - F.col("at")).alias("from_word"), (high - low).alias("n_words")).where("n_words > 0")
     taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    documents = rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
+    documents = rows.join(taken, "row", "left").select("doc_id", *keys, "size", "source_rank", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
     return documents, pieces
 
 

@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from reelyard.llm import toxicity
+from reelyard.llm import mixing, toxicity
 from tests.llm import test_decontaminate, test_set_join
 from tests.llm.cases import odd
 
@@ -65,3 +65,31 @@ def test_shards(stages):
 def test_odd_rows_pass_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd(spark), SF).count() <= 2 * odd(spark).count()
+
+
+def test_one_row_of_repeated_and_null_ids_stays(spark):
+    text = "a b c d e f g h i j k l m n o p"
+    rows = [(5, text), (5, text), (None, text), (None, text), (3, text + " q"), (7, "other words of a text"), (7, "quite another text of words here"), (None, "lone text without an id"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.jaccard_stage(spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows[4:])
+    alone = corpus_pipeline.jaccard_stage(spark, docs.where("doc_id is null or doc_id = 5"), SF)
+    assert ids(alone) == {5: 1, None: 1}
+
+
+def test_every_source_meets_its_target(spark, stages):
+    few = [(i % 3 if i % 2 else None, " ".join(["w"] * n), "en", s, n) for s, sizes in {"a": (9000, 4000, 7), "b": (5000,) * 4, "c": (3000, 1, 2), None: (2000, 2000, 10)}.items() for i, n in enumerate(sizes)]
+    for docs in (spark.createDataFrame(few, "doc_id long, text string, lang string, source string, n_chars long"), stages["benchmark decontamination"]):
+        before, words, longest, rows = docs.collect(), Counter(), Counter(), Counter()
+        for r in before:
+            n = len((r["text"] or "").encode().split())
+            words[r["source"]] += n
+            longest[r["source"]] = max(longest[r["source"]], n)
+            rows[(r["doc_id"], r["text"], r["source"])] += 1
+        targets = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(words.items()), "source string, source_size long")).collect()}
+        got, seen = Counter(), Counter()
+        for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect():
+            got[r["source"]] += len((r["text"] or "").encode().split())
+            seen[(r["doc_id"], r["text"], r["source"])] += 1
+        assert all(abs(got[s] - targets[s]) <= longest[s] / 2 + 1 for s in words)
+        assert all(n <= 2 * rows[k] for k, n in seen.items())
