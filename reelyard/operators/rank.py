@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelyard.storage import keep
+from reelyard.storage import keep, release
 
 
 def hash_key(seed, salt: str, *ids: str) -> Column:
@@ -18,25 +18,36 @@ def hash01(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
+_SHIFT = 33  # monotonically_increasing_id counts a partition's rows in its lower bits
+_MASK = (1 << _SHIFT) - 1
+
+
 def running_total(df: DataFrame, order: list[Column], value: Column | None = None, rank: str = "rank", before: str = "before") -> DataFrame:
     """Each row's 0-based rank in the order and the total of value over the rows before it.
 
-    The rows are range-partitioned by the order and kept once; then each partition is numbered by itself and shifted by
-    the counts and totals of the partitions before it (one row per partition, so that table is bounded by the
-    partition count and is broadcast). order must be total for a repeatable result; nulls of value count 0.
+    The rows are kept first, since dealing them out by ranges samples them; then they are sorted in ranges, numbered within
+    each, and kept once more. A range's numbers are shifted by the counts and totals of the ranges before it (one row a
+    range, so that table is bounded by the partition count and is broadcast). order must be total for a repeatable result;
+    nulls of value count 0. Columns of df that have the names of rank and before are replaced, all others stay. Give narrow
+    rows: they are written twice.
     """
-    placed = df.withColumn("_value", F.coalesce(value, F.lit(0)) if value is not None else F.lit(0)).repartitionByRange(*order)
-    placed = keep(placed.withColumn("_part", F.spark_partition_id()), "ranged")
-    so_far = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("_v"))
-    parts = parts.select("_part", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(so_far), F.lit(0)).alias("_v0"))
-    within = Window.partitionBy("_part").orderBy(*order)
-    earlier = F.coalesce(F.sum("_value").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = placed.join(F.broadcast(parts), "_part")
-    out = out.withColumn(rank, F.col("_n0") + F.row_number().over(within) - 1)
+    df = df.drop(rank, before) if value is not None else df.drop(rank)
+    # whatever the columns are called, ours have longer names
+    tag = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)) + "rank_"
+    at, part, amount, first, base = (tag + k for k in ("at", "part", "value", "first", "base"))
+    ready = keep(df.withColumn(amount, F.coalesce(value, F.lit(0)) if value is not None else F.lit(0)), "to-rank")
+    placed = ready.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = keep(placed, "ranged")
+    release(ready)
+    placed = placed.withColumn(part, F.shiftright(at, _SHIFT))
+    so_far = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("v"))
+    parts = parts.select(part, F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias(first), F.coalesce(F.sum("v").over(so_far), F.lit(0)).alias(base))
+    out = placed.join(F.broadcast(parts), part).withColumn(rank, F.col(first) + F.col(at).bitwiseAND(F.lit(_MASK)))
     if value is not None:
-        out = out.withColumn(before, F.col("_v0") + earlier)
-    return out.drop("_part", "_n0", "_v0", "_value")
+        within = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(before, F.col(base) + F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return out.drop(at, part, amount, first, base)
 
 
 def global_rank(df: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Spark drops the shuffle files of the job that wrote when it ends; the table itself stays until release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelyard/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the plan that wrote is garbage now: once both collectors have run, Spark's cleaner drops its shuffle files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _paths[kept] = path
+    return kept
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables made by keep() that nothing will read again; other tables are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None) if table is not None else None
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
