@@ -1,15 +1,15 @@
 """Removal of long repeated byte strings by run-length compressed Burrows-Wheeler indexes.
 
-Every 200-byte window of a text has an anchor: its least hashed 16-byte string, the leftmost of equals. Equal windows have
-equal anchors at equal offsets, so only windows of one anchor need to meet. The windows of one anchor occurrence form a
-segment of the text. Segments that are equal to the byte are one run: they are kept once with their number. An anchor whose
-occurrences are all one run of two or more segments is repeated wholly; for anchors with different segments, buckets of
-anchors are indexed: the suffix array gives the BWT, of which the runs are kept with the suffixes at their ends; common
-prefixes are compared at run heads only, and the matching statistics of all other positions follow by streaming the text
-(each is one less than its left neighbour's). Windows that match 200 bytes elsewhere are marked.
-
-Anchors with more than MOST different segments would make a bucket too large; their windows are grouped by hash instead,
-exactly as well.
+Every window of `length` bytes of a text has an anchor: its least hashed 48-byte string, the leftmost of equals. Equal
+windows have equal anchors at equal offsets, so only windows of one anchor need to meet. The windows of one anchor
+occurrence form a segment of the text. Segments that are equal to the byte are one run: a run of two or more is repeated
+wholly, and goes into the index once, however many they are. An anchor with different segments of which some occur once is
+indexed, in buckets of anchors: the suffix array gives the BWT, of which the runs are kept with the suffixes at their ends;
+common prefixes are compared at run heads only, and the matching statistics of all other positions follow by streaming the
+text (each is one less than its left neighbour's). Windows that match `length` bytes elsewhere are marked.
+
+An anchor with more than MOST different segments is split, with no loss, by longer anchors: the windows that start within
+REACH places of one another hold a string of length - REACH + 1 bytes in common, which is their anchor then.
 """
 
 from __future__ import annotations
@@ -24,15 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelyard.llm.members import Members
 from reelyard.llm.words import _Powers, columns, mix, to_bytes
-from reelyard.storage import keep
+from reelyard.storage import keep, release
 
 LENGTH = 200
 GRAM = 48
 MOST = 1000
+REACH = 8
+LONGEST = 30_000
+FLUSH = 1 << 20
 BUCKET_BYTES = 4 << 20
+TEXT_BYTES = 32 << 20
 STRETCH = 8 << 20
 _RAW = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# an occurrence of a segment: the row's key, first window, number of windows (and whether it is known to be repeated), anchor, segment
+_RECORD = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("low", "<u4"), ("n", "<u2"), ("anchor", "<u4"), ("anchor_", "u1"), ("seg", "<i8")])
+_TWICE = 1 << 15
 
 
 def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +51,8 @@ def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _stretch(data: bytes, offset: int, length: int):
+def _gram_keys(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each anchor-sized string, and the keys (40 bits of the hash, then the place) whose least one is the anchor."""
     raw = np.frombuffer(data, np.uint8)
     gram = min(GRAM, length)
     up, down = _Powers.of(len(raw) + 1)
@@ -51,8 +60,12 @@ def _stretch(data: bytes, offset: int, length: int):
     np.cumsum(_RAW[raw] * up[: len(raw)], out=total[1:])
     n = len(raw) - gram + 1
     hashed = mix((total[gram:] - total[:n]) * down[:n])
-    key = (hashed & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)
-    width, span = length - gram + 1, 1
+    return hashed, (hashed & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)
+
+
+def _stretch(data: bytes, offset: int, length: int):
+    hashed, key = _gram_keys(data, length)
+    width, span = length - min(GRAM, length) + 1, 1
     while 2 * span <= width:
         key = np.minimum(key[:-span], key[span:])
         span *= 2
@@ -164,122 +177,263 @@ def bucket_marks(texts: list[bytes], times: list[int], length: int) -> list[list
     at = np.concatenate(([0], np.cumsum(windows)))
     starts = np.repeat(first - at[:-1], windows) + np.arange(at[-1])
     matched = RunIndex(symbols, starts, length).matching_statistics() >= length
-    return [covered(np.arange(k) if n > 1 else np.flatnonzero(matched[low : low + k]), length) for k, n, low in zip(windows.tolist(), times, at.tolist(), strict=False)]
+    return [covered(np.arange(k) if n > 1 else np.flatnonzero(matched[low : low + k]), length) for k, n, low in zip(windows.tolist(), times, at[:-1].tolist(), strict=True)]
 
 
-def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, check, at (first window * 256 + windows - 1), anchor, seg of every segment of every text."""
+def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs of [low, high) spans."""
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    first = np.flatnonzero(np.concatenate(([True], low[1:] > reach[:-1])))
+    return low[first], reach[np.concatenate((first[1:], [len(low)])) - 1]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, checks, texts in columns(batches, "doc_id", "check", "text"):
-            part = []
-            for i, text in enumerate(texts):
-                data = to_bytes(text)
-                low, n, anchor = segments(data, length)
-                if len(low):
-                    view = memoryview(data)
-                    seg = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(low.tolist(), (low + n + length - 1).tolist(), strict=True)]
-                    part.append((np.full(len(low), i), low * 256 + n - 1, anchor.view(np.int64), np.array(seg, np.uint64).view(np.int64)))
-            if part:
-                row, at, anchor, seg = (np.concatenate(x) for x in zip(*part, strict=True))
-                whose = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(whose), pa.array(checks, pa.int32()).take(whose), pa.array(at), pa.array(anchor), pa.array(seg)], ["doc_id", "check", "at", "anchor", "seg"])
 
-    return docs.mapInArrow(cut, "doc_id long, check int, at long, anchor long, seg long")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and the key of the row: k1, k2. Rows of one doc_id and different texts have different keys."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64(F.col("doc_id").isNull(), text).alias("k2"))
 
 
-_SPANS = "array<struct<low:long,high:long>>"
+_SPAN_ROW = "k1 long, k2 long, low int, high int"
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("seg", pa.int64()), ("twice", pa.bool_()), ("kinds", pa.int64())])
+_FOUND_ROW = _SPAN_ROW + ", n int, anchor long, seg long, twice boolean, kinds long"
 
 
-def _window_marks(variants: DataFrame, length: int) -> DataFrame:
-    """anchor, seg, spans of segments whose windows, by their hashes, occur more than once."""
+def _span_batch(k1, k2, low, high) -> pa.RecordBatch:
+    """Rows of spans, without a segment; neighbouring and repeated spans of a row are one."""
+    order = np.lexsort((low, k2, k1))
+    k1, k2, low, high = (np.asarray(x, np.int64)[order] for x in (k1, k2, low, high))
+    new = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))) if len(k1) else np.zeros(0, np.int64)
+    base = np.zeros(len(k1), np.int64)  # shift each row's spans apart, so that one pass merges them all
+    if len(k1):
+        base = np.repeat(np.arange(len(new)) * (int(high.max()) + 2), np.diff(np.concatenate((new, [len(k1)]))))
+        lows, highs = merged(low + base, high + base)
+        at = np.searchsorted(low + base, lows)
+        k1, k2, base = k1[at], k2[at], base[at]
+        low, high = lows - base, highs - base
+    none = {f.name: pa.nulls(len(k1), f.type) for f in _FOUND}
+    return pa.RecordBatch.from_pydict(none | {"k1": pa.array(k1), "k2": pa.array(k2), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))}, schema=_FOUND)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors, segs, times, texts in columns(batches, "anchor", "seg", "times", "bytes"):
-            out = [(a, s, n, i, *np.frombuffer(xxhash.xxh3_128_digest(t[i : i + length]), np.int64).tolist()) for a, s, n, t in zip(anchors, segs, times, texts, strict=True) for i in range(len(t) - length + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(6)], ["anchor", "seg", "times", "at", "h1", "h2"])
 
-    each = variants.select("anchor", "seg", "times", "bytes").mapInArrow(windows, "anchor long, seg long, times long, at long, h1 long, h2 long")
-    often = each.groupBy("h1", "h2").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("h1", "h2")
-    spot = F.struct(F.col("at").alias("low"), (F.col("at") + length).alias("high"))
-    return each.join(often, ["h1", "h2"]).groupBy("anchor", "seg").agg(F.collect_list(spot).alias("spans"))
+def _repeated(anchor: np.ndarray, seg: np.ndarray, twice: np.ndarray):
+    """Order of the occurrences by anchor and segment, starts of equal segments in it, which of them are repeated, and for each
+    how many different ones its anchor has and how many of these occur once."""
+    order = np.lexsort((~twice, seg, anchor))
+    a, s = anchor[order], seg[order]
+    head_a = np.concatenate(([True], a[1:] != a[:-1]))
+    heads = np.flatnonzero(head_a | np.concatenate(([True], s[1:] != s[:-1])))
+    count = np.diff(np.concatenate((heads, [len(a)])))
+    again = (count > 1) | twice[order[heads]]
+    of_anchor = np.cumsum(head_a[heads]) - 1
+    return order, heads, count, again, np.bincount(of_anchor)[of_anchor], np.bincount(of_anchor, ~again)[of_anchor]
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, check, spans: for each text with repeats, byte spans (they may overlap) that hold every byte covered by a
-    `length`-byte string which starts anywhere else too, in the same text or another. docs has doc_id, text and check (a
-    hash of the text, so that rows of one doc_id stay apart)."""
-    found = keep(occurrences(docs, length), "segments")
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("first"), F.max("seg").alias("last")).where("n > 1")
-    again = keep(found.join(anchors.select("anchor", (F.col("first") == F.col("last")).alias("one")), "anchor"), "repeated")
-    low, windows = F.expr("at div 256"), F.expr("at % 256 + 1")
-    whole = again.where("one").select("doc_id", "check", F.struct(low.alias("low"), (low + windows + length - 1).alias("high")).alias("span"))
-
-    several = again.where("not one")
-    runs = several.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "check", "at")).alias("from"))
-    runs = keep(runs.select("anchor", "seg", "times", "from.*"), "runs")
-    per_anchor = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    wanted = runs.join(per_anchor, "anchor").groupBy("doc_id", "check").agg(F.collect_list(F.struct("anchor", "seg", "times", "at", "kinds")).alias("cuts"))
+def occurrences(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """bucket, rec (packed occurrences of the bucket's anchors), spans (packed k1, k2, low, high of segments met twice here).
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, cuts in columns(batches, "text", "cuts"):
-            out = []
-            for text, here in zip(texts, cuts, strict=True):
-                data = to_bytes(text)
-                out += [(c["anchor"], c["seg"], c["times"], c["kinds"], data[c["at"] // 256 : c["at"] // 256 + c["at"] % 256 + length]) for c in here]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary() if k == 4 else pa.int64()) for k in range(5)], ["anchor", "seg", "times", "kinds", "bytes"])
+    What a task sees twice it knows to be repeated: of these it sends one on, so an anchor that very many rows share is met
+    by one occurrence of each different segment from each part of a task."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[np.ndarray] = []
+        whole: list[np.ndarray] = []
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            rec, anchor = np.concatenate(part), np.concatenate(whole)
+            order, heads, count, _, _, _ = _repeated(anchor, rec["seg"], np.zeros(len(rec), bool))
+            sent, met = order[heads], order[np.repeat(count > 1, count)]
+            spans = np.stack((rec["k1"][met], rec["k2"][met], rec["low"][met].astype(np.int64), rec["low"][met].astype(np.int64) + rec["n"][met] + length - 1))
+            rec["n"][sent] |= np.where(count > 1, _TWICE, 0).astype(np.uint16)
+            bucket = (anchor[sent] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+            packed = [rec[sent[by[edges[b] : edges[b + 1]]]].tobytes() for b in full]
+            # the spans go with any bucket: they only pass through
+            aside = _span_batch(*spans)
+            passed = np.stack([aside.column(k).to_numpy().astype(np.int64) for k in range(4)]).tobytes() if aside.num_rows else None
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary()), pa.array([passed if i == 0 else None for i in range(len(full))], pa.binary())], ["bucket", "rec", "spans"])
+
+        for k1s, k2s, texts in columns(batches, "k1", "k2", "text"):
+            for k1, k2, text in zip(k1s, k2s, texts, strict=True):
+                data = to_bytes(text)
+                low, n, anchor = segments(data, length)
+                if not len(low):
+                    continue
+                view, rec = memoryview(data), np.zeros(len(low), _RECORD)
+                rec["k1"], rec["k2"], rec["low"], rec["n"] = k1, k2, low, n
+                rec["anchor"], rec["anchor_"] = (anchor >> np.uint64(32)).astype(np.uint32), (anchor >> np.uint64(24)).astype(np.uint8)
+                rec["seg"] = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(low.tolist(), (low + n + length - 1).tolist(), strict=True)], np.uint64).view(np.int64)
+                part.append(rec)
+                whole.append(anchor)
+                waiting += len(rec)
+                if waiting >= FLUSH:
+                    yield flush()
+                    part, whole, waiting = [], [], 0
+        if part:
+            yield flush()
+
+    return docs.select("k1", "k2", "text").mapInArrow(cut, "bucket int, rec binary, spans binary")
+
+
+def meet(cuts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """k1, k2, low, high of spans that are repeated wholly (anchor null), and the segments to index: of each anchor that has
+    different ones of which some occur once, one occurrence of each, with twice (the segment is repeated) and kinds (how many
+    different ones the anchor has)."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for rec, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts.append(rec)
+                if spans:
+                    yield _span_batch(*np.frombuffer(spans, np.int64).reshape(4, -1))
+        if not parts:
+            return
+        rec = np.frombuffer(b"".join(parts), _RECORD)
+        del parts
+        anchor = rec["anchor"].astype(np.int64) << 8 | rec["anchor_"]
+        known = rec["n"] >= _TWICE
+        n, low = (rec["n"] & (_TWICE - 1)).astype(np.int64), rec["low"].astype(np.int64)
+        order, heads, count, again, kinds, single = _repeated(anchor, rec["seg"], known)
+        met = order[np.repeat(again, count)]
+        met = met[~known[met]]  # the others' spans are out already
+        yield _span_batch(rec["k1"][met], rec["k2"][met], low[met], low[met] + n[met] + length - 1)
+        ask = np.flatnonzero((kinds > 1) & (single > 0))
+        at = order[heads[ask]]
+        yield pa.RecordBatch.from_arrays([pa.array(rec["k1"][at]), pa.array(rec["k2"][at]), pa.array(low[at].astype(np.int32)), pa.array((low[at] + n[at] + length - 1).astype(np.int32)), pa.array(n[at].astype(np.int32)), pa.array(anchor[at]), pa.array(rec["seg"][at]), pa.array(again[ask]), pa.array(kinds[ask])], schema=_FOUND)
+
+    return cuts.repartitionById(buckets, "bucket").mapInArrow(match, _FOUND_ROW)
+
+
+def parts_of(data: bytes, low: int, n: int, length: int, reach: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(longer anchor, first window, windows, bytes) of the parts of a segment whose windows start in one stretch of `reach`
+    places before the anchor."""
+    piece = data[low : low + n + length - 1]
+    _, key = _gram_keys(piece[:length], length)
+    anchor, reach = int(key.argmin()), min(reach, length)
+    for stretch in range((anchor - n + 1) // reach, anchor // reach + 1):
+        far, close = (stretch + 1) * reach - 1, stretch * reach  # how far before the anchor the windows start
+        first, last = max(anchor - far, 0), min(anchor - close, n - 1)
+        common = piece[anchor - close : anchor - far + length]  # in all windows of the stretch, wherever the segment ends
+        yield xxhash.xxh3_64_intdigest(common, seed=stretch) >> 1, low + first, last - first + 1, piece[first : last + length]
+
+
+def variants(docs: DataFrame, found: DataFrame, length: int, most: int, reach: int = REACH) -> DataFrame:
+    """The segments to index with their bytes, those of anchors with over `most` kinds in parts of longer anchors."""
+    wanted = found.where("anchor is not null").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "n", "anchor", "seg", "twice", "kinds")).alias("cuts"))
+    wanted = keep(wanted, "wanted")
+    holders = Members.of(wanted, "k2").filter(docs, "k2")
     # one row of a repeated (doc_id, text) is enough
-    sources = docs.join(wanted, [docs["doc_id"].eqNullSafe(wanted["doc_id"]), docs["check"] == wanted["check"]]).select("text", "cuts")
-    variants = keep(sources.mapInArrow(slices, "anchor long, seg long, times long, kinds long, bytes binary").dropDuplicates(["anchor", "seg"]), "variants")
+    sources = holders.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
 
-    total = variants.where(F.col("kinds") <= most).agg(F.sum(F.length("bytes"))).first()[0] or 0
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for k1s, k2s, texts, cuts in columns(batches, "k1", "k2", "text", "cuts"):
+            pieces, spans = [], []
+            for k1, k2, text, here in zip(k1s, k2s, texts, cuts, strict=True):
+                if last == (k1, k2):  # rows of one key come together
+                    continue
+                data, last = to_bytes(text), (k1, k2)
+                for c in here:
+                    low, n, twice = c["low"], c["n"], c["twice"]
+                    if c["kinds"] <= most:
+                        pieces.append([k1, k2, low, n, c["anchor"], c["seg"], twice, data[low : low + n + length - 1], None])
+                    else:
+                        for anchor, first, some, piece in parts_of(data, low, n, length, reach):
+                            pieces.append([k1, k2, first, some, -1 - anchor, xxhash.xxh3_64_intdigest(piece) - 2**63, twice, piece, None])
+            # of equal parts that meet here one goes on, known to be repeated; the spans of all of them are known then
+            kept: dict[tuple, list] = {}
+            for p in pieces:
+                one = kept.setdefault((p[4], p[5]), p)
+                if one is not p:
+                    spans += [[q[0], q[1], q[2], None, None, None, None, None, q[2] + q[3] + length - 1] for q in (one, p) if not q[6]]
+                    one[6] = True
+            rows = [*kept.values(), *spans]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["k1", "k2", "low", "n", "anchor", "seg", "twice", "bytes", "high"])
+
+    made = keep(sources.mapInArrow(slices, "k1 long, k2 long, low int, n int, anchor long, seg long, twice boolean, bytes binary, high int"), "variants")
+    release(wanted)
+    return made
+
+
+def indexed(pieces: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
+    """k1, k2, low, high of the windows that are repeated within the variants' buckets, by the run-length index."""
+    total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
 
     def index(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["anchor", "seg"])
-        marks = bucket_marks(part["bytes"].to_list(), part["times"].to_list(), length)
-        rows = [(a, s, [{"low": x, "high": y} for x, y in m]) for a, s, m in zip(part["anchor"], part["seg"], marks, strict=True) if m]
-        return pd.DataFrame(rows, columns=["anchor", "seg", "spans"])
+        part = part.sort_values(["anchor", "seg", "k1", "k2", "low"])
+        kinds = part.groupby(["anchor", "seg"], sort=False)
+        times = kinds["twice"].transform("max").to_numpy(bool) | (kinds["low"].transform("size").to_numpy() > 1)
+        first = ~part.duplicated(["anchor", "seg"]).to_numpy()
+        rows = []
+        for k1, k2, low, n, done, more in zip(part["k1"], part["k2"], part["low"], part["n"], part["twice"], times, strict=True):
+            if more and not done:
+                rows.append((k1, k2, low, low + n + length - 1))
+        chosen, often = part[first], times[first]
+        marks = bucket_marks(chosen["bytes"].to_list(), np.where(often, 2, 1).tolist(), length)
+        for k1, k2, low, more, spans in zip(chosen["k1"], chosen["k2"], chosen["low"], often, marks, strict=True):
+            if not more:
+                rows += [(k1, k2, low + a, low + b) for a, b in spans]
+        return pd.DataFrame(rows, columns=["k1", "k2", "low", "high"])
+
+    dealt = pieces.where("bytes is not null").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(index, _SPAN_ROW)
+
 
-    small = variants.where(F.col("kinds") <= most).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    marks = small.groupBy("bucket").applyInPandas(index, f"anchor long, seg long, spans {_SPANS}")
-    marks = marks.unionByName(_window_marks(variants.where(F.col("kinds") > most), length))
-    moved = F.transform("spans", lambda s: F.struct((s.low + low).alias("low"), (s.high + low).alias("high")))
-    partly = several.join(marks, ["anchor", "seg"]).select("doc_id", "check", F.explode(moved).alias("span"))
-    return whole.unionByName(partly).groupBy("doc_id", "check").agg(F.collect_list("span").alias("spans"))
+def repeat_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """k1, k2, spans: for each text (of keyed() rows) with repeats, byte spans (they may overlap) that hold every byte covered
+    by a `length`-byte string which starts anywhere else too, in the same text or another."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TEXT_BYTES))
+    found = keep(meet(occurrences(docs, length, buckets), length, buckets), "met")
+    pieces = variants(docs, found, length, most)
+    spans = found.where("anchor is null").select("k1", "k2", "low", "high")
+    spans = spans.unionByName(pieces.where("bytes is null").select("k1", "k2", "low", "high")).unionByName(indexed(pieces, length, bucket_bytes))
+    out = keep(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
+    release(found, pieces)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row of docs.
 
     A null text is empty; texts under `length` bytes keep all; a repeated row is a text of its own, so both lose what they
-    share; equal rows and ties give equal results; an empty table gives an empty one; other columns are not read.
+    share; equal rows and ties give equal results; an empty table gives an empty one; other columns are not read. length is
+    at most LONGEST.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("check", F.hash("text"))
-    spans = repeat_spans(texts, length, most).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), "spans")
+    if not 1 <= length <= LONGEST:
+        raise ValueError(f"length must be from 1 to {LONGEST}")
+    texts = keyed(docs)
+    spans = repeat_spans(texts, length, most)
+    # texts without spans are done here; only the others' bytes meet their spans
+    hit = Members.of(spans, "k2").test("k2")
+    light = texts.withColumn("hit", hit).select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("hit"), F.col("text")).alias("text"), F.when(~F.col("hit"), F.sha2("text", 256)).alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies, cuts in columns(batches, "doc_id", "text", "spans"):
+        for ids, sizes, bodies, kepts, cuts in columns(batches, "doc_id", "n_bytes", "text", "kept", "spans"):
             out = []
-            for text, here in zip(bodies, cuts, strict=True):
-                data, merged = to_bytes(text), []
-                for low, high in sorted((s["low"], s["high"]) for s in here or ()):
-                    if merged and low <= merged[-1][1]:
-                        merged[-1][1] = max(high, merged[-1][1])
-                    else:
-                        merged.append([low, high])
-                kept, at = hashlib.sha256(), 0
-                for low, high in merged:
-                    kept.update(data[at:low])
-                    at = high
-                kept.update(data[at:])
-                out.append((len(data), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), [{"low": a, "high": b} for a, b in merged]))
+            for size, text, whole, here in zip(sizes, bodies, kepts, cuts, strict=True):
+                low = high = np.zeros(0, np.int64)
+                if text is not None:
+                    if here:
+                        low, high = merged(np.array([s["low"] for s in here], np.int64), np.array([s["high"] for s in here], np.int64))
+                    data, rest, at = to_bytes(text), hashlib.sha256(), 0
+                    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                        rest.update(data[at:a])
+                        at = b
+                    rest.update(data[at:])
+                    whole = rest.hexdigest()
+                out.append((size, int((high - low).sum()), len(low), whole, [{"low": a, "high": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {_SPANS}")
+    joined = light.join(spans, ["k1", "k2"], "left").select("doc_id", "n_bytes", "text", "kept", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>")
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:

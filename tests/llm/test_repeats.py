@@ -44,6 +44,31 @@ def test_against_brute_force(spark, most):
     assert rows_of(repeats.remove_repeats(docs, most=most)) == want
 
 
+@pytest.mark.parametrize("length", [20, 200, 320, 500])
+def test_other_lengths_and_null_ids(spark, length):
+    draw = random.Random(length)
+    text = lambda n: "".join(draw.choice("abcd ") for _ in range(n))
+    shared = text(900)
+    texts = [text(300) + shared[draw.randrange(200) : 900 - draw.randrange(200)] + text(300) for _ in range(7)] + [text(1200) for _ in range(4)] + [shared, shared, None, ""]
+    for ids in (range(len(texts)), [None] * len(texts), [1] * len(texts)):
+        rows = list(zip(ids, texts, strict=True))
+        want = sorted((-1 if i is None else i, *w) for (i, _), w in zip(rows, brute(texts, length), strict=True))
+        assert rows_of(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, most=3)) == want
+
+
+def test_a_hot_anchor_with_very_many_segments(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(70)]
+    texts = []
+    for _ in range(400):
+        copy = [word(), *passage, word()]
+        copy[draw.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(repeats.remove_repeats(docs, most=20)) == sorted((i, *w) for i, w in enumerate(brute(texts, 200)))
+
+
 def test_matching_statistics():
     import numpy as np
 
