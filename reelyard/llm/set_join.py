@@ -2,11 +2,15 @@
 
 Documents with equal sets are one class. The classes' sets share one order of shingles, by rising frequency among the very
 frequent ones and by hash before these; two similar sets share one of the first shingles of both (prefix filter), so
-postings of these prefixes are dealt by shingle. In a short list every pair that passes the bounds on sizes and positions is
-a candidate; list entries are ordered by set size, and a whole block of partners is skipped where sizes or positions rule it
-out. A long list is settled by relations to a leader: members that are similar to it join its component; what a member still
-can be similar to follows from both distances to the leader by the triangle inequality, so the answers of a set similar to
-the leader are derived from the leader's. The rest goes on with a new leader.
+postings of these prefixes are dealt by shingle. A list's entries are ordered by set size, and what sizes and positions rule
+out is skipped as a block: a set meets none of the entries after the first that is too large for it, and an entry too far
+down its own set meets larger sets' entries only.
+
+In short lists all pairs that pass are candidates. A long list is settled by relations to leaders: its sets are compared with
+a leader first, similar ones join its component, and whatever is inside one component needs no more answers, since what
+matters of a set highly similar to its leader follows from the leader's. Lists in which several components still meet go on
+with leaders of their largest component. What is left at last is compared in full: sets outside the largest component with
+one another, as pairs, and with the component's members, which come in blocks so that no pair of these is ever written.
 """
 
 from __future__ import annotations
@@ -20,17 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelyard.llm.components import components
+from reelyard.llm.members import Members
 from reelyard.llm.words import columns, mix, shingle_hashes, to_bytes, word_hashes
-from reelyard.storage import keep
+from reelyard.storage import keep, release
 
 WIDTH = 5
 SHORT = 8
-LONG = 256
+HOT = 50_000
+SALTS = 16
+CELL = 2048
+BLOCK = 512
 FREQUENT = 48
 FREQUENT_ROWS = 200_000
 FLUSH = 1 << 20
-FILTER_BITS = 1 << 22
-ROUNDS = 3
+FLUSH_SETS = 1 << 16
+ROUNDS = 2
+LEADERS = 4
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -39,8 +48,8 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(to_bytes(text)), width) >> np.uint64(1))
 
 
-def frequent_shingles(docs: DataFrame, least: int = FREQUENT, rows: int = FREQUENT_ROWS) -> np.ndarray:
-    """At most `rows` frequent shingles, rarest first. They only order the sets (any order gives the same answers), so each
+def frequent_shingles(docs: DataFrame, least: int = FREQUENT, rows: int = FREQUENT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """At most `rows` frequent shingles, rarest first, and their counts as far as seen. They only order the sets (any order gives the same answers), so each
     task may report what it saw often, and what is rare everywhere stays out."""
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +74,7 @@ def frequent_shingles(docs: DataFrame, least: int = FREQUENT, rows: int = FREQUE
     seen = docs.select("text").mapInArrow(often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = seen.where(F.col("n") >= least).orderBy(F.col("n").desc(), "shingle").limit(rows).toPandas()
     top = top.sort_values(["n", "shingle"])
-    return top["shingle"].to_numpy(np.int64).view(np.uint64)
+    return top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
 
 
 class Order:
@@ -131,8 +140,12 @@ def digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix binary, bits binary")
 
 
-def postings(classes: DataFrame, buckets: int) -> DataFrame:
-    """The prefixes' postings in blobs by bucket: ids and sizes of sets, and for each posting a set's number, place, token."""
+def postings(classes: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """The prefixes' postings in blobs by bucket: ids and sizes of sets, and for each posting a set's number, place, token.
+
+    A posting's place is stored up to 65535 (a lower place only loosens the bounds). Tokens that are hot, very frequent ones,
+    are dealt over SALTS buckets by set."""
+    shared = classes.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, tokens = [], [], []
@@ -140,20 +153,21 @@ def postings(classes: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             length = np.array([len(t) for t in tokens])
-            token, which = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.uint32), length)
-            place = (np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint32)
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
+            token, which = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.uint16), length)
+            place = np.minimum(np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length), 65535).astype(np.uint16)
+            all_ids, all_sizes = np.array(ids, np.int64), np.array(sizes, np.uint32)
+            salt = np.where(np.isin(token, shared.value), mix(all_ids.view(np.uint64))[which] % np.uint64(SALTS), np.uint64(0))
+            bucket = ((token + salt) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            all_ids, all_sizes = np.array(ids, np.int64), np.array(sizes, np.uint32)
             rows = []
             for b in range(buckets):
                 part = order[edges[b] : edges[b + 1]]
                 if len(part):
                     here, number = np.unique(which[part], return_inverse=True)
                     raw = token[part].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    rows.append((b, all_ids[here].tobytes(), all_sizes[here].tobytes(), number.astype(np.uint32).tobytes(), place[part].tobytes(), raw))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(6)], ["bucket", "ids", "sizes", "number", "place", "token"])
+                    rows.append((b, all_ids[here].tobytes(), all_sizes[here].tobytes(), number.astype(np.uint16).tobytes(), place[part].tobytes(), raw))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], ["bucket", "ids", "sizes", "number", "place", "token"])
 
         for part_ids, part_sizes, prefixes in columns(batches, "rep", "n", "prefix"):
             for i, n, raw in zip(part_ids, part_sizes, prefixes, strict=True):
@@ -161,13 +175,13 @@ def postings(classes: DataFrame, buckets: int) -> DataFrame:
                 sizes.append(n)
                 tokens.append(_from_five(raw))
                 waiting += len(tokens[-1])
-            if waiting > FLUSH:
+            if waiting > FLUSH or len(ids) > FLUSH_SETS - 256:
                 yield flush()
                 ids, sizes, tokens, waiting = [], [], [], 0
         if ids:
             yield flush()
 
-    return classes.mapInArrow(run, "bucket long, ids binary, sizes binary, number binary, place binary, token binary")
+    return classes.mapInArrow(run, "bucket int, ids binary, sizes binary, number binary, place binary, token binary")
 
 
 def may_pass(n1, p1, n2, p2):
@@ -177,15 +191,45 @@ def may_pass(n1, p1, n2, p2):
     return (4 * n1 >= 3 * n2) & (p1 <= n1 - (6 * n1 + 6) // 7) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need)
 
 
-def list_pairs(blobs: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
-    """From each shingle's list: a, b (pairs to check; token null) of short ones, the entries a, n, place, token of long ones."""
+def meetings(group: np.ndarray, n: np.ndarray, place: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, second) places of entries of one group, of different kinds, that pass the bounds. The entries come by group,
+    then size. An entry whose place is beyond its set's index prefix starts no pair; one that met a set too large for it, or
+    the group's end, is skipped from there on."""
+    live = np.flatnonzero(place <= n - (6 * n + 6) // 7)
+    # of equal sizes either may be the smaller: let entries also look back among these
+    found, step = [], 0
+    while len(live):
+        step += 1
+        live = live[live + step < len(n)]
+        live = live[(group[live] == group[live + step]) & (4 * n[live] >= 3 * n[live + step])]
+        good = live[may_pass(n[live], place[live], n[live + step], place[live + step]) & (kind[live] != kind[live + step])]
+        found.append((good, good + step))
+    live, step = np.flatnonzero(place <= n - (6 * n + 6) // 7), 0
+    while len(live):
+        step += 1
+        live = live[live - step >= 0]
+        live = live[(group[live] == group[live - step]) & (n[live] == n[live - step])]
+        good = live[may_pass(n[live], place[live], n[live - step], place[live - step]) & (kind[live] != kind[live - step])]
+        found.append((good - step, good))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(f for f, _ in found)]), np.concatenate([none, *(g for _, g in found)])
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+
+
+def list_pairs(blobs: DataFrame, buckets: int, short: int, hot: np.ndarray) -> DataFrame:
+    """From each shingle's list: a, b (pairs to check; token null) of short lists, and of long ones the pairs with two
+    leaders; and the entries a, n, place, token of long ones."""
+    shared = blobs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
             for ids, sizes, number, place, token in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "sizes", "number", "place", "token")), strict=True):
-                which = np.frombuffer(number, np.uint32)
-                parts.append((np.frombuffer(ids, np.int64)[which], np.frombuffer(sizes, np.uint32)[which].astype(np.int64), np.frombuffer(place, np.uint32).astype(np.int64), _from_five(token)))
+                which = np.frombuffer(number, np.uint16)
+                parts.append((np.frombuffer(ids, np.int64)[which], np.frombuffer(sizes, np.uint32)[which].astype(np.int64), np.frombuffer(place, np.uint16).astype(np.int64), _from_five(token)))
         if not parts:
             return
         ids, n, place, token = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -194,22 +238,26 @@ def list_pairs(blobs: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
         ids, n, place, token = ids[order], n[order], place[order], token[order]
         edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         count = np.repeat(np.diff(edges), np.diff(edges))
-        brief = (count > 1) & (count <= short)
-        ids_s, n_s, place_s, token_s = ids[brief], n[brief], place[brief], token[brief]
-        pairs = [np.zeros((0, 2), np.int64)]
-        for step in range(1, short):
-            same = np.flatnonzero(token_s[:-step] == token_s[step:]) if len(token_s) > step else np.zeros(0, np.int64)
-            good = same[may_pass(n_s[same], place_s[same], n_s[same + step], place_s[same + step]) & (ids_s[same] != ids_s[same + step])]
-            pairs.append(np.stack((np.minimum(ids_s[good], ids_s[good + step]), np.maximum(ids_s[good], ids_s[good + step])), axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0)
-        if len(found):
-            none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), none, none, none], ["a", "b", "n", "place", "token"])
-        lengthy = count > short
-        if lengthy.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lengthy]), pa.nulls(int(lengthy.sum()), pa.int64()), pa.array(n[lengthy]), pa.array(place[lengthy]), pa.array(token[lengthy].view(np.int64))], ["a", "b", "n", "place", "token"])
-
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "a long, b long, n long, place long, token long")
+        lengthy = (count > short) | np.isin(token, shared.value)
+        brief = (count > 1) & ~lengthy
+        one, two = meetings(token[brief], n[brief], place[brief], ids[brief])
+        pairs = [np.stack((ids[brief][one], ids[brief][two]), axis=1)]
+        ids, n, place, token = ids[lengthy], n[lengthy], place[lengthy], token[lengthy]
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        if len(starts):
+            lot, size = mix(ids.view(np.uint64)), np.diff(np.concatenate((starts, [len(token)])))
+            by = np.lexsort((lot, np.repeat(np.arange(len(starts)), size)))
+            for at in (by[starts], by[starts + size - 1]):  # the least and the greatest by lot lead
+                lead = np.repeat(at, size)
+                fits = (ids != ids[lead]) & (4 * np.minimum(n, n[lead]) >= 3 * np.maximum(n, n[lead]))
+                pairs.append(np.stack((ids[fits], ids[lead][fits]), axis=1))
+        found = np.concatenate(pairs)
+        found = _distinct_pairs(found[:, 0], found[:, 1])
+        none = pa.nulls(len(found), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), none, none, none], ["a", "b", "n", "place", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(n), pa.array(place), pa.array(token.view(np.int64))], ["a", "b", "n", "place", "token"])
+
+    return blobs.repartitionById(buckets, "bucket").mapInArrow(run, "a long, b long, n long, place long, token long")
 
 
 def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
@@ -228,26 +276,18 @@ def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a long, b long, most double")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """id, set of the documents with these ids.
-
-    Whole texts aren't shuffled: a bitmap of hashed ids, of a fixed size, says which texts can be wanted, and the join drops
-    what passed by chance."""
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set of the documents with these ids. Texts aren't shuffled, and few that can't be wanted are read in Python."""
     wanted = keep(ids.distinct(), "wanted")
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words_ = wanted.groupBy(F.expr(f"pmod(xxhash64(id), {bits}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("mask"))
-    table = np.zeros(bits // 64, np.int64)
-    for r in words_.toLocalIterator():  # at most bits / 64 rows
-        table[r["word"]] = r["mask"]
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, at, texts in columns(batches, "doc_id", "place", "text"):
-            take = [(i, shingle_set(t).tobytes()) for i, p, t in zip(own, at, texts, strict=True) if i is not None and shared.value[p]]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in take], pa.int64()), pa.array([x for _, x in take], pa.binary())], ["id", "set"])
+        for own, texts in columns(batches, "id", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], ["id", "set"])
 
-    made = docs.select(F.col("doc_id").alias("id"), "text").select(F.col("id").alias("doc_id"), place.alias("place"), "text").mapInArrow(run, "id long, set binary")
-    return made.join(wanted, "id", "left_semi")
+    likely = Members.of(wanted, "id").filter(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    made = keep(likely.mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi"), "sets")
+    release(wanted)
+    return made
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,87 +307,151 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 SIMILAR = "100 * both >= 75 * either"
 
 
-def _passing(x: str, y: str):
-    """may_pass for columns x.n, x.place, y.n, y.place, the smaller set first."""
-    n1, p1, n2, p2 = f"{x}.n", f"{x}.place", f"{y}.n", f"{y}.place"
-    return F.expr(f"4 * {n1} >= 3 * {n2} and {p1} <= {n1} - (6 * {n1} + 6) div 7 and 1 + least({n1} - {p1} - 1, {n2} - {p2} - 1) >= (3 * ({n1} + {n2}) + 6) div 7")
-
-
-def _ordered_pairs(x: DataFrame, y: DataFrame, condition) -> DataFrame:
-    """Pairs of entries of one list, one from x and one from y, that the condition and the bounds let pass."""
-    smaller = F.expr("(x.n < y.n or x.n = y.n and x.a < y.a)")
-    bound = F.when(smaller, _passing("x", "y")).otherwise(_passing("y", "x"))
-    met = x.alias("x").join(y.alias("y"), F.expr("x.token = y.token and x.a <> y.a")).where(bound if condition is None else bound & condition)
-    return met.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
-
-
-def by_length(entries: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
-    """Entries of lists up to longest, and of longer ones."""
-    many = entries.groupBy("token").count().where(F.col("count") > longest).select("token")
-    return entries.join(many, "token", "left_anti"), entries.join(many, "token", "left_semi")
-
-
-def settle_long_lists(entries: DataFrame, bits: DataFrame, sets: DataFrame, longest: int = LONG) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(links, pairs still to check) of the entries (a, n, place, token) of long lists.
-
-    A round measures the distance d of every entry of a list to its leader (by a fixed hash, so lists of the same sets have
-    the same leader), unless the bitmaps show that it is over 1/2. Similar entries leave the list. Of these, x, and the
-    entries y that stay, only pairs with d(y) - d(x) <= 1/4 can be similar; they are to be checked. Rounds go on while a
-    list is longer than `longest` and the last round took a tenth; then all pairs left in a list are to be checked.
-    """
-    links, pairs = [], []
-    left = entries.count()
-    while left:
-        lead = entries.groupBy("token").agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a"))).alias("lead"))
-        named = entries.join(lead.select("token", F.col("lead.a").alias("leader")), "token")
-        star = named.where("a <> leader").select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
-        # who can't be half as similar to the leader is too far from all that are similar to it
-        measured = keep(overlaps(possible(star, bits, 1, 2).select("a", "b"), sets), "stars")
-        links.append(measured.where(SIMILAR).select("a", "b"))
-        far = 1 - F.col("both") / F.col("either")
-        ends = measured.select(F.col("a").alias("_x"), F.col("b").alias("_y"), far.alias("d"), F.expr(SIMILAR).alias("near"))
-        ends = ends.unionByName(ends.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"), "d", "near"))
-        known = keep(named.where("a <> leader").join(ends, (F.col("a") == F.col("_x")) & (F.col("leader") == F.col("_y")), "left").select("token", "a", "n", "place", "d", "near"), "entries")
-        stay = known.where("not coalesce(near, false)")
-        edge = stay.where(F.col("d") <= 0.5 + 1e-9)
-        if not edge.isEmpty():
-            pairs.append(keep(_ordered_pairs(known.where("near"), edge, F.expr("y.d - x.d <= 0.25 + 1e-9")), "edge"))
-        rest = keep(stay.select("a", "n", "place", "token"), "entries")
-        before, (few, entries) = left, by_length(rest, longest)
-        pairs.append(_ordered_pairs(few, few, F.expr("x.a < y.a")))
-        left = entries.count()
-        if left > 0.9 * before:
-            break
-    if left:
-        pairs.append(_ordered_pairs(entries, entries, F.expr("x.a < y.a")))
-    return links, pairs
-
-
-def link_components(pairs: DataFrame, links: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, component from the links and from the pairs (a, b, most) to check.
+def link(pairs: DataFrame, labels: DataFrame | None, sets: DataFrame, spark: SparkSession, rounds: int = ROUNDS) -> DataFrame:
+    """labels (node, component; nodes that are alone have no row) with the components that similar pairs (a, b, most) join.
 
     Pairs inside a component need no check. A round checks, of the pairs between components, the likeliest of each
     component, and drops what it checked; after some rounds all that are left between components are checked.
     """
-    links, found, left = keep(links, "links"), None, keep(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "left")
+    labels = labels if labels is not None else spark.createDataFrame([], "node long, component long")
+    left = keep(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "left")
     for last in [False] * rounds + [True]:
-        found = components(links)
-        of_a, of_b = (found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
+        of_a, of_b = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
         named = left.join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", "most", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        left = keep(named.where("ca <> cb"), "left")
+        before, left = left, keep(named.where("ca <> cb"), "left")
+        release(before)
         if left.isEmpty():
-            return found
+            break
         ask = left.select("a", "b")
         if not last:
             ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("most", "a", "b").alias("p"))
             ask = ends.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
         checked = keep(overlaps(ask, sets), "checked")
-        links = keep(links.unionByName(checked.where(SIMILAR).select("a", "b")), "links")
-        left = left.select("a", "b", "most").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return components(links)
+        labels = joined(labels, checked.where(SIMILAR).select("a", "b"))
+        before, left = left, left.select("a", "b", "most").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        left = keep(left, "left")
+        release(before, checked)
+    release(left)
+    return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with more links: the old components are stars around their names, so the graph has few steps."""
+    new = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(links))
+    release(labels)
+    return new
+
+
+def open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries (a, n, place, token) of lists in which several components meet, with comp, and the list's largest
+    component: main, and how many entries aren't in it: rest."""
+    named = entries.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").select("a", "n", "place", "token", F.coalesce("component", "a").alias("comp"))
+    counts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    lists = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all")).where("all > top.k")
+    return named.join(lists.select("token", F.col("top.comp").alias("main"), F.expr("all - top.k").alias("rest")), "token")
+
+
+def leader_pairs(entries: DataFrame, lot: int) -> DataFrame:
+    """Pairs of the entries outside a list's largest component with one leader, by lot, of that component."""
+    leads = entries.where("comp = main").groupBy("token").agg(F.min_by("a", F.xxhash64(F.lit(lot), "a")).alias("leader"), F.min_by("n", F.xxhash64(F.lit(lot), "a")).alias("m"))
+    met = entries.where("comp <> main").join(leads, "token").where("4 * least(n, m) >= 3 * greatest(n, m)")
+    return met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
+
+
+def outer_pairs(entries: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs between different components of the entries outside a list's largest one, as far as the bounds let them pass.
+
+    A list of more than `cell` such entries is cut into parts, of which every two meet in a task of their own."""
+    spread = entries.where("comp <> main").withColumn("parts", F.ceil(F.col("rest") / cell).cast("int"))
+    spread = spread.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = spread.select("token", "a", "n", "place", "comp", "part", other).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "n", "place", "comp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        token, i, j, part, ids, n, place, comp = (table.column(c).to_numpy() for c in ("token", "i", "j", "part", "a", "n", "place", "comp"))
+        order = np.lexsort((ids, n, j, i, token))
+        token, i, j, part, ids, n, place, comp = (x[order] for x in (token, i, j, part, ids, n, place, comp))
+        group = np.cumsum(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        one, two = meetings(group, n, place, comp)
+        cross = (i[one] == j[one]) | (part[one] != part[two])  # pairs within a part meet in its own cell
+        found = _distinct_pairs(ids[one[cross]], ids[two[cross]])
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def found_inside(entries: DataFrame, labels: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b: for each entry outside a list's largest component and each block of that component's members, a link if there is
+    one. Members' sets come once; an entry's set comes once to each block."""
+    # whether any entry of the component lets a smaller or larger set pass, by sizes and index prefixes
+    early = F.expr("place <= n - (6 * n + 6) div 7")
+    inner = entries.where("comp = main").groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(early.cast("int")).alias("early"))
+    asks = entries.where("comp <> main").join(inner, "token").where("4 * n >= 3 * low and 3 * n <= 4 * high").where(early | (F.col("early") == 1))
+    asks = keep(asks.select("a", "main").distinct(), "asks")
+    wanted = asks.select("main").distinct()
+    members = labels.select(F.col("node").alias("a"), F.col("component").alias("main")).unionByName(wanted.select(F.col("main").alias("a"), "main")).distinct().join(wanted, "main", "left_semi")
+    members = keep(members, "members")
+    blocks = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    owners = members.join(blocks, "main").select("main", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("asks"), "a")
+    askers = asks.join(blocks, "main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("asks"), "a")
+    rows = owners.unionByName(askers).join(sets.select(F.col("id").alias("a"), "set"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, held, table = None, [], [], None
+        for mains, parts, asking, own, raw in columns(batches, "main", "part", "asks", "a", "set"):
+            out = []
+            for main, part, ask, a, data in zip(mains, parts, asking, own, raw, strict=True):
+                if cell != (main, part):
+                    cell, ids, held, table = (main, part), [], [], None
+                mine = np.frombuffer(data, np.uint64)
+                if not ask:
+                    ids.append(a)
+                    held.append(mine)
+                    continue
+                if table is None:
+                    size = np.array([len(h) for h in held], np.int64)
+                    every, whose = np.concatenate([*held, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(held)), size)
+                    by = np.argsort(every, kind="stable")
+                    table = every[by], whose[by], size
+                every, whose, size = table
+                low, high = np.searchsorted(every, mine), np.searchsorted(every, mine, side="right")
+                n = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(whose[at], minlength=len(size))
+                good = np.flatnonzero(100 * both >= 75 * (size + len(mine) - both))
+                if len(good):
+                    out.append((a, ids[good[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = keep(rows.repartition(tasks, "main", "part").sortWithinPartitions("main", "part", "asks").mapInArrow(run, "a long, b long"), "inside")
+    release(asks, members)
+    return links
+
+
+def settle_long_lists(entries: DataFrame, labels: DataFrame, bits: DataFrame, sets: DataFrame, leaders: int = LEADERS) -> DataFrame:
+    """labels with all links between entries (a, n, place, token) of one list."""
+    spark, still = entries.sparkSession, None
+    for lot in range(leaders + 1):
+        before, still = still, keep(open_entries(entries if still is None else still.select("a", "n", "place", "token"), labels), "open")
+        release(before)
+        if still.isEmpty():
+            break
+        if lot < leaders:
+            labels = link(possible(leader_pairs(still, lot), bits, 3, 4), labels, sets, spark, rounds=1)
+        else:
+            labels = joined(labels, found_inside(still, labels, sets))
+            labels = link(possible(outer_pairs(still), bits, 3, 4), labels, sets, spark)
+    release(still)
+    return labels
 
 
-def similarity_classes(docs: DataFrame, short: int = SHORT, longest: int = LONG) -> DataFrame:
+def similarity_classes(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: sets of 5-word shingles, linked where 100 * intersection >=
     75 * union, components of links.
 
@@ -356,26 +460,21 @@ def similarity_classes(docs: DataFrame, short: int = SHORT, longest: int = LONG)
     hash; other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    signed = keep(digests(docs, frequent_shingles(docs)), "digests")
+    frequent, seen = frequent_shingles(docs)
+    hot = _from_five(_five(frequent[seen >= HOT]))
+    signed = keep(digests(docs, frequent), "digests")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = keep(classes, "classes")
     bits = classes.select("rep", "n", "bits")
     total = classes.agg(F.sum(F.length("prefix") / 5)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)))
-    listed = keep(list_pairs(postings(classes.select("rep", "n", "prefix"), buckets), buckets, short), "lists")
-    few, many = by_length(listed.where("b is null").select("a", "n", "place", "token"), longest)
-    pairs = listed.where("b is not null").select("a", "b").unionByName(_ordered_pairs(few, few, F.expr("x.a < y.a")))
-    plain, many = keep(possible(pairs.distinct(), bits, 3, 4), "pairs"), keep(many, "long")
-    used = plain.select(F.col("a").alias("id")).unionByName(plain.select(F.col("b").alias("id"))).unionByName(many.select(F.col("a").alias("id")))
-    sets = keep(full_sets(docs, used), "sets")
-    links, more_pairs = settle_long_lists(many, bits, sets, longest)
-    for more in more_pairs:
-        plain = plain.unionByName(possible(more, bits, 3, 4))
-    united = plain.limit(0).select("a", "b")
-    for more in links:
-        united = united.unionByName(more)
-    found = link_components(plain, united, sets).withColumnsRenamed({"node": "rep"})
-    of_class = classes.select("h1", "h2", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_component"))
+    listed = keep(list_pairs(postings(classes.select("rep", "n", "prefix"), buckets, hot), buckets, short, hot), "lists")
+    plain = keep(possible(listed.where("b is not null").select("a", "b").distinct(), bits, 3, 4), "pairs")
+    entries = listed.where("b is null").select("a", "n", "place", "token")
+    sets = full_sets(docs, plain.select(F.explode(F.array("a", "b")).alias("id")).unionByName(entries.select(F.col("a").alias("id"))))
+    labels = settle_long_lists(entries, link(plain, None, sets, spark), bits, sets)
+    release(listed, plain, sets)
+    of_class = classes.select("h1", "h2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_component"))
     known = signed.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_component", "doc_id")).alias("component_id"))
 
