@@ -9,8 +9,10 @@ down its own set meets larger sets' entries only.
 In short lists all pairs that pass are candidates. A long list is settled by relations to leaders: its sets are compared with
 a leader first, similar ones join its component, and whatever is inside one component needs no more answers, since what
 matters of a set highly similar to its leader follows from the leader's. Lists in which several components still meet go on
-with leaders of their largest component. What is left at last is compared in full: sets outside the largest component with
-one another, as pairs, and with the component's members, which come in blocks so that no pair of these is ever written.
+with leaders of their largest component. What is left at last is compared in full, in cells of bounded size: the sets outside the
+largest component with one another and with its members, as far as the bounds let pairs pass. Where a set still has MANY
+partners of one component, it is compared with the whole component, of which the members come in blocks, so that these pairs
+are never written.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ WIDTH = 5
 SHORT = 8
 HOT = 50_000
 SALTS = 16
-CELL = 2048
+CELL = 4096
 BLOCK = 512
 FREQUENT = 48
 FREQUENT_ROWS = 200_000
 FLUSH = 1 << 20
 FLUSH_SETS = 1 << 16
-ROUNDS = 2
-LEADERS = 4
+MANY = 16
+LEADERS = 1
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -307,31 +309,32 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 SIMILAR = "100 * both >= 75 * either"
 
 
-def link(pairs: DataFrame, labels: DataFrame | None, sets: DataFrame, spark: SparkSession, rounds: int = ROUNDS) -> DataFrame:
+def link(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame) -> DataFrame:
     """labels (node, component; nodes that are alone have no row) with the components that similar pairs (a, b, most) join.
 
-    Pairs inside a component need no check. A round checks, of the pairs between components, the likeliest of each
-    component, and drops what it checked; after some rounds all that are left between components are checked.
-    """
-    labels = labels if labels is not None else spark.createDataFrame([], "node long, component long")
-    left = keep(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "left")
-    for last in [False] * rounds + [True]:
+    Pairs inside a component need no check. First the likeliest of each component are checked, then all that are still
+    between components."""
+    labels = labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
+    left, sets = keep(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "left"), None
+    for last in (False, True):
         of_a, of_b = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
         named = left.join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", "most", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
         before, left = left, keep(named.where("ca <> cb"), "left")
         release(before)
         if left.isEmpty():
             break
+        sets = sets or full_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id")))
         ask = left.select("a", "b")
         if not last:
             ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("most", "a", "b").alias("p"))
             ask = ends.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
         checked = keep(overlaps(ask, sets), "checked")
         labels = joined(labels, checked.where(SIMILAR).select("a", "b"))
-        before, left = left, left.select("a", "b", "most").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        left = keep(left, "left")
-        release(before, checked)
-    release(left)
+        if not last:
+            before, left = left, keep(left.select("a", "b", "most").join(checked.select("a", "b"), ["a", "b"], "left_anti"), "left")
+            release(before)
+        release(checked)
+    release(left, sets)
     return labels
 
 
@@ -344,11 +347,11 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def open_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries (a, n, place, token) of lists in which several components meet, with comp, and the list's largest
-    component: main, and how many entries aren't in it: rest."""
+    component: main, how many entries it has: all, and how many aren't in main: rest."""
     named = entries.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").select("a", "n", "place", "token", F.coalesce("component", "a").alias("comp"))
     counts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     lists = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all")).where("all > top.k")
-    return named.join(lists.select("token", F.col("top.comp").alias("main"), F.expr("all - top.k").alias("rest")), "token")
+    return named.join(lists.select("token", F.col("top.comp").alias("main"), "all", F.expr("all - top.k").alias("rest")), "token")
 
 
 def leader_pairs(entries: DataFrame, lot: int) -> DataFrame:
@@ -358,14 +361,19 @@ def leader_pairs(entries: DataFrame, lot: int) -> DataFrame:
     return met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b")).distinct()
 
 
-def outer_pairs(entries: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs between different components of the entries outside a list's largest one, as far as the bounds let them pass.
+def cell_pairs(entries: DataFrame, cell: int = CELL, many: int = MANY) -> DataFrame:
+    """a, b, whole: pairs of entries of different components that pass the bounds, or, with whole, a set a and the component b
+    of more than `many` partners that it has in a cell.
 
-    A list of more than `cell` such entries is cut into parts, of which every two meet in a task of their own."""
-    spread = entries.where("comp <> main").withColumn("parts", F.ceil(F.col("rest") / cell).cast("int"))
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = spread.select("token", "a", "n", "place", "comp", "part", other).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "n", "place", "comp")
+    A list's largest component is cut into parts of about `cell`; the other entries meet each part. They meet one another in
+    as many parts of their own, of which every two meet in a cell."""
+    sized = entries.withColumns({"parts": F.ceil((F.col("all") - F.col("rest")) / cell).cast("int"), "own": F.ceil(F.col("rest") / cell).cast("int")})
+    lot = F.xxhash64("a")
+    inner = sized.where("comp = main").select("token", F.pmod(lot, F.col("parts")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("part"), "a", "n", "place", "comp")
+    outer = sized.where("comp <> main").withColumn("part", F.pmod(lot, F.col("own")).cast("int"))
+    across = outer.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("part"), "a", "n", "place", "comp")
+    among = outer.select("token", "part", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("other"), "a", "n", "place", "comp")
+    among = among.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "n", "place", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -377,25 +385,33 @@ def outer_pairs(entries: DataFrame, cell: int = CELL) -> DataFrame:
         token, i, j, part, ids, n, place, comp = (x[order] for x in (token, i, j, part, ids, n, place, comp))
         group = np.cumsum(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         one, two = meetings(group, n, place, comp)
-        cross = (i[one] == j[one]) | (part[one] != part[two])  # pairs within a part meet in its own cell
-        found = _distinct_pairs(ids[one[cross]], ids[two[cross]])
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        cross = (i[one] == j[one]) | (part[one] != part[two])  # what is in one part meets elsewhere
+        one, two = one[cross], two[cross]
+        mixed = part[one] != part[two]
+        inward = (j[one] == -1) & mixed  # an outer entry, and one of the largest component
+        asker, owner = np.where(part[one] == 1, one, two)[inward], np.where(part[one] == 1, two, one)[inward]
+        by = np.lexsort((comp[owner], ids[asker], group[asker]))
+        asker, owner = asker[by], owner[by]
+        heads = np.flatnonzero(np.concatenate(([True], (asker[1:] != asker[:-1])))) if len(asker) else np.zeros(0, np.int64)
+        count = np.repeat(np.diff(np.concatenate((heads, [len(asker)]))), np.diff(np.concatenate((heads, [len(asker)]))))
+        few = count <= many
+        found = _distinct_pairs(np.concatenate((ids[one[~inward]], ids[asker[few]])), np.concatenate((ids[two[~inward]], ids[owner[few]])))
+        asks = np.unique(np.stack((ids[asker[~few]], comp[owner[~few]]), axis=1), axis=0)
+        both = np.concatenate((found, asks))
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(found))], ["a", "b", "whole"])
 
     tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, "token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    dealt = inner.unionByName(across).unionByName(among)
+    return dealt.repartition(tasks, "token", "i", "j").mapInArrow(run, "a long, b long, whole boolean").distinct()
 
 
-def found_inside(entries: DataFrame, labels: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b: for each entry outside a list's largest component and each block of that component's members, a link if there is
-    one. Members' sets come once; an entry's set comes once to each block."""
-    # whether any entry of the component lets a smaller or larger set pass, by sizes and index prefixes
-    early = F.expr("place <= n - (6 * n + 6) div 7")
-    inner = entries.where("comp = main").groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(early.cast("int")).alias("early"))
-    asks = entries.where("comp <> main").join(inner, "token").where("4 * n >= 3 * low and 3 * n <= 4 * high").where(early | (F.col("early") == 1))
-    asks = keep(asks.select("a", "main").distinct(), "asks")
+def found_inside(asks: DataFrame, labels: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b: for each ask (a, a component main that a isn't in) and each block of the component's members, a link if there is
+    one. Members' sets come once; an asker's set comes once to each block."""
     wanted = asks.select("main").distinct()
-    members = labels.select(F.col("node").alias("a"), F.col("component").alias("main")).unionByName(wanted.select(F.col("main").alias("a"), "main")).distinct().join(wanted, "main", "left_semi")
-    members = keep(members, "members")
+    members = labels.select(F.col("node").alias("a"), F.col("component").alias("main")).unionByName(wanted.select(F.col("main").alias("a"), "main")).distinct()
+    members = keep(members.join(wanted, "main", "left_semi"), "members")
+    sets = full_sets(docs, members.select(F.col("a").alias("id")).unionByName(asks.select(F.col("a").alias("id"))))
     blocks = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     owners = members.join(blocks, "main").select("main", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("part"), F.lit(0).alias("asks"), "a")
     askers = asks.join(blocks, "main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("asks"), "a")
@@ -428,36 +444,38 @@ def found_inside(entries: DataFrame, labels: DataFrame, sets: DataFrame, block:
                     out.append((a, ids[good[0]]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = keep(rows.repartition(tasks, "main", "part").sortWithinPartitions("main", "part", "asks").mapInArrow(run, "a long, b long"), "inside")
-    release(asks, members)
+    release(members, sets)
     return links
 
 
-def settle_long_lists(entries: DataFrame, labels: DataFrame, bits: DataFrame, sets: DataFrame, leaders: int = LEADERS) -> DataFrame:
+def settle_long_lists(entries: DataFrame, labels: DataFrame, bits: DataFrame, docs: DataFrame, leaders: int = LEADERS, cell: int = CELL, many: int = MANY, block: int = BLOCK) -> DataFrame:
     """labels with all links between entries (a, n, place, token) of one list."""
-    spark, still = entries.sparkSession, None
-    for lot in range(leaders + 1):
-        before, still = still, keep(open_entries(entries if still is None else still.select("a", "n", "place", "token"), labels), "open")
+    still = keep(open_entries(entries, labels), "open")
+    for lot in range(leaders):
+        labels = link(possible(leader_pairs(still, lot), bits, 3, 4), labels, docs)
+        before, still = still, keep(open_entries(still.select("a", "n", "place", "token"), labels), "open")
         release(before)
-        if still.isEmpty():
-            break
-        if lot < leaders:
-            labels = link(possible(leader_pairs(still, lot), bits, 3, 4), labels, sets, spark, rounds=1)
-        else:
-            labels = joined(labels, found_inside(still, labels, sets))
-            labels = link(possible(outer_pairs(still), bits, 3, 4), labels, sets, spark)
-    release(still)
+    met = keep(cell_pairs(still, cell, many), "met")
+    labels = link(possible(met.where("not whole").select("a", "b"), bits, 3, 4), labels, docs)
+    of_a, of_b = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
+    asks = met.where("whole").join(of_a, "a", "left").join(of_b, "b", "left").select("a", F.coalesce("ca", "a").alias("mine"), F.coalesce("cb", "b").alias("main")).where("mine <> main")
+    asks = keep(asks.select("a", "main").distinct(), "asks")
+    if not asks.isEmpty():
+        labels = joined(labels, found_inside(asks, labels, docs, block))
+    release(still, met, asks)
     return labels
 
 
-def similarity_classes(docs: DataFrame, short: int = SHORT) -> DataFrame:
+def similarity_classes(docs: DataFrame, short: int = SHORT, **settings: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: sets of 5-word shingles, linked where 100 * intersection >=
     75 * union, components of links.
 
     A text under five words is one shingle; a null text or one without words has an empty set and is linked with nothing.
     Rows of one doc_id belong together; a null doc_id is a component of its own, null. Equal sets meet by their 128-bit
-    hash; other columns are not read; an empty table gives an empty one.
+    hash; other columns are not read; an empty table gives an empty one. settings are those of settle_long_lists; none
+    changes the result.
     """
     spark = docs.sparkSession
     frequent, seen = frequent_shingles(docs)
@@ -471,9 +489,8 @@ def similarity_classes(docs: DataFrame, short: int = SHORT) -> DataFrame:
     listed = keep(list_pairs(postings(classes.select("rep", "n", "prefix"), buckets, hot), buckets, short, hot), "lists")
     plain = keep(possible(listed.where("b is not null").select("a", "b").distinct(), bits, 3, 4), "pairs")
     entries = listed.where("b is null").select("a", "n", "place", "token")
-    sets = full_sets(docs, plain.select(F.explode(F.array("a", "b")).alias("id")).unionByName(entries.select(F.col("a").alias("id"))))
-    labels = settle_long_lists(entries, link(plain, None, sets, spark), bits, sets)
-    release(listed, plain, sets)
+    labels = settle_long_lists(entries, link(plain, None, docs), bits, docs, **settings)
+    release(listed, plain)
     of_class = classes.select("h1", "h2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_component"))
     known = signed.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_component", "doc_id")).alias("component_id"))

@@ -28,7 +28,7 @@ def brute(rows):
     return sorted((i, len(s), find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"short": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"short": 2, "leaders": 0, "cell": 8, "many": 1}])
 def test_against_brute_force(spark, sizes):
     draw = random.Random(9)
     word = lambda: f"w{draw.randint(0, 4000)}"
@@ -45,9 +45,8 @@ def test_against_brute_force(spark, sizes):
     assert got == brute(rows)
 
 
-def test_many_near_copies_of_one_another(spark, monkeypatch):
-    monkeypatch.setattr(set_join.outer_pairs, "__defaults__", (16,))
-    monkeypatch.setattr(set_join.found_inside, "__defaults__", (32,))
+@pytest.mark.parametrize("sizes", [{}, {"leaders": 0, "cell": 32, "many": 2, "block": 32}])
+def test_many_near_copies_of_one_another(spark, sizes):
     draw = random.Random(4)
     word = lambda: f"w{draw.randint(0, 10**6)}"
     base, rows = [word() for _ in range(80)], []
@@ -58,7 +57,7 @@ def test_many_near_copies_of_one_another(spark, monkeypatch):
         rows.append((len(rows), " ".join(copy)))
     tail = [word() for _ in range(60)]
     rows += [(len(rows) + k, " ".join([word() for _ in range(draw.choice((6, 9, 14, 40)))] + tail)) for k in range(60)]
-    got = sorted(tuple(r) for r in set_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted(tuple(r) for r in set_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), **sizes).collect())
     assert got == brute(rows)
 
 
