@@ -33,7 +33,7 @@ GRAM = 48
 MOST = 1000
 REACH = 8
 LONGEST = 30_000
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BUCKET_BYTES = 4 << 20
 TEXT_BYTES = 32 << 20
 STRETCH = 8 << 20

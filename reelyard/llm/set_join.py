@@ -38,9 +38,10 @@ CELL = 4096
 BLOCK = 512
 FREQUENT = 48
 FREQUENT_ROWS = 200_000
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 FLUSH_SETS = 1 << 16
 MANY = 16
+FEW_IDS = 300_000
 LEADERS = 1
 _TOP = np.uint64(1) << np.uint64(63)
 
@@ -278,16 +279,21 @@ def possible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "left", "right").mapInArrow(run, "a long, b long, most double")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set of the documents with these ids. Texts aren't shuffled, and few that can't be wanted are read in Python."""
+def full_sets(docs: DataFrame, ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """id, set of the documents with these ids. Texts aren't shuffled: up to `few` ids go to all tasks, and beyond that a bitmap
+    of them, of bounded size, says which texts can be wanted."""
     wanted = keep(ids.distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, texts in columns(batches, "id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], ["id", "set"])
-
-    likely = Members.of(wanted, "id").filter(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    made = keep(likely.mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi"), "sets")
+        for own, texts_ in columns(batches, "id", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts_], pa.binary())], ["id", "set"])
+
+    if wanted.count() <= few:
+        made = texts.join(F.broadcast(wanted), "id", "left_semi").mapInArrow(run, "id long, set binary")
+    else:
+        made = Members.of(wanted, "id").filter(texts, "id").mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi")
+    made = keep(made, "sets")
     release(wanted)
     return made
 
@@ -485,7 +491,7 @@ def similarity_classes(docs: DataFrame, short: int = SHORT, **settings: int) ->
     classes = keep(classes, "classes")
     bits = classes.select("rep", "n", "bits")
     total = classes.agg(F.sum(F.length("prefix") / 5)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 21)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 19)))
     listed = keep(list_pairs(postings(classes.select("rep", "n", "prefix"), buckets, hot), buckets, short, hot), "lists")
     plain = keep(possible(listed.where("b is not null").select("a", "b").distinct(), bits, 3, 4), "pairs")
     entries = listed.where("b is null").select("a", "n", "place", "token")
