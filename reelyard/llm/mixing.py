@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Each source's words form one stream that is packed into blocks of a fixed number of words. A source's target decides how
-many block slots it gets; the slots fall on the output shards as a multinomial draw (each slot hashes to a shard), and a
+many block slots it gets; how many of these each output shard takes is a multinomial draw, which gives it a run of slots, and a
 slot's number goes through the source's own pseudorandom permutation of block numbers. Blocks and documents meet in a join
 by block number.
 
@@ -12,7 +12,7 @@ counts multinomial given these totals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelyard.operators.rank import running_total
@@ -75,6 +75,18 @@ def permuted(index: Column, n: Column, seed: Column, back: bool = False) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(index), lambda x, _: F.when(x < n, x).otherwise(step(x)))
 
 
+def shard_counts(sized: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """source_rank, shard, n, first: how many slots of each source each output shard takes, and the first of them. The counts of
+    a source are a multinomial draw over the shards: of as many trials, each by hash, as the source has slots."""
+    trials = sized.where("slots > 0").select("source_rank", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
+    # dealt out in chunks, so that one large source doesn't make all its trials in one task
+    trials = trials.repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "chunk")
+    trials = trials.select("source_rank", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("trial"))
+    drawn = trials.groupBy("source_rank", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source_rank", "trial"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("source_rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    return drawn.withColumn("first", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+
+
 def block_slots(targets: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per block slot: source_rank, slot, shard, block, words (how many leading words of the block it takes).
 
@@ -94,14 +106,14 @@ def block_slots(targets: DataFrame, block: int = BLOCK_WORDS, shards: int = SHAR
     sized = sized.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("extra"))
     last_key = F.xxhash64(F.lit(seed), F.col("source_rank"), F.col("passes"))
     sized = sized.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), last_key, back=True))
-    # two levels of ranges, dealt out in between, so that one large source doesn't make all its slots in one task
-    chunks = sized.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).where("slots > 0")
-    chunks = chunks.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "chunk")
-    slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")))
+    counts = shard_counts(sized, shards, seed)
+    chunks = sized.join(counts, "source_rank").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
+    chunks = chunks.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "shard", "chunk")
+    slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(first + chunk * {CHUNK}, first + least(n, (chunk + 1) * {CHUNK}) - 1)")))
     key = F.xxhash64(F.lit(seed), F.col("source_rank"), F.expr("slot div blocks"))
     slots = slots.withColumn("block", permuted(F.expr("slot % blocks"), F.col("blocks"), key))
     length = F.when(F.col("block") == F.col("blocks") - 1, F.col("last")).otherwise(F.lit(block))
-    slots = slots.withColumns({"length": length, "shard": F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source_rank", "slot"), F.lit(shards)).cast("int")})
+    slots = slots.withColumn("length", length)
     # in the broken pass, slot i (from 0) has i blocks before it, one of them short if the short block came earlier
     at = F.col("slot") - F.col("passes") * F.col("blocks")
     broken = F.col("slot") >= F.col("passes") * F.col("blocks")
