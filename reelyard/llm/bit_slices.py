@@ -8,23 +8,28 @@ remain at the boundary are settled by exact scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelyard.llm.words import columns
+from reelyard.storage import keep
+
 SCALE = 256
 TOP = 5
 ROW_BLOCK = 32_768
-QUERY_BLOCK = 256
+LEAST_BLOCK = 1_024
 EVERY = 50
 SETTLE = 48
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as double; null where the vector is null, empty or holds a null or non-finite one."""
+    """floor(scale * x) of each component as double; null where the vector is null or holds a null or non-finite one."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when((F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    return F.when(~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -41,11 +46,12 @@ def signed_digits(value: int) -> list[tuple[int, int]]:
 
 
 class SlicedBlock:
-    """The slices of a block of rows; rows in the order of their ids."""
+    """The slices of a block of rows; rows in the order of their ids, then of their row numbers."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
+    def __init__(self, ids: np.ndarray, values: np.ndarray, numbers: np.ndarray):
+        order = np.lexsort((numbers, ids))
+        self.ids, self.values, self.numbers = ids[order], values[order], numbers[order]
+        self.most = int(np.abs(values).max(initial=0))
         self.words = -(-len(ids) // 64)
         self.full = self._pack(np.ones((1, len(ids)), bool))[0]
         self.low = self.values.min(axis=0)
@@ -92,12 +98,15 @@ class SlicedBlock:
             power += 1
         return out
 
-    def top(self, query: np.ndarray, k: int, skip: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best rows without the one whose id is skip; ties to smaller ids."""
+    def top(self, query: np.ndarray, k: int, own: int, number: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best rows without the query's own, which has this id and row number; ties to smaller ids."""
+        if self.most * int(np.abs(query).max(initial=0)) * max(len(query), 1) >= 2**62:
+            raise ValueError("scores of these vectors pass 62 bits")
         alive = self.full.copy()
-        at = np.searchsorted(self.ids, skip)
-        while at < len(self.ids) and self.ids[at] == skip:
-            alive[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
+        at = np.searchsorted(self.ids, own)
+        while at < len(self.ids) and self.ids[at] == own:
+            if self.numbers[at] == number:
+                alive[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
             at += 1
         sure = np.zeros_like(alive)
         count_sure, count_alive = 0, int(np.bitwise_count(alive).sum())
@@ -124,44 +133,58 @@ class SlicedBlock:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[: len(self.ids)])
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (vec_id, q) its k best rows (vec_id, q) but itself, by integer inner
-    product, ties to the smaller vec_id; all rows where there are fewer.
+def top_k(rows: DataFrame, asks, k: int = TOP, row_block: int = ROW_BLOCK, least_block: int = LEAST_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row (vec_id, q) where asks holds, the k best other rows by integer inner product,
+    ties to the smaller vec_id; all rows where there are fewer.
 
-    Rows and queries are dealt into blocks of about the given sizes; every query block meets every row block as one group
-    (blocks, not pairs, are what is copied), which sends k rows for each query; these meet in a second ranking. Vectors of
-    one length are compared only. Rows of one vec_id are rows of their own, but none is a candidate of a query of that id.
+    Rows are numbered and dealt into blocks of at most about row_block rows once; a block's slices are made once, and the
+    queries travel: each streams through every block, which sends its k best rows on; these meet in a second ranking. What is
+    copied is a query for each block, never a row. Vectors of one length are compared only (two empty ones score 0). Rows of
+    one vec_id are rows of their own, as queries and as candidates. Scores beyond 62 bits are an error.
     """
-    n_rows, n_queries = rows.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.size("q").alias("dim"), "vec_id", "q")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(query_blocks)).alias("qb"), F.size("q").alias("dim"), "vec_id", "q")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            block = SlicedBlock(left["vec_id"].to_numpy(np.int64), np.stack(left["q"].to_list()).astype(np.int64))
-            for query, vector in zip(right["vec_id"].tolist(), right["q"], strict=True):
-                out += [(query, v, s) for v, s in block.top(np.asarray(vector, np.int64), k, query)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = dealt.groupBy("rb", "qb", "dim").cogroup(asked.groupBy("rb", "qb", "dim")).applyInPandas(search, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    numbered = keep(rows.select("vec_id", "q", F.monotonically_increasing_id().alias("number")), "vectors")
+    n = numbered.count()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // row_block), min(tasks, n // least_block))
+    block = F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")
+    parts = numbered.select(block.alias("block"), F.size("q").alias("dim"), F.lit(0).alias("asks"), "vec_id", "number", "q")
+    travelling = numbered.where(asks).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.size("q").alias("dim"), F.lit(1).alias("asks"), "vec_id", "number", "q")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, index = None, [], None
+        for where, dims, asking, ids, numbers, vectors in columns(batches, "block", "dim", "asks", "vec_id", "number", "q"):
+            out = []
+            for b, dim, ask, i, number, q in zip(where, dims, asking, ids, numbers, vectors, strict=True):
+                if cell != (b, dim):
+                    cell, held, index = (b, dim), [], None
+                vector = np.array(q, np.int64)
+                if not ask:
+                    held.append((i, number, vector))
+                elif held:
+                    if index is None:
+                        index = SlicedBlock(np.array([h[0] for h in held], np.int64), np.stack([h[2] for h in held]), np.array([h[1] for h in held], np.int64))
+                        held = [None]
+                    out += [(number, i, v, s) for v, s in index.top(vector, k, i, number)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], ["number", "query_id", "vec_id", "score"])
+
+    met = parts.unionByName(travelling).repartitionById(blocks, "block").sortWithinPartitions("block", "dim", "asks")
+    found = met.mapInArrow(search, "number long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("number").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quantised(F.col("embedding")).alias("q")).where("q is not null and vec_id is not null")
-    return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0))
+    return top_k(rows, F.col("vec_id") % EVERY == 0)
 
 
 OP4_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT a.number, a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.number <> b.number AND len(a.q) = len(b.q) AND a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
