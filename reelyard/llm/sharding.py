@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelyard.operators.rank import global_rank
+from reelyard.storage import keep
 
 BITS = 10
+LEVELS = ("_lang_level", "_source_level")
 
 
 def hilbert(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -53,15 +55,18 @@ def log_level(value: Column, bits: int = BITS) -> Column:
     return F.least(F.lit(2**bits - 1), F.floor(F.log2(F.coalesce(value, F.lit(0)).cast("double") + 1) * (2**bits / 40))).cast("long")
 
 
-def prefix_level(text: Column, bits: int = BITS) -> Column:
-    """A string quantised by the order of its bytes: null, then the leading 3 bytes as a number, spread by the rest's hash.
-
-    The level of a string depends on itself alone, so rows may come and go without moving the others.
-    """
-    head = F.conv(F.rpad(F.hex(F.substring(text, 1, 3)), 6, "0").substr(1, 6), 16, 10).cast("long")
-    # letters use a small part of the byte range: keep the order of the first byte's low 5 bits, then spread
-    order = F.pmod(F.shiftright(head, 16), F.lit(32)) * (2 ** (bits - 5))
-    return F.when(text.isNull(), F.lit(0)).otherwise(order + F.pmod(F.xxhash64(text), F.lit(2 ** (bits - 5)))).cast("long")
+def with_level(rows: DataFrame, name: str, level: str, bits: int = BITS) -> DataFrame:
+    """rows with the column `level`: the place of rows[name] in the order of its different values, spread over 0 .. 2**bits - 1;
+    0 for null and where the column is missing. There is a row for each different value, joined on by size."""
+    if name not in rows.columns:
+        return rows.withColumn(level, F.lit(0).cast("long"))
+    key = level + "_key"
+    values = rows.where(F.col(name).isNotNull()).select(F.col(name).alias(key)).distinct()
+    ranked = keep(global_rank(values, F.col(key), rank=level), "levels")
+    total = max(ranked.count(), 1)
+    ranked = ranked.withColumn(level, F.expr(f"({level} + 1) * {2**bits - 1}L div {total}L"))
+    joined = rows.join(ranked, F.col(name) == F.col(key), "left").drop(key)
+    return joined.withColumn(level, F.coalesce(level, F.lit(0)).cast("long"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -70,19 +75,21 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))})
 
 
-def hilbert_shards(rows: DataFrame, shards: int, bits: int = BITS) -> DataFrame:
+def hilbert_shards(rows: DataFrame, shards: int, bits: int = BITS, last: tuple[str, ...] = ()) -> DataFrame:
     """Deal every measured() row to a shard: rows in the order of their Hilbert index over (size, lang, source), cut into
     `shards` runs whose counts differ by one at most, so a file of a run has narrow ranges in all three dimensions.
 
-    Equal texts with equal metadata are neighbours (index, then CRC, then doc_id). Adds hilbert, shard and slot (place in
+    Give narrow rows, without texts: they are sorted. lang and source are quantised by the order of their values. Equal texts
+    with equal metadata are neighbours (index, then CRC, then doc_id, then the columns `last`). Adds hilbert, shard and slot (place in
     the shard, from 0); columns of the input with these names are replaced, any other stays. Null metadata, or a table
     without the column, takes level 0; repeated rows each get a slot; an empty table gives an empty one; fewer rows than
     shards leave shards empty.
     """
-    rows = rows.drop("hilbert", "shard", "slot", "_rank")
-    lang, source = (prefix_level(F.col(c), bits) if c in rows.columns else F.lit(0).cast("long") for c in ("lang", "source"))
-    rows = rows.withColumn("hilbert", hilbert_column(bits, log_level(F.col("size"), bits), lang, source))
-    ranked = global_rank(rows, F.col("hilbert"), F.col("text_crc32"), F.col("doc_id").asc_nulls_first(), rank="_rank")
+    rows = rows.drop("hilbert", "shard", "slot", "_rank", *LEVELS)
+    for name, level in zip(("lang", "source"), LEVELS, strict=True):
+        rows = with_level(rows, name, level, bits)
+    rows = rows.withColumn("hilbert", hilbert_column(bits, log_level(F.col("size"), bits), *map(F.col, LEVELS))).drop(*LEVELS)
+    ranked = global_rank(rows, F.col("hilbert"), F.col("text_crc32"), F.col("doc_id").asc_nulls_first(), *map(F.col, last), rank="_rank")
     n = ranked.count()
     # shard k holds the ranks from ceil(k n / shards) on, so counts differ by one at most
     ranked = ranked.withColumn("shard", F.expr(f"cast((_rank * {shards}) div {max(n, 1)} as int)"))
