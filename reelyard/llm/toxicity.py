@@ -2,7 +2,9 @@
 
 One weight vector is shared by all thresholds: P(grade <= k) = sigmoid(cut_k - w.x). The features are words and leading
 parts of words, hashed, of which those most telling of toxicity on a bounded sample of labelled rows are kept. The labels say toxic or
-not; a toxic row's grade (1 to 3) is the third of the toxic sample into which its number of telling features falls.
+not; a toxic row's grade (1 to 3) is the third of the toxic sample into which its number of telling features falls. That number
+grows with a text's length; grades by the features' share of the words, or by the most telling one, were tried and fit worse
+(of the held-out toxic rows at sf0.1 0.83 and 0.86 were caught then, over 0.9 by number).
 """
 
 from __future__ import annotations
@@ -98,7 +100,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """doc_id, text, toxic of at most `rows` labelled documents of either class, the first by hash."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     pick = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for t in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")  # a bounded number of ids
+    found = docs.select("doc_id", "text").join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")  # a bounded number of ids
+    # one row of a repeated id, so rows are bounded as well
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = FEATURES) -> Severity:

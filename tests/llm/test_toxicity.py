@@ -1,6 +1,10 @@
+import math
+from collections import Counter
+
 import numpy as np
 
 from reelyard.llm import toxicity
+from reelyard.llm.words import prefix_hashes
 from tests.llm.cases import ODD, none, odd
 
 SF = "/root/testdata/sf0.1"
@@ -26,6 +30,29 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["expected_severity"] <= 3 for r in rows)
 
 
+def test_severities_by_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 3000"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    assert len(weight) > 10
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.where("doc_id % 10 = 0").collect():
+        count = Counter()
+        for word in (r["text"] or "").encode().lower().split():
+            for k, h in enumerate(prefix_hashes(word, toxicity.PREFIXES)):
+                assert len(h) == 1
+                count[int(h.view(np.int64)[0])] += 1
+        score = sum(weight[h] * math.log(1 + n) for h, n in count.items() if h in weight)
+        p = [1 / (1 + math.exp(min(max(c - score, -50), 50))) for c in model.cuts]
+        assert abs(rows[r["doc_id"]]["expected_severity"] - sum(p)) < 1e-6 and rows[r["doc_id"]]["toxic"] == (p[0] >= toxicity.REJECT)
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(50)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(r["doc_id"] for r in toxicity.labelled_sample(docs, labels, 10).collect()) == [1, 2]
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 1), (6, 1, 0), (1, 1, 0), (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.where("toxic = 0"), labels.limit(0)):
