@@ -27,7 +27,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row, one of the smallest doc_id, of each component of similar rows; those with no words stay."""
     rows = numbered(docs)
     found = set_join.similarity_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))  # of null or repeated ids too one row stays
     stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
     return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
 
@@ -56,9 +56,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot on the Hilbert order."""
-    placed = sharding.hilbert_shards(sharding.measured(docs.select(*COLUMNS)), 8)
-    return placed.select(*COLUMNS, "size", "text_crc32", "hilbert", "shard", "slot")
+    """All documents with their shard and slot on the Hilbert order. Rows without texts are ranked; the texts move once, when
+    they meet their places."""
+    rows = numbered(docs)
+    placed = sharding.hilbert_shards(sharding.measured(rows).drop("text", "n_chars"), 8, last=("_row",))
+    placed = keep(placed.select("_row", "size", "text_crc32", "hilbert", "shard", "slot"), "placed")
+    return rows.join(placed, "_row").select(*COLUMNS, "size", "text_crc32", "hilbert", "shard", "slot")
 
 
 STAGES = [
