@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rest = F.expr("taken % greatest(size, 1)")
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "row"), F.lit(1 << 40)) / float(1 << 40)
     spare = taken.withColumn("rest", rest).where("rest > 0").withColumn("place", draw * F.col("size") / F.col("rest"))
-    ordered = running_total(spare, [F.col("source_rank"), F.col("place"), F.col("row")], F.col("size"), rank="_n", before="offset")
+    ordered = running_total(spare, [F.col("source_rank"), F.col("place"), F.col("row")], F.col("size"), rank="_n", before="offset", ready=True)
     sources = ordered.groupBy("source_rank").agg(F.min("offset").alias("start"), F.sum("rest").alias("left"))
     up = ordered.join(sources, "source_rank").where("offset - start + size / 2 <= left").select("_row", F.lit(1).alias("more"))
     number = F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div greatest(size, 1)") + F.coalesce("more", F.lit(0))).cast("int")
