@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelyard.operators.rank import running_total
+from reelyard.operators.rank import running_total, running_totals
 from reelyard.storage import keep
 
 WEIGHTS = (3, 1, 2)
@@ -32,17 +32,16 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size) to targets: weights repeat in code point order of the sources, null last; targets share
+    """(source, source_size) to targets, and source_start, the sizes of the sources before: weights repeat in code point order of the sources, null last; targets share
     `share` of all sizes by weight, stop at `cap` times the source's size, and what is cut goes to the others by weight.
 
     Sources fill in the order of cap to weight, so one pass of running totals finds the level that all uncapped ones share.
     """
-    named = running_total(sizes, [F.col("source").asc_nulls_last()], rank="source_rank")
+    named = running_total(sizes, [F.col("source").asc_nulls_last()], F.col("source_size"), rank="source_rank", before="source_start", ready=True)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_rank") % len(weights) + 1).cast("int"))
     named = named.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(cap)})
     named = named.withColumn("fills_at", F.col("cap") / F.col("weight"))
-    capped = running_total(named, [F.col("fills_at"), F.col("source_rank")], F.col("cap"), rank="_n", before="cap_before")
-    weighed = running_total(capped, [F.col("fills_at"), F.col("source_rank")], F.col("weight"), rank="_n", before="weight_before")
+    weighed = running_totals(named, [F.col("fills_at"), F.col("source_rank")], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, rank="_n", ready=True)
     all_of = weighed.agg(F.sum("source_size").alias("_all"), F.sum("weight").alias("_weights"))
     weighed = weighed.join(F.broadcast(all_of))  # one row
     level = (F.col("_all") * share - F.col("cap_before")) / (F.col("_weights") - F.col("weight_before"))
@@ -51,7 +50,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     bound = weighed.withColumn("_level", F.when(~full, level)).agg(F.min(F.struct(F.when(F.col("_level").isNull(), 1).otherwise(0).alias("none"), F.col("fills_at"), F.col("source_rank"), F.col("_level"))).alias("_first"))
     weighed = weighed.join(F.broadcast(bound))
     target = F.least(F.col("cap"), F.coalesce(F.col("_first._level") * F.col("weight"), F.col("cap")))
-    return weighed.select("source", "source_rank", "source_size", "weight", target.alias("target"))
+    return weighed.select("source", "source_rank", "source_size", "source_start", "weight", target.alias("target"))
 
 
 def permuted(index: Column, n: Column, seed: Column, back: bool = False) -> Column:
@@ -134,9 +133,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     keys = [key] if key else []
     light = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keys), "sizes")
     targets = keep(source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
-    ordered = running_total(light, [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("size"), *map(F.col, keys)], F.col("size"), rank="row", before="offset")
-    starts = running_total(targets, [F.col("source").asc_nulls_last()], F.col("source_size"), rank="_n", before="source_start")
-    joined = ordered.alias("o").join(starts.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")), "left")
+    ordered = running_total(light, [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("size"), *map(F.col, keys)], F.col("size"), rank="row", before="offset", ready=True)
+    joined = ordered.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")), "left")
     rows = joined.select("o.doc_id", *[f"o.{k}" for k in keys], "o.size", "o.row", (F.col("o.offset") - F.col("t.source_start")).alias("at"), "t.source_rank", "t.source_size", "t.target")
     spans = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     # both sides grow after their last exchange, so their sizes there must not decide on a broadcast

@@ -499,7 +499,10 @@ def similarity_classes(docs: DataFrame, short: int = SHORT, **settings: int) ->
     release(listed, plain)
     of_class = classes.select("h1", "h2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_component"))
     known = signed.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    return known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_component", "doc_id")).alias("component_id"))
+    found = known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_component", "doc_id")).alias("component_id"))
+    found = keep(found, "classes-of-documents")  # narrow, so that the digests can go
+    release(signed, classes)
+    return found
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:

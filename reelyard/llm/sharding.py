@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelyard.operators.rank import global_rank
-from reelyard.storage import keep
 
 BITS = 10
 LEVELS = ("_lang_level", "_source_level")
@@ -58,11 +57,12 @@ def log_level(value: Column, bits: int = BITS) -> Column:
 def with_level(rows: DataFrame, name: str, level: str, bits: int = BITS) -> DataFrame:
     """rows with the column `level`: the place of rows[name] in the order of its different values, spread over 0 .. 2**bits - 1;
     0 for null and where the column is missing. There is a row for each different value, joined on by size."""
+    rows = rows.drop(level)
     if name not in rows.columns:
         return rows.withColumn(level, F.lit(0).cast("long"))
     key = level + "_key"
     values = rows.where(F.col(name).isNotNull()).select(F.col(name).alias(key)).distinct()
-    ranked = keep(global_rank(values, F.col(key), rank=level), "levels")
+    ranked = global_rank(values, F.col(key), rank=level, ready=True)
     total = max(ranked.count(), 1)
     ranked = ranked.withColumn(level, F.expr(f"({level} + 1) * {2**bits - 1}L div {total}L"))
     joined = rows.join(ranked, F.col(name) == F.col(key), "left").drop(key)
