@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelyard.functions import text, vec
 from reelyard.jobs import adapters as A
-from reelyard.operators import cameras, captions, cards, decks, manifest, plane, sample_plan, tracks
+from reelyard.operators import cameras, captions, cards, decks, ground_paths, manifest, plane, sample_plan, tracks
 from reelyard.operators.manifest import REQUIRED
 
 QUERIES: dict = {}
@@ -458,9 +458,10 @@ def repeated_videos(spark: SparkSession, d: str) -> DataFrame:
     return sample_plan.repeat_videos(_meta(spark, d), 3).select("id", "type", F.col("copy").cast("long").alias("copy"), "position")
 
 
-@query(f"""WITH {_META}, s AS (SELECT id, length, floor(length * (CAST(0.95 AS DOUBLE) - CAST(0.05 AS DOUBLE))) AS span, {_HASH01.format("md5(concat_ws('|', '0', 'start', CAST(id AS VARCHAR)))")} AS h FROM meta), n AS (SELECT *, least(81, floor(span / 3)) AS n FROM s),
-f AS (SELECT id, n, CASE WHEN n < 9 THEN 'too short' END AS error, floor(length * 0.05) + floor(h * (span - (n - 1) * 3)) AS first FROM n)
-SELECT id, error, CASE WHEN error IS NULL THEN array_to_string(list_transform(range(0, CAST(n AS BIGINT)), lambda i: CAST(first + i * 3 AS BIGINT)), ',') ELSE '' END AS frames FROM f""")
+@query(f"""WITH {_META}, s AS (SELECT id, CAST(least(81, floor(length * (CAST(0.95 AS DOUBLE) - CAST(0.05 AS DOUBLE)) / 3)) AS BIGINT) AS n, CAST(floor(length * CAST(0.95 AS DOUBLE)) AS BIGINT) AS total, {_HASH01.format("md5(concat_ws('|', '0', 'start', CAST(id AS VARCHAR)))")} AS h FROM meta),
+r AS (SELECT *, least(total, (n - 1) * 3 + 1) AS run FROM s), b AS (SELECT *, CAST(floor(total * CAST(0.05 AS DOUBLE)) AS BIGINT) AS low, total - run AS high, CASE WHEN n < 1 THEN 'no frames' WHEN n < 9 THEN 'too short' END AS error FROM r),
+f AS (SELECT *, CASE WHEN total = run THEN 0 ELSE least(low, high) + floor(h * (greatest(high - low, 0) + 1)) END AS first FROM b)
+SELECT id, error, CASE WHEN error IS NULL THEN array_to_string(list_transform(range(0, n), lambda i: CAST(first + floor(i * (run - 1) / CAST(greatest(n - 1, 1) AS DOUBLE)) AS BIGINT)), ',') ELSE '' END AS frames FROM f""")
 def frame_plans(spark: SparkSession, d: str) -> DataFrame:
     return sample_plan.frame_plan(_meta(spark, d), 81, 0.05, 0.95, 3, 9).select("id", "error", F.concat_ws(",", "frames").alias("frames"))
 
@@ -518,3 +519,72 @@ def horizon_rows(spark: SparkSession, d: str) -> DataFrame:
     n = F.lit
     y = vec.horizon_y(n(500.0), n(640.0), n(360.0), n(500.0), F.col("r"), F.array(n(0.0), n(-1.0), n(0.2)), n(680.0))
     return A.cameras(spark, d).select("clip_id", "kf", F.round(y, 4).alias("horizon"))
+
+
+# --- paths on the ground
+
+
+def _ground(spark: SparkSession, d: str):
+    found = A.ground_detections(spark, d)
+    planes = A.level_planes(found)
+    hits = ground_paths.hit_frames(found, A.level_cameras(found), planes)
+    heights = ground_paths.subject_heights(hits)
+    return planes, hits, heights, ground_paths.ground_positions(hits, heights)
+
+
+@query(f"WITH {A.GROUND} SELECT clip_id, track_id, round(height, 5) AS height, round(0.2 * height, 5) AS radius, anchor_source FROM hts")
+def subject_heights(spark: SparkSession, d: str) -> DataFrame:
+    _, _, heights, _ = _ground(spark, d)
+    return heights.select("clip_id", "track_id", F.round("height", 5).alias("height"), F.round("radius", 5).alias("radius"), "anchor_source")
+
+
+@query(f"WITH {A.GROUND} SELECT clip_id, track_id, frame, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, method, feet_visible FROM pos")
+def ground_positions(spark: SparkSession, d: str) -> DataFrame:
+    _, _, _, positions = _ground(spark, d)
+    return positions.select("clip_id", "track_id", "frame", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"], "method", "feet_visible")
+
+
+_GAPLESS = ", ".join(
+    f"CASE WHEN bf IS NULL THEN next_{c} WHEN af IS NULL OR af = bf THEN last_{c} ELSE last_{c} + (frame - bf) / CAST(af - bf AS DOUBLE) * (next_{c} - last_{c}) END AS {c}" for c in "xyz"
+)
+_GROUND_PATHS = f"""{A.GROUND}, allf AS (SELECT clip_id, track_id, unnest(range(81)) AS frame FROM hts), pj AS (SELECT f.*, x, y, z, coalesce(method, '') AS method, coalesce(feet_visible, false) AS feet_visible FROM allf f LEFT JOIN pos USING (clip_id, track_id, frame)),
+gg AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS bf, first_value(CASE WHEN x IS NOT NULL THEN frame END IGNORE NULLS) OVER q AS af,
+  {", ".join(f"last_value({c} IGNORE NULLS) OVER p AS last_{c}, first_value({c} IGNORE NULLS) OVER q AS next_{c}" for c in "xyz")} FROM pj
+  WINDOW p AS (PARTITION BY clip_id, track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY clip_id, track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ff AS (SELECT clip_id, track_id, frame, method, feet_visible, x IS NULL AS interpolated, {_GAPLESS} FROM gg),
+aa AS (SELECT clip_id, track_id, {", ".join(f"list({c} ORDER BY frame) AS {c}s" for c in "xyz")} FROM ff WHERE x IS NOT NULL GROUP BY 1, 2),
+paths AS (SELECT ff.clip_id, ff.track_id, ff.frame, method, feet_visible, interpolated,
+  {", ".join(f"list_sum(list_transform(range(-8, 9), lambda k: {c}s[greatest(1, least(81, frame + 1 + k))] * exp(-(k * k) / 8.0))) / (SELECT sum(exp(-(k * k) / 8.0)) FROM (SELECT unnest(range(-8, 9)) AS k)) AS {c}" for c in "xyz")}
+  FROM ff JOIN aa USING (clip_id, track_id) WHERE x IS NOT NULL)"""
+
+
+@query(f"WITH {_GROUND_PATHS} SELECT clip_id, track_id, frame, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, method, feet_visible, interpolated FROM paths")
+def subject_paths(spark: SparkSession, d: str) -> DataFrame:
+    _, _, heights, positions = _ground(spark, d)
+    return ground_paths.subject_paths(positions, heights).select("clip_id", "track_id", "frame", *[(F.round(c, 3) + 0.0).alias(c) for c in "xyz"], "method", "feet_visible", "interpolated")
+
+
+@query(f"""WITH {_GROUND_PATHS}, st AS (SELECT clip_id, track_id, frame, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM paths WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame)),
+mv AS (SELECT clip_id, count(*) FILTER (j > 0) AS jumps FROM (SELECT clip_id, track_id, count(*) FILTER (step > height) AS j FROM st JOIN hts USING (clip_id, track_id) GROUP BY 1, 2) GROUP BY 1),
+fd AS (SELECT clip_id, count(*) AS subjects, CASE WHEN bool_or(anchor_source = 'clip') THEN 'clip' ELSE 'anchor' END AS src, quantile_cont(height, 0.5) AS h FROM hts GROUP BY 1),
+fc AS (SELECT clip_id, coalesce(avg(CASE WHEN frame >= 16 THEN CASE WHEN feet_visible THEN 0.0 ELSE 1.0 END END), 0.0) AS feet_cut FROM paths GROUP BY 1),
+pl AS (SELECT DISTINCT user_id AS clip_id, 1.5 + (user_id % 3) * 0.5 AS ch, CASE WHEN user_id % 29 = 0 THEN 'no points' END AS error, CASE WHEN user_id % 5 <> 0 THEN user_id % 4 END AS expected_persons, CASE WHEN user_id % 9 <> 0 THEN abs(360.0 - (user_id % 90 + 310)) END AS hd FROM events),
+al AS (SELECT pl.*, coalesce(subjects, 0) AS subjects, src, h, coalesce(jumps, 0) AS jumps, coalesce(feet_cut, 0.0) AS feet_cut FROM pl LEFT JOIN fd USING (clip_id) LEFT JOIN mv USING (clip_id) LEFT JOIN fc USING (clip_id)),
+fl AS (SELECT *, array_to_string(list_sort(list_filter([CASE WHEN clip_id % 17 = 0 THEN 'ground_fail' END, CASE WHEN clip_id % 13 = 0 THEN 'plane_fail' END, CASE WHEN subjects = 0 THEN 'no_anchor' END, CASE WHEN subjects <> expected_persons THEN 'count_mismatch' END], lambda x: x IS NOT NULL)), ',') AS hard,
+  array_to_string(list_sort(list_filter([CASE WHEN jumps > 0 THEN 'track_jump' END, CASE WHEN src = 'clip' THEN 'anchor_late' END, CASE WHEN feet_cut > 0.3 THEN 'feet_cut_later' END, CASE WHEN ch / h < 0.4 THEN 'low_camera' END, CASE WHEN hd > 60 THEN 'horizon_disagree' END], lambda x: x IS NOT NULL)), ',') AS soft FROM al)
+SELECT clip_id, error, expected_persons, CASE WHEN error IS NULL THEN subjects END AS subjects, CASE WHEN error IS NULL THEN round(coalesce(h, ch / 3), 3) END AS grid_spacing, CASE WHEN error IS NULL THEN round(ch / h, 2) END AS cam_ratio, CASE WHEN error IS NULL THEN round(feet_cut, 3) END AS feet_cut,
+  CASE WHEN error IS NULL THEN round(hd, 1) END AS horizon_diff, CASE WHEN error IS NULL THEN hard ELSE '' END AS hard_flags, CASE WHEN error IS NULL THEN soft ELSE '' END AS soft_flags, error IS NULL AND hard = '' AS training_ready FROM fl""")
+def clip_qc(spark: SparkSession, d: str) -> DataFrame:
+    planes, _, heights, positions = _ground(spark, d)
+    k = F.col("clip_id")
+    expected = planes.select("clip_id", F.when(k % 5 != 0, k % 4).alias("expected_persons"))
+    horizons = planes.where(k % 9 != 0).select("clip_id", (k % 90 + 310).cast("double").alias("horizon"))
+    rows = ground_paths.clip_qc(planes, heights, ground_paths.subject_paths(positions, heights), expected, horizons)
+    return rows.withColumns({c: F.concat_ws(",", c) for c in ("hard_flags", "soft_flags")})
+
+
+@query(f"WITH {_GROUND_PATHS} SELECT clip_id, frame, track_id, row_number() OVER (PARTITION BY clip_id, frame ORDER BY round(sqrt(x * x + y * y + z * z), 6) DESC, track_id) AS place FROM paths SEMI JOIN gd USING (clip_id, frame)")
+def painter_order(spark: SparkSession, d: str) -> DataFrame:
+    _, _, heights, positions = _ground(spark, d)
+    cams = A.level_cameras(A.ground_detections(spark, d).where("visible"))
+    return ground_paths.painter_order(ground_paths.subject_paths(positions, heights), cams).select("clip_id", "frame", "track_id", F.col("order").cast("long").alias("place"))

@@ -93,3 +93,40 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAMERAS = """cams AS (SELECT s_suppkey AS clip_id, kf, CASE WHEN kf = 9 THEN 80 ELSE kf * 9 END AS frame, kf * (s_suppkey % 50) / 1000.0 AS a,
   kf * (s_suppkey % 50) / 100.0 AS x, kf / 10.0 AS z FROM supplier, (SELECT unnest(range(10)) AS kf))"""
+
+
+def ground_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections with pixels: the foot right and down by the event, the head above it; every seventh is cut off."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = table(spark, sf_dir, "events").withColumn("n", n)
+    u, v = (F.col("event_id") % 1280).cast("double"), (F.col("event_id") % 200 + 420).cast("double")
+    return rows.select(
+        F.col("user_id").alias("clip_id"), F.expr("n div 81").alias("track_id"), (F.col("n") % 81).alias("frame"), (F.col("event_type") != "view").alias("visible"), (F.col("event_id") % 7 == 0).alias("touches_bottom"),
+        u.alias("foot_u"), v.alias("foot_v"), u.alias("head_u"), (v - 30).alias("head_v"), (F.col("event_id") % 150 + 60.37).alias("height_px"),
+    )
+
+
+def level_cameras(detections: DataFrame) -> DataFrame:
+    """A level camera at the origin for every frame that has detections."""
+    o, i = F.lit(0.0), F.lit(1.0)
+    return detections.select("clip_id", "frame").distinct().select("clip_id", "frame", F.lit(811.3).alias("fx"), F.lit(907.7).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), F.array(i, o, o, o, i, o, o, o, i).alias("r"), F.array(o, o, o).alias("t"))
+
+
+def level_planes(detections: DataFrame) -> DataFrame:
+    """A level ground below the camera for every clip, its height and outcome by the clip's number."""
+    k = F.col("clip_id")
+    h = 1.5 + (k % 3) * 0.5
+    rows = detections.select("clip_id").distinct()
+    return rows.select("clip_id", F.array(F.lit(0.0), F.lit(-1.0), F.lit(0.0)).alias("normal"), h.alias("d"), h.alias("camera_height"), (k % 13 != 0).alias("plane_ok"), (k % 17 != 0).alias("ground_ok"), F.lit(360.0).alias("horizon"), F.when(k % 29 == 0, "no points").alias("error"))
+
+
+GROUND = """gd AS (SELECT user_id AS clip_id, n // 81 AS track_id, n % 81 AS frame, event_id % 7 = 0 AS cut, CAST(event_id % 1280 AS DOUBLE) AS u, CAST(event_id % 200 + 420 AS DOUBLE) AS v,
+  event_id % 150 + CAST(60.37 AS DOUBLE) AS px, 1.5 + (user_id % 3) * 0.5 AS ch
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE event_type <> 'view'),
+sz AS (SELECT clip_id, track_id, count(*) FILTER (frame < 16) AS early, count(*) AS n, quantile_cont(px * ch / (v - 360), 0.5) FILTER (frame < 16) AS ha, quantile_cont(px * ch / (v - 360), 0.5) AS hc FROM gd WHERE NOT cut GROUP BY 1, 2),
+hts AS (SELECT clip_id, track_id, CASE WHEN early >= 4 THEN ha ELSE hc END AS height, CASE WHEN early >= 4 THEN 'anchor' ELSE 'clip' END AS anchor_source FROM sz WHERE early >= 4 OR n >= 3),
+raw AS (SELECT clip_id, track_id, frame, NOT cut AS feet_visible, u, CASE WHEN cut THEN v - 30 ELSE v END - 360 AS dv, CASE WHEN cut THEN ch - height ELSE ch END AS down, ch, cut, height FROM gd JOIN hts USING (clip_id, track_id)),
+pos AS (SELECT clip_id, track_id, frame, feet_visible, CASE WHEN NOT cut THEN 'foot_ray' WHEN down * dv > 0 THEN 'head_ray' ELSE '' END AS method,
+  CASE WHEN down * dv > 0 THEN (u - 640) / 811.3 * down / (dv / 907.7) END AS x, CASE WHEN down * dv > 0 THEN ch END AS y, CASE WHEN down * dv > 0 THEN down / (dv / 907.7) END AS z FROM raw)"""

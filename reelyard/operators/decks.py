@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelyard.operators.rank import global_rank, hash_key, running_total
+from reelyard.operators.rank import global_rank, hash_key
 
 
 def stratum_rank(df: DataFrame, stratum: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -70,6 +70,26 @@ def holdout_split(df: DataFrame, suffixes: tuple[str, ...] = ("49", "99")) -> Da
     return df.withColumn("holdout", held)
 
 
-def totals_before(df: DataFrame, order: list[Column], value: Column) -> DataFrame:
-    """Running total of value before each row."""
-    return running_total(df, order, value)
+def small_stratum_plan(counts: DataFrame, small: DataFrame) -> DataFrame:
+    """value, pos, count: what is left of the plan's counts for the other rows once a small stratum has its own deck (value,
+    count), so that counts over all rows stay exact; an error where the small stratum takes more than the plan has.
+    Both tables are vocabularies."""
+    rest = counts.select("value", "pos", "count").join(small.select("value", F.col("count").alias("_used")), "value", "left")
+    left = F.col("count") - F.coalesce("_used", F.lit(0))
+    left = F.when(left < 0, F.raise_error(F.concat(F.lit("too many rows of the small stratum for "), F.col("value").cast("string")))).otherwise(left)
+    return rest.select("value", "pos", left.alias("count"))
+
+
+def exact_share_deck(df: DataFrame, some: list[str], others: list[str], share: float, salt: str, out: str, stratum: list[str] = (), seed=0) -> DataFrame:
+    """Deal the values of `some` to exactly round(share * n) rows of each stratum and those of `others` to the rest, each evenly:
+    hostile weather outdoors, or a share of still scenes."""
+    first = [hash_key(seed, f"{salt}.share", "id"), F.col("id")]
+    ranked = stratum_rank(df, list(stratum), first, "_s")
+    if stratum:
+        sizes = df.groupBy(*stratum).agg(F.round(F.count(F.lit(1)) * share).cast("long").alias("_k")).withColumnsRenamed({c: f"_{c}" for c in stratum})
+        ranked = ranked.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in stratum]).drop(*[f"_{c}" for c in stratum])
+    else:
+        ranked = ranked.withColumn("_k", F.lit(round(df.count() * share)))
+    marked = ranked.withColumn("_in", F.col("_s") < F.col("_k")).drop("_s", "_k")
+    dealt = [even_deck(marked.where(F.col("_in") == flag), values, f"{salt}.{flag}", out, list(stratum), seed) for flag, values in ((True, some), (False, others)) if values]
+    return (dealt[0] if len(dealt) == 1 else dealt[0].unionByName(dealt[1])).drop("_in")

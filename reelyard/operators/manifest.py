@@ -85,3 +85,45 @@ def oversample_moving(meta: DataFrame, motion: DataFrame) -> DataFrame:
     """Every row, those of moving clips twice."""
     joined = meta.join(motion.select("id", "static"), "id", "left")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.coalesce("static", F.lit(True)), 1).otherwise(2)))).drop("static")
+
+
+def select_ids(df: DataFrame, spec: str) -> DataFrame:
+    """Rows whose id is in a spec: a range "cAAAA-cBBBB", both ends included, or a list by commas."""
+    low, dash, high = spec.partition("-")
+    if dash:
+        return df.where(F.col("id").between(low.strip(), high.strip()))
+    return df.where(F.col("id").isin([x.strip() for x in spec.split(",") if x.strip()]))
+
+
+def todo(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """The wanted rows whose id isn't done."""
+    return wanted.join(done.select("id"), "id", "left_anti")
+
+
+def generation_requests(captions: DataFrame, done: DataFrame, params: dict[str, str]) -> DataFrame:
+    """id, payload (JSON: prompt, seed = the id's number, fixed parameters) of captions that aren't done."""
+    seed = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    fields = [F.col("caption").alias("prompt"), seed.alias("seed"), *[F.lit(v).alias(k) for k, v in sorted(params.items())]]
+    return todo(captions, done).select("id", F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def usage_summary(cache: DataFrame) -> DataFrame:
+    """calls, cached, input_tokens, output_tokens, cached_tokens of a table of answered requests; nulls count 0."""
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cached_tokens")]
+    return cache.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("cached_tokens") > 0).alias("cached"), *total)
+
+
+def intake_summary(members: DataFrame) -> DataFrame:
+    """archive, ok, bad (sorted), clips of the members (archive, clip_id, file, valid) of each archive."""
+    bad = F.array_sort(F.collect_list(F.when(~F.col("valid"), F.col("file"))))
+    return members.groupBy("archive").agg(F.count_if("valid").alias("ok"), bad.alias("bad"), F.count_distinct("clip_id").alias("clips"))
+
+
+def union_clips(members: DataFrame) -> DataFrame:
+    """The clips that any archive touches, each once."""
+    return members.where("clip_id is not null").select("clip_id").distinct()
+
+
+def resolve_paths(rows: DataFrame, root: str, names: tuple[str, ...] = ("video", "control", "reference")) -> DataFrame:
+    """rows with their relative paths joined to a root; null stays null."""
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.concat_ws("/", F.lit(root.rstrip("/")), c)) for c in names if c in rows.columns})

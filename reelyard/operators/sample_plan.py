@@ -16,13 +16,16 @@ def repeat_videos(meta: DataFrame, n: int) -> DataFrame:
 
 
 def frame_plan(meta: DataFrame, count: int, start: float, end: float, stride: int, least: int, seed=0) -> DataFrame:
-    """id, frames, error: min(count, floor(length * (end - start) / stride)) frames, evenly spaced from a seeded start."""
-    span = F.floor(F.col("length") * (end - start))
-    n = F.least(F.lit(count), F.floor(span / stride)).cast("int")
-    room = span - (n - 1) * stride - 1
-    first = F.floor(F.col("length") * start) + F.floor(hash01(hash_key(seed, "start", "id")) * (room + 1))
-    frames = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (first + i * stride).cast("long"))
-    bad = F.when((n < 1) | (n < least), F.lit("too short"))
+    """id, frames, error: min(count, floor(length * (end - start) / stride)) frames, evenly spaced over a run of the leading
+    floor(end * length) frames, which starts by a seeded draw at floor(start * that) at least. No frames and fewer than
+    `least` are errors of their own."""
+    n = F.least(F.lit(count), F.floor(F.col("length") * (end - start) / stride)).cast("int")
+    total = F.floor(F.col("length") * end)
+    run = F.least(total, (n - 1) * stride + 1)
+    low, high = F.floor(total * start), total - run
+    first = F.when(total == run, 0).otherwise(F.least(low, high) + F.floor(hash01(hash_key(seed, "start", "id")) * (F.greatest(high - low, F.lit(0)) + 1)))
+    frames = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (first + F.floor(i * (run - 1) / F.greatest(n - 1, F.lit(1)))).cast("long"))
+    bad = F.when(n < 1, F.lit("no frames")).when(n < least, F.lit("too short"))
     return meta.select("id", F.when(bad.isNull(), frames).alias("frames"), bad.alias("error"))
 
 

@@ -33,16 +33,28 @@ def fill_gaps(path: DataFrame, value: str = "x") -> DataFrame:
     return near.withColumns({"interpolated": F.col(value).isNull(), value: between}).drop("_a", "_b")
 
 
-def smooth_path(path: DataFrame, value: str = "x", sigma: float = 2.0) -> DataFrame:
-    """A Gaussian over frames out to 4 sigma, edge values repeated, in one pass over an array for each track."""
+def smooth_columns(path: DataFrame, values: list[str], sigma: float = 2.0) -> DataFrame:
+    """clip_id, track_id, frame and the values after a Gaussian over frames out to 4 sigma, edge values repeated, in one pass
+    over an array for each track."""
     reach = int(4 * sigma)
     weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     kernel = [w / sum(weights) for w in weights]
-    rows = path.groupBy("clip_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", value))).alias("_p"))
-    n = F.size("_p")
-    near = [lambda i, k=k: F.get(F.col("_p"), F.greatest(F.lit(0), F.least(n - 1, i + k)).cast("int"))[value] for k in range(-reach, reach + 1)]
-    smooth = F.transform(F.col("_p"), lambda p, i: F.struct(p.frame.alias("frame"), sum((near[j](i) * F.lit(kernel[j]) for j in range(1, len(kernel))), near[0](i) * F.lit(kernel[0])).alias("smooth")))
-    return rows.select("clip_id", "track_id", F.explode(smooth).alias("s")).select("clip_id", "track_id", "s.frame", "s.smooth")
+    rows = path.groupBy("clip_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", *values))).alias("_p"))
+    last = F.size("_p") - 1
+
+    def near(i, k):
+        return F.get(F.col("_p"), F.greatest(F.lit(0), F.least(last, i + k)).cast("int"))
+
+    def smooth(p, i):
+        rows_ = [near(i, k) for k in range(-reach, reach + 1)]
+        return F.struct(p.frame.alias("frame"), *[sum((rows_[j][v] * F.lit(kernel[j]) for j in range(1, len(kernel))), rows_[0][v] * F.lit(kernel[0])).alias(v) for v in values])
+
+    return rows.select("clip_id", "track_id", F.explode(F.transform(F.col("_p"), smooth)).alias("s")).select("clip_id", "track_id", "s.frame", *[f"s.{v}" for v in values])
+
+
+def smooth_path(path: DataFrame, value: str = "x", sigma: float = 2.0) -> DataFrame:
+    """smooth_columns of one value, as column smooth."""
+    return smooth_columns(path, [value], sigma).withColumnRenamed(value, "smooth")
 
 
 def track_jumps(path: DataFrame, heights: DataFrame, value: str = "smooth") -> DataFrame:
