@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reelyard.storage import keep, release
@@ -19,9 +19,11 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         spread = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "theirs").alias("component"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        before, new = new, keep(spread.join(hop, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        moved = spread.join(hop, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
+        seen = Observation()
+        before, new = new, keep(moved.observe(seen, F.count_if(F.col("old") != F.col("component")).alias("changed")), "labels")
         release(before, labels)
         labels = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
+        if not seen.get["changed"]:
             release(both)
             return labels
