@@ -21,7 +21,7 @@ from reelyard.storage import keep
 SCALE = 256
 TOP = 5
 ROW_BLOCK = 32_768
-LEAST_BLOCK = 1_024
+LEAST_BLOCK = 8_192
 EVERY = 50
 SETTLE = 48
 
