@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,17 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered")
 
 
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """The documents with _row, which tells rows apart: the file and the place in it of a table that is read as its files hold
+    it, so that the texts aren't written again; any other table is numbered()."""
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            return docs.select(*COLUMNS, F.struct(F.unhex(F.md5("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"))
+        except AnalysisException:  # rows that are not in files
+            pass
+    return numbered(docs)
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, one of the smallest doc_id, of each component of similar rows; those with no words stay."""
     rows = numbered(docs)
@@ -41,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Whole documents, each as often as the mix takes its words: the number of copies is taken / size, rounded down, or up
     for as many rows of the source, drawn by what is left of them, as bring the source's words nearest to what the mix
     takes: half a document at most. Documents without words go once."""
-    rows = numbered(docs)
+    rows = placed_rows(docs)
     taken = keep(mixing.mix(rows, key="_row")[0].select("_row", "row", "source_rank", "size", "taken"), "taken")
     rest = F.expr("taken % greatest(size, 1)")
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "row"), F.lit(1 << 40)) / float(1 << 40)
@@ -58,7 +70,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and slot on the Hilbert order. Rows without texts are ranked; the texts move once, when
     they meet their places."""
-    rows = numbered(docs)
+    rows = placed_rows(docs)
     placed = sharding.hilbert_shards(sharding.measured(rows).drop("text", "n_chars"), 8, last=("_row",))
     placed = keep(placed.select("_row", "size", "text_crc32", "hilbert", "shard", "slot"), "placed")
     return rows.join(placed, "_row").select(*COLUMNS, "size", "text_crc32", "hilbert", "shard", "slot")
