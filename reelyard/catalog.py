@@ -588,3 +588,135 @@ def painter_order(spark: SparkSession, d: str) -> DataFrame:
     _, _, heights, positions = _ground(spark, d)
     cams = A.level_cameras(A.ground_detections(spark, d).where("visible"))
     return ground_paths.painter_order(ground_paths.subject_paths(positions, heights), cams).select("clip_id", "frame", "track_id", F.col("order").cast("long").alias("place"))
+
+
+_HEIGHTS = f"""{A.DETECTIONS}, mh AS (SELECT clip_id, track_id, list_sort(list(height) FILTER (visible AND height > 0))[1 + count(*) FILTER (visible AND height > 0) // 2] AS height, count(*) FILTER (visible) AS seen FROM detections GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_HEIGHTS}, top AS (SELECT *, max(height) OVER (PARTITION BY clip_id) AS clip_max FROM mh)
+SELECT clip_id, track_id, clip_max, track_id % 7 = 3 OR coalesce(seen >= 40 AND height >= greatest(72.0, 0.4 * clip_max), false) AS main FROM top""")
+def main_subjects(spark: SparkSession, d: str) -> DataFrame:
+    heights = tracks.median_heights(A.detections(spark, d)).withColumn("main_subject_prelim", F.col("track_id") % 7 == 3)
+    return tracks.main_subjects(heights).select("clip_id", "track_id", "clip_max", "main")
+
+
+@query(f"""WITH {A.CAMERAS}, p AS (SELECT *, CASE WHEN clip_id % 2 = 1 THEN 0.6 ELSE 0.0 END AS nx, CASE WHEN clip_id % 2 = 1 THEN -0.8 ELSE -1.0 END AS ny FROM cams),
+f AS (SELECT *, nx * x + 1.5 AS h, -sin(a) * nx AS fn FROM p), w AS (SELECT *, -sin(a) - fn * nx AS wx, -fn * ny AS wy, cos(a) AS wz FROM f), u AS (SELECT *, wx / m AS ux, wy / m AS uy, wz / m AS uz FROM (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) AS m FROM w)),
+g AS (SELECT *, x - h * nx AS ox, -h * ny AS oy, z AS oz, ny * uz AS vx, -nx * uz AS vy, nx * uy - ny * ux AS vz FROM u)
+SELECT clip_id, kf, round(ox, 6) AS ox, round(oy, 6) AS oy, round(oz, 6) AS oz, round(h, 6) AS camera_height, round((1 - ox) * ux + (2 - oy) * uy + (3 - oz) * uz, 6) AS u, round((1 - ox) * vx + (2 - oy) * vy + (3 - oz) * vz, 6) AS v, round((1 - ox) * nx + (2 - oy) * ny, 6) AS n FROM g""")
+def plane_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """The point (1, 2, 3) in the frame of a clip's plane, as each keyframe sees it."""
+    odd = F.col("clip_id") % 2 == 1
+    normal = vec.vec(F.when(odd, 0.6).otherwise(0.0), F.when(odd, -0.8).otherwise(-1.0), F.lit(0.0))
+    framed = A.cameras(spark, d).withColumn("n", normal).withColumn("p", vec.plane_frame(F.col("n"), F.lit(1.5), F.col("r"), F.col("t")))
+    at = vec.to_plane(vec.vec(*map(F.lit, (1.0, 2.0, 3.0))), F.col("p.origin"), F.col("p.u"), F.col("p.v"), F.col("n"))
+    named = {"ox": vec.at(F.col("p.origin"), 0), "oy": vec.at(F.col("p.origin"), 1), "oz": vec.at(F.col("p.origin"), 2), "camera_height": F.col("p.h"), "u": at.u, "v": at.v, "n": at.n}
+    return framed.select("clip_id", "kf", *[(F.round(c, 6) + 0.0).alias(k) for k, c in named.items()])
+
+
+# --- cards as prompts show them, generation runs, intake
+
+
+@query(f"WITH {_CARDS} SELECT id, CAST(to_json({{'id': id, 'person_count': person_count, 'archetype': archetype, 'ground': ground, 'indoor': indoor, 'size': size, 'motion_range': motion_range}}) AS VARCHAR) AS card FROM cards")
+def card_view(spark: SparkSession, d: str) -> DataFrame:
+    return cards.card_view(_cards(spark, d))
+
+
+@query(f"WITH {_CARDS}, a AS (SELECT DISTINCT archetype AS name FROM cards), t AS (SELECT lower(p_name) AS name, max(p_size) AS largest, min(p_retailprice) AS least FROM part GROUP BY 1) SELECT name, largest, least FROM a JOIN t USING (name)")
+def tagged_archetypes(spark: SparkSession, d: str) -> DataFrame:
+    archetypes = _cards(spark, d).select(F.col("archetype").alias("name")).distinct()
+    tags = A.table(spark, d, "part").groupBy(F.lower("p_name").alias("name")).agg(F.max("p_size").alias("largest"), F.min("p_retailprice").alias("least"))
+    others = A.table(spark, d, "supplier").select(F.lower("s_name").alias("name"), F.lit(None).cast("int").alias("largest"), F.lit(None).cast("double").alias("least"))
+    return cards.attach_tags(archetypes, tags.unionByName(others))
+
+
+@query(f"WITH {A.CAPTIONS}, {_CARDS} SELECT c.id, person_count, motion_range, caption FROM cards c JOIN captions USING (id)")
+def assembled_captions(spark: SparkSession, d: str) -> DataFrame:
+    return cards.assemble_captions(_cards(spark, d), A.captions(spark, d).select("id", "caption")).select("id", "person_count", "motion_range", "caption")
+
+
+@query(f"WITH {_CARDS} SELECT id, archetype FROM cards ORDER BY id LIMIT 20")
+def trial_cards(spark: SparkSession, d: str) -> DataFrame:
+    return cards.first_n(_cards(spark, d).select("id", "archetype"), 20)
+
+
+@query("SELECT 'c' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS id, o_totalprice AS price FROM orders WHERE o_orderkey BETWEEN 100 AND 5000")
+def selected_ids(spark: SparkSession, d: str) -> DataFrame:
+    named = A.table(spark, d, "orders").select(F.concat(F.lit("c"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("id"), F.col("o_totalprice").alias("price"))
+    return manifest.select_ids(named, "c000000100-c000005000")
+
+
+@query(f"WITH {A.SIDECARS} SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM sidecars WHERE status = 'ok')")
+def clips_to_do(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.todo(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), A.sidecars(spark, d).where("status = 'ok'"))
+
+
+@query(f"WITH {A.SIDECARS} SELECT 'c' || doc_id AS id, text AS prompt, doc_id AS seed, '720p' AS resolution FROM documents WHERE doc_id NOT IN (SELECT id FROM sidecars WHERE status = 'ok' AND id % 2 = 0)")
+def generation_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of even events are done already."""
+    named = F.concat(F.lit("c"), F.col("id").cast("string")).alias("id")
+    done = A.sidecars(spark, d).where("status = 'ok' and id % 2 = 0").select(named)
+    asked = manifest.generation_requests(A.captions(spark, d).select(named, "caption"), done, {"resolution": "720p"})
+    return asked.select("id", F.from_json("payload", "prompt string, seed long, resolution string").alias("p")).select("id", "p.*")
+
+
+@query("SELECT count(*) AS calls, count(*) FILTER (turn % 3 = 1) AS cached, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS input_tokens, CAST(sum(turn) AS BIGINT) AS output_tokens, CAST(coalesce(sum(conv_id + 1) FILTER (turn % 3 = 1), 0) AS BIGINT) AS cached_tokens FROM conversations")
+def usage_summary(spark: SparkSession, d: str) -> DataFrame:
+    cached = F.when(F.col("turn") % 3 == 1, F.col("conv_id") + 1)
+    return manifest.usage_summary(A.table(spark, d, "conversations").select(F.length("text").cast("long").alias("input_tokens"), F.col("turn").alias("output_tokens"), cached.alias("cached_tokens")))
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return A.inventory(spark, d).withColumn("archive", F.expr("clip_id div 50"))
+
+
+@query(f"WITH {A.INVENTORY} SELECT clip_id // 50 AS archive, count(*) FILTER (valid) AS ok, coalesce(array_to_string(list_sort(list(file) FILTER (NOT valid)), ','), '') AS bad, count(DISTINCT clip_id) AS clips FROM inventory GROUP BY 1")
+def intake_summary(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.intake_summary(_members(spark, d)).withColumn("bad", F.concat_ws(",", "bad"))
+
+
+@query(f"WITH {A.INVENTORY} SELECT DISTINCT clip_id FROM inventory")
+def touched_clips(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.union_clips(_members(spark, d))
+
+
+@query("SELECT o_orderkey AS id, '/data/clips/' || o_orderkey || '.mp4' AS video, CASE WHEN o_orderkey % 4 <> 0 THEN '/data/control/' || o_orderkey || '.mp4' END AS control FROM orders")
+def resolved_paths(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    named = {"video": F.concat(F.lit("clips/"), k, F.lit(".mp4")), "control": F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("control/"), k, F.lit(".mp4")))}
+    return manifest.resolve_paths(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *[c.alias(n) for n, c in named.items()]), "/data/")
+
+
+_OUTCOMES = f"{A.CAPTIONS}, {_ISSUE}"
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    issue = text.mechanical_issue(F.col("caption"), F.col("scene"), F.col("action"), F.col("family"))
+    return A.captions(spark, d).withColumn("reason", issue).withColumn("accepted", F.col("reason").isNull())
+
+
+@query(f"WITH {_OUTCOMES} SELECT issue IS NULL AS accepted, CASE WHEN issue IS NULL THEN 'accepted' ELSE trim(regexp_extract(issue, '^([a-z -]*[a-z])', 1)) END AS outcome, count(*) AS rows FROM issues GROUP BY 1, 2")
+def acceptance_report(spark: SparkSession, d: str) -> DataFrame:
+    return captions.acceptance_report(_outcomes(spark, d))
+
+
+@query(f"WITH {_OUTCOMES}, second AS (SELECT id, reason FROM (SELECT id, 'repaired' AS reason FROM issues WHERE issue LIKE 'forbidden word%')) SELECT id, issue AS reason FROM issues WHERE id NOT IN (SELECT id FROM second) UNION ALL SELECT id, reason FROM second")
+def merged_rounds(spark: SparkSession, d: str) -> DataFrame:
+    first = _outcomes(spark, d).select("id", "reason")
+    return captions.merge_rounds(first, first.where("reason like 'forbidden word%'").withColumn("reason", F.lit("repaired")))
+
+
+def _sql_dealt(flag: str, values: list[str]) -> str:
+    return f"""SELECT r.id, r.stratum, v.v AS weather FROM (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', '0', 'weather.{flag}', CAST(id AS VARCHAR))), id) - 1 AS r FROM marked WHERE inside = {flag}) r
+  JOIN (SELECT v, row_number() OVER (ORDER BY md5('0|weather.{flag}|' || v), v) - 1 AS i FROM (SELECT unnest({_sql_list(values)}) AS v)) v ON r.r % {len(values)} = v.i"""
+
+
+_HOSTILE, _MILD = ["rain", "snow", "storm"], ["clear", "overcast", "haze", "mist"]
+
+
+@query(f"""WITH marked AS (SELECT id, stratum, s < round(n * 0.2) AS inside FROM (SELECT o_orderkey AS id, o_orderstatus AS stratum, count(*) OVER (PARTITION BY o_orderstatus) AS n,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat_ws('|', '0', 'weather.share', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS s FROM orders))
+{_sql_dealt("True", _HOSTILE)} UNION ALL {_sql_dealt("False", _MILD)}""")
+def weather_deck(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("stratum"))
+    return decks.exact_share_deck(rows, _HOSTILE, _MILD, 0.2, "weather", "weather", ["stratum"]).select("id", "stratum", "weather")

@@ -69,6 +69,19 @@ def to_plane(x: Column, origin: Column, u: Column, v: Column, n: Column) -> Colu
     return F.struct(dot(d, u).alias("u"), dot(d, v).alias("v"), dot(d, n).alias("n"))
 
 
+def plane_frame(n: Column, d: Column, r: Column, t: Column) -> Column:
+    """origin (the point of the plane n.x + d = 0 under the camera), u (the view along the plane, or the x axis along it where
+    the camera looks straight at it), v = n x u and h (the camera's height)."""
+    centre, fwd = cam_center(r, t), F.slice(r, 7, 3)
+
+    def along(a: Column) -> Column:
+        return F.zip_with(a, n, lambda x, y: x - dot(a, n) * y)
+
+    view = F.when(norm(along(fwd)) < 1e-6, along(vec(F.lit(1.0), F.lit(0.0), F.lit(0.0)))).otherwise(along(fwd))
+    u, h = F.transform(view, lambda c: c / norm(view)), dot(n, centre) + d
+    return F.struct(F.zip_with(centre, n, lambda x, y: x - h * y).alias("origin"), u.alias("u"), cross(n, u).alias("v"), h.alias("h"))
+
+
 def horizon_y(fy: Column, cx: Column, cy: Column, fx: Column, r: Column, n: Column, x: Column) -> Column:
     """Pixel row of a plane's vanishing line at column x; null where it is degenerate (under 1e-9)."""
     m = [at(r, 3 * i) * at(n, 0) + at(r, 3 * i + 1) * at(n, 1) + at(r, 3 * i + 2) * at(n, 2) for i in range(3)]

@@ -117,3 +117,29 @@ def redeal_flagged(cards: DataFrame, flags: DataFrame, lighting: list[str], fami
     calm = F.lower("_reason").rlike("crowd|audience")
     drawn = drawn.withColumns({"close_approach": F.col("close_approach") & (F.col("motion_range") != "in_place"), "crowd": F.col("crowd") & ~calm})
     return joined.where("_reason is null").unionByName(drawn).drop("_reason")
+
+
+# The fields of a card that a prompt shows.
+CARD_FIELDS = ["id", "person_count", "region", "archetype", "ground", "indoor", "size", "lighting", "env_motion", "vibe", "motion_range", "action_family", "camera", "crowd", "close_approach"]
+
+
+def card_view(cards: DataFrame) -> DataFrame:
+    """id, card: the JSON line of the fields that a prompt shows, those that the cards have; nulls stay in it."""
+    return cards.select("id", F.to_json(F.struct(*[c for c in CARD_FIELDS if c in cards.columns]), {"ignoreNullFields": "false"}).alias("card"))
+
+
+def attach_tags(archetypes: DataFrame, tags: DataFrame) -> DataFrame:
+    """The archetypes with their tags, by name; one without tags is an error, tags of no archetype are left out."""
+    marked = archetypes.join(tags.withColumn("_tagged", F.lit(True)), "name", "left")
+    found = F.when(F.col("_tagged"), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("archetype without tags: "), F.coalesce("name", F.lit("null")))))
+    return marked.withColumn("name", found).drop("_tagged")
+
+
+def assemble_captions(seeds: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The cards that have an accepted caption, with its columns; writers order them by id."""
+    return seeds.join(accepted, "id")
+
+
+def first_n(df: DataFrame, n: int) -> DataFrame:
+    """The n rows of the smallest ids, for a trial run."""
+    return df.orderBy("id").limit(n)
