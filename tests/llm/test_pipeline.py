@@ -93,3 +93,21 @@ def test_every_source_meets_its_target(spark, stages):
             seen[(r["doc_id"], r["text"], r["source"])] += 1
         assert all(abs(got[s] - targets[s]) <= longest[s] / 2 + 1 for s in words)
         assert all(n <= 2 * rows[k] for k, n in seen.items())
+
+
+def test_rows_of_files_are_told_apart_by_their_place(spark, tmp_path, monkeypatch):
+    odd(spark).unionByName(odd(spark)).repartition(3).write.parquet(str(tmp_path / "odd"))
+    docs = spark.read.parquet(str(tmp_path / "odd"))
+    rows = corpus_pipeline.placed_rows(docs)
+    assert dict(rows.dtypes)["_row"].startswith("struct") and rows.select("_row").distinct().count() == docs.count()
+    assert rows.join(corpus_pipeline.placed_rows(docs).select("_row"), "_row").count() == docs.count()
+    filtered = corpus_pipeline.placed_rows(docs.where("doc_id > 3"))  # not a table as its files hold it
+    assert dict(filtered.dtypes)["_row"] == "bigint"
+
+    def results():
+        return [Counter(map(str, stage(spark, docs, SF).collect())) for stage in (corpus_pipeline.mixing_stage, corpus_pipeline.sharding_stage)]
+
+    placed = results()
+    monkeypatch.setattr(corpus_pipeline, "placed_rows", corpus_pipeline.numbered)
+    assert [sum(c.values()) for c in results()] == [sum(c.values()) for c in placed]
+    assert placed[1].total() == docs.count()
