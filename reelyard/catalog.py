@@ -720,3 +720,29 @@ _HOSTILE, _MILD = ["rain", "snow", "storm"], ["clear", "overcast", "haze", "mist
 def weather_deck(spark: SparkSession, d: str) -> DataFrame:
     rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("stratum"))
     return decks.exact_share_deck(rows, _HOSTILE, _MILD, 0.2, "weather", "weather", ["stratum"]).select("id", "stratum", "weather")
+
+
+# --- extents of grids, paths of cameras
+
+
+@query(f"""WITH {A.GROUND}, pl AS (SELECT DISTINCT user_id AS clip_id, CAST(1.5 + (user_id % 3) * 0.5 AS DOUBLE) AS ch FROM events), m AS (SELECT clip_id, quantile_cont(height, 0.5) AS h FROM hts GROUP BY 1),
+s AS (SELECT clip_id, coalesce(h, ch / 3) AS s FROM pl LEFT JOIN m USING (clip_id)), p AS (SELECT clip_id, z AS u, -x AS v FROM pos WHERE x IS NOT NULL UNION ALL SELECT clip_id, 0.0, 0.0 FROM pl),
+e AS (SELECT clip_id, s, min(u) - 6 * s AS u0, max(u) + 6 * s AS u1, min(v) - 6 * s AS v0, max(v) + 6 * s AS v1 FROM p JOIN s USING (clip_id) GROUP BY 1, 2)
+SELECT clip_id, round(u0, 9) AS u0, round(u1, 9) AS u1, round(v0, 9) AS v0, round(v1, 9) AS v1, CAST(ceil((u1 + 1e-9 - floor(u0 / s + 1e-9) * s) / s) AS BIGINT) AS u_lines, CAST(ceil((v1 + 1e-9 - floor(v0 / s + 1e-9) * s) / s) AS BIGINT) AS v_lines, round(0.05 * s, 9) AS zmin FROM e""")
+def plane_extents(spark: SparkSession, d: str) -> DataFrame:
+    planes, _, heights, positions = _ground(spark, d)
+    o, i = F.lit(0.0), F.lit(1.0)
+    framed = planes.select("clip_id", vec.plane_frame(F.col("normal"), F.col("d"), F.array(i, o, o, o, i, o, o, o, i), F.array(o, o, o)).alias("p")).select("clip_id", "p.*")
+    framed = framed.join(ground_paths.grid_spacing(heights, planes), "clip_id")
+    points = positions.where("x is not null").select("clip_id", "x", "y", "z").unionByName(planes.select("clip_id", *[o.alias(c) for c in "xyz"]))
+    out = ground_paths.plane_extent(points, framed, 6.0)
+    return out.select("clip_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("u0", "u1", "v0", "v1")], F.size("us").cast("long").alias("u_lines"), F.size("vs").cast("long").alias("v_lines"), F.round("zmin", 9).alias("zmin"))
+
+
+@query(f"""WITH {A.CAMERAS}, st AS (SELECT clip_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM cams WINDOW w AS (PARTITION BY clip_id ORDER BY kf)), l AS (SELECT clip_id, sum(coalesce(step, 0)) AS len FROM st GROUP BY 1)
+SELECT s_suppkey AS clip_id, s_suppkey % 10 / 10.0 AS inlier_ratio, 1.0 + s_suppkey % 4 AS camera_height, s_suppkey % 10 >= 3 AS plane_ok, round(len / (2.0 + s_suppkey % 7), 6) AS path_depth FROM supplier JOIN l ON s_suppkey = clip_id""")
+def camera_paths(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    fits = A.table(spark, d, "supplier").select(k.alias("clip_id"), (k % 10 / 10.0).alias("inlier_ratio"), (k % 4 + 1.0).alias("camera_height"), (k % 10 >= 3).alias("plane_ok"), (k % 7 + 2.0).alias("median_depth"))
+    table = cameras.camera_path_table(_frames(spark, d).where("frame between 0 and 80"), A.cameras(spark, d), fits)
+    return table.select("clip_id", "inlier_ratio", "camera_height", "plane_ok", F.round("path_depth", 6).alias("path_depth"))

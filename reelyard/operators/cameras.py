@@ -49,6 +49,15 @@ def camera_motion(cams: DataFrame, planes: DataFrame) -> DataFrame:
     return out.select("clip_id", "path", "rot_deg", ((F.col("path") < 0.25) & (F.col("rot_deg") < 3)).alias("static"))
 
 
+def camera_path_table(frames: DataFrame, cams: DataFrame, fits: DataFrame) -> DataFrame:
+    """fits (clip_id, median_depth, ...) with path_depth: the length of the camera's path over the frames in median depths."""
+    by = Window.partitionBy("clip_id").orderBy("frame")
+    centers = interpolated_centers(frames, cams).select("clip_id", "frame", F.array("x", "y", "z").alias("c"))
+    steps = centers.withColumn("step", norm(sub(F.col("c"), F.lag("c").over(by))))
+    lengths = steps.groupBy("clip_id").agg(F.sum(F.coalesce("step", F.lit(0.0))).alias("_length"))
+    return fits.join(lengths, "clip_id").withColumn("path_depth", F.col("_length") / F.col("median_depth")).drop("_length")
+
+
 def moving_share(motion: DataFrame) -> DataFrame:
     """label, clips, moving_pct of each label and, with a null label, of all."""
     return motion.rollup("label").agg(F.count(F.lit(1)).alias("clips"), F.round(100 * F.avg((~F.col("static")).cast("double")), 4).alias("moving_pct"))
