@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelyard.functions import text, vec
 from reelyard.jobs import adapters as A
-from reelyard.operators import cameras, captions, cards, decks, ground_paths, manifest, plane, sample_plan, tracks
+from reelyard.operators import cameras, captions, cards, decks, ground_paths, manifest, plane, sample_plan, scenes, tracks
 from reelyard.operators.manifest import REQUIRED
 
 QUERIES: dict = {}
@@ -746,3 +746,57 @@ def camera_paths(spark: SparkSession, d: str) -> DataFrame:
     fits = A.table(spark, d, "supplier").select(k.alias("clip_id"), (k % 10 / 10.0).alias("inlier_ratio"), (k % 4 + 1.0).alias("camera_height"), (k % 10 >= 3).alias("plane_ok"), (k % 7 + 2.0).alias("median_depth"))
     table = cameras.camera_path_table(_frames(spark, d).where("frame between 0 and 80"), A.cameras(spark, d), fits)
     return table.select("clip_id", "inlier_ratio", "camera_height", "plane_ok", F.round("path_depth", 6).alias("path_depth"))
+
+
+# --- authored scenes, grids as polylines, horizons from gravity
+
+
+@query("""WITH b AS (SELECT l_orderkey AS scene, min(l_linenumber) AS bare FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber > 5 GROUP BY 1),
+s AS (SELECT o_orderkey AS scene, CASE WHEN o_orderkey % 11 = 0 THEN 80 WHEN o_orderkey % 11 < 9 THEN 81 END AS n, CASE WHEN o_orderkey % 13 = 0 THEN 640 ELSE 1280 END AS w, CASE o_orderkey % 4 WHEN 0 THEN 'orbit' WHEN 1 THEN 'pan' WHEN 2 THEN lower(o_orderstatus) END AS p FROM orders),
+r AS (SELECT s.scene, CASE WHEN coalesce(n, 81) <> 81 THEN 'not 81 frames' WHEN w <> 1280 THEN 'not 1280 x 720' WHEN coalesce(p, 'static') NOT IN ('static', 'dolly_in', 'dolly_out', 'orbit', 'pan', 'crane') THEN 'unknown camera path ' || p
+  WHEN bare IS NOT NULL THEN 'no keyframes for cylinder ' || CAST(bare AS VARCHAR) END AS reason FROM s LEFT JOIN b USING (scene)) SELECT scene, reason IS NULL AS accepted, reason FROM r""")
+def checked_scenes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    path = F.when(k % 4 == 0, "orbit").when(k % 4 == 1, "pan").when(k % 4 == 2, F.lower("o_orderstatus"))
+    frames = F.when(k % 11 == 0, 80).when(k % 11 < 9, 81)
+    rows = A.table(spark, d, "orders").select(k.alias("scene"), frames.alias("n_frames"), F.when(k % 13 == 0, 640).otherwise(1280).alias("width"), F.lit(None).cast("int").alias("height"), path.alias("path"))
+    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("cylinder"))
+    return scenes.scene_checks(rows, lines, lines.where("scene % 5 <> 0 or cylinder <= 5"))
+
+
+@query("""SELECT l_orderkey AS scene, l_linenumber AS cylinder, round(CAST(l_quantity AS DOUBLE) / 8 - 0.5, 3) AS u, CAST(l_discount AS DOUBLE) AS v,
+  CASE WHEN l_linenumber % 2 = 0 THEN round(CAST(l_quantity AS DOUBLE) / 4 - 0.5, 3) END AS handle_in_u, CAST(NULL AS DOUBLE) AS handle_out_u FROM lineitem""")
+def shifted_scenes(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    rows = A.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("cylinder"), (q / 8).alias("u"), F.col("l_discount").cast("double").alias("v"),
+        F.when(F.col("l_linenumber") % 2 == 0, q / 4).alias("handle_in_u"), F.lit(None).cast("double").alias("handle_out_u"),
+    )
+    return scenes.shift_scenes(rows, -0.5)
+
+
+@query("SELECT c_custkey AS clip_id, CASE WHEN c_custkey % 7 <> 3 THEN round((360 - (900.0 + c_custkey % 100) * (c_custkey % 4 / 20.0) / ((c_custkey % 7 - 3) / 3.0)) * 720 / (360 + c_custkey % 2 * 360), 6) END AS horizon FROM customer")
+def gravity_horizons(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    g = F.array(F.lit(0.0), (k % 7 - 3) / 3.0, k % 4 / 20.0)
+    y = vec.horizon_from_gravity(900.0 + k % 100, F.lit(360.0), g, 360 + k % 2 * 360)
+    return A.table(spark, d, "customer").select(k.alias("clip_id"), F.round(y, 6).alias("horizon"))
+
+
+@query(f"""WITH {A.GROUND}, pl AS (SELECT DISTINCT user_id AS clip_id, CAST(1.5 + (user_id % 3) * 0.5 AS DOUBLE) AS ch FROM events), m AS (SELECT clip_id, quantile_cont(height, 0.5) AS h FROM hts GROUP BY 1),
+s AS (SELECT clip_id, coalesce(h, ch / 3) AS s FROM pl LEFT JOIN m USING (clip_id)), p AS (SELECT clip_id, z AS u, -x AS v FROM pos WHERE x IS NOT NULL UNION ALL SELECT clip_id, 0.0, 0.0 FROM pl),
+e AS (SELECT clip_id, s, min(u) - 6 * s AS u0, max(u) + 6 * s AS u1, min(v) - 6 * s AS v0, max(v) + 6 * s AS v1 FROM p JOIN s USING (clip_id) GROUP BY 1, 2)
+SELECT clip_id, (n_u + CASE WHEN cnt >= 2 THEN v_n ELSE 0 END)::BIGINT AS lines, (60 * n_u + CASE WHEN cnt >= 2 THEN cnt * v_n ELSE 0 END)::BIGINT AS points FROM (SELECT clip_id,
+  len(list_filter(range(CAST(ceil((u1 + 1e-9 - floor(u0 / s + 1e-9) * s) / s) AS BIGINT)), lambda i: floor(u0 / s + 1e-9) * s + i * s > 0.05 * s)) AS n_u, CAST(ceil((v1 + 1e-9 - floor(v0 / s + 1e-9) * s) / s) AS BIGINT) AS v_n,
+  len(list_filter(range(60), lambda i: u0 + (u1 - u0) * (i / 59.0) > 0.05 * s)) AS cnt FROM e)""")
+def grid_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of every clip as its level camera sees it: how many lines are drawn, and of how many points."""
+    planes, _, heights, positions = _ground(spark, d)
+    o, i = F.lit(0.0), F.lit(1.0)
+    r, t = F.array(i, o, o, o, i, o, o, o, i), F.array(o, o, o)
+    framed = planes.select("clip_id", vec.plane_frame(F.col("normal"), F.col("d"), r, t).alias("p")).select("clip_id", "p.*")
+    points = positions.where("x is not null").select("clip_id", "x", "y", "z").unionByName(planes.select("clip_id", *[o.alias(c) for c in "xyz"]))
+    extents = ground_paths.plane_extent(points, framed.join(ground_paths.grid_spacing(heights, planes), "clip_id"), 6.0)
+    cams = planes.select("clip_id", F.lit(0).alias("frame"), F.lit(811.3).alias("fx"), F.lit(907.7).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), r.alias("r"), t.alias("t"))
+    drawn = scenes.grid_polylines(extents, framed, cams)
+    return drawn.groupBy("clip_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("points")).cast("long").alias("points"))

@@ -100,3 +100,17 @@ def look_at(eye: Column, target: Column, up: Column) -> Column:
 def pitch_from_horizon(f: Column, cy: Column, y: Column) -> Column:
     """Camera pitch in radians from the row of the horizon."""
     return F.atan2(cy - y, f)
+
+
+def horizon_from_gravity(f: Column, cy: Column, g: Column, height: Column) -> Column:
+    """Row of the horizon at the principal column, from gravity in camera coordinates, on a frame of 720 rows (the picture
+    that was measured has `height`); null where the horizon has no single row there (under 1e-9)."""
+    return F.when(F.abs(at(g, 1) / f) > 1e-9, (cy - f * at(g, 2) / at(g, 1)) * 720 / height)
+
+
+def rot_axis(axis: Column, angle: Column) -> Column:
+    """Row-major rotation by an angle in radians about a unit axis."""
+    c, s = F.cos(angle), F.sin(angle)
+    a = [at(axis, i) for i in range(3)]
+    turn = [[None, -a[2], a[1]], [a[2], None, -a[0]], [-a[1], a[0], None]]
+    return F.array(*[a[i] * a[j] * (1 - c) + (c if i == j else s * turn[i][j]) for i in range(3) for j in range(3)])

@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelyard.functions import vec
+
 PRESETS = ("static", "dolly_in", "dolly_out", "orbit", "pan", "crane")
 FRAMES = 81
+WIDTH, HEIGHT = 1280, 720
 
 
 def camera_presets(clips: DataFrame, names: tuple[str, ...] = PRESETS) -> DataFrame:
@@ -63,6 +66,82 @@ def sample_paths(keyframes: DataFrame, frames: int = FRAMES, steps: int = 200) -
     return ordered.groupBy("scene", "cylinder").applyInPandas(run, "scene string, cylinder long, frame long, u double, v double")
 
 
+def scene_checks(scenes: DataFrame, cylinders: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """scene, accepted, reason: whether an authored scene (scene, n_frames, width, height, path; null: the default) can be drawn.
+    cylinders (scene, cylinder) names those of a scene, keyframes (scene, cylinder) has a row for each keyframe. A scene
+    without cylinders is fine; the first rule that fails is the reason."""
+    bare = cylinders.select("scene", "cylinder").distinct().join(keyframes.select("scene", "cylinder").distinct(), ["scene", "cylinder"], "left_anti")
+    bare = bare.groupBy("scene").agg(F.min("cylinder").alias("_bare"))
+    path = F.coalesce("path", F.lit("static"))
+    reason = (
+        F.when(F.coalesce("n_frames", F.lit(FRAMES)) != FRAMES, F.lit(f"not {FRAMES} frames"))
+        .when((F.coalesce("width", F.lit(WIDTH)) != WIDTH) | (F.coalesce("height", F.lit(HEIGHT)) != HEIGHT), F.lit(f"not {WIDTH} x {HEIGHT}"))
+        .when(~path.isin(*PRESETS), F.concat(F.lit("unknown camera path "), path))
+        .when(F.col("_bare").isNotNull(), F.concat(F.lit("no keyframes for cylinder "), F.col("_bare").cast("string")))
+    )
+    return scenes.join(bare, "scene", "left").select("scene", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def shift_scenes(keyframes: DataFrame, du: float) -> DataFrame:
+    """keyframes with every place and explicit handle moved by du along u, to three decimals."""
+    return keyframes.withColumns({c: F.round(F.col(c) + F.lit(du), 3) for c in ("u", "handle_in_u", "handle_out_u")})
+
+
+def retime_scenes(keyframes: DataFrame, frames: list[float]) -> DataFrame:
+    """keyframes of the same paths at new frames: each rounded (halves up), those of 0 to 80, once each; the handles go, so
+    new tangents follow from the new places. Without any such frame the keyframes stay."""
+    at = sorted({f for f in (int(np.floor(x + 0.5)) for x in frames) if 0 <= f < FRAMES})
+    if not at:
+        return keyframes
+    none = {f"handle_{end}_{c}": F.lit(None).cast("double") for end in ("in", "out") for c in ("u", "v")}
+    return sample_paths(keyframes).where(F.col("frame").isin(at)).withColumns(none)
+
+
+def apply_fit(scenes: DataFrame, fits: DataFrame) -> DataFrame:
+    """scenes (scene, camera struct) whose camera takes the focal length and pitch fitted to a photograph (scene, image,
+    focal_px, pitch_deg, one row a scene) and is anchored to it; scenes without a fit keep theirs, with null marks."""
+    fit = fits.select("scene", F.struct("image", "focal_px", "pitch_deg").alias("_fit"))
+    joined, camera = scenes.join(fit, "scene", "left"), F.col("camera")
+    for name in ("focal_px", "pitch_deg"):
+        camera = camera.withField(name, F.coalesce(F.col("_fit")[name], F.col("camera")[name]))
+    camera = camera.withField("fitted_from", F.col("_fit")["image"]).withField("anchor_first_frame", F.col("_fit").isNotNull())
+    return joined.withColumn("camera", camera).drop("_fit")
+
+
+def grid_polylines(extents: DataFrame, frames: DataFrame, cams: DataFrame, samples: int = 60) -> DataFrame:
+    """clip_id, frame, axis, line, run, points (array of pixel u, v): the lines of a clip's grid as a camera sees them.
+
+    extents comes from plane_extent(), frames has clip_id, origin, u, v, cams clip_id, frame, fx, fy, cx, cy, r, t. Each line is
+    sampled evenly; what is deeper than zmin is seen, and a run of two or more seen samples is drawn. Lines are made and cut
+    within their row, so nothing but the two small joins by clip is dealt out."""
+    e = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: a + (b - a) * (i / float(samples - 1)))
+    plane = extents.join(frames.select("clip_id", "origin", F.col("u").alias("_u"), F.col("v").alias("_v")), "clip_id")
+    lines = [
+        plane.select("clip_id", "zmin", "origin", "_u", "_v", F.lit(axis).alias("axis"), F.posexplode(f"{axis}s").alias("line", "_at"), e(F.col(f"{other}0"), F.col(f"{other}1")).alias("_along"))
+        for axis, other in (("u", "v"), ("v", "u"))
+    ]
+    seen = lines[0].unionByName(lines[1]).join(cams.select("clip_id", "frame", "fx", "fy", "cx", "cy", "r", "t"), "clip_id")
+
+    def pixel(along):
+        a, b = F.when(F.col("axis") == "u", F.col("_at")).otherwise(along), F.when(F.col("axis") == "u", along).otherwise(F.col("_at"))
+        point = F.array(*[vec.at(F.col("origin"), i) + a * vec.at(F.col("_u"), i) + b * vec.at(F.col("_v"), i) for i in range(3)])
+        return vec.project(*[F.col(c) for c in ("fx", "fy", "cx", "cy", "r", "t")], point)
+
+    # exploding an array of one makes a value once, where later uses of it would each make it anew
+    seen = seen.select("clip_id", "frame", "axis", "line", "zmin", F.explode(F.array(F.transform("_along", pixel))).alias("_px"))
+    seen = seen.select("clip_id", "frame", "axis", "line", "_px", F.explode(F.array(F.transform("_px", lambda p: p["depth"] > F.col("zmin")))).alias("_ok"))
+    starts = F.filter(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.get("_ok", i - 1) & ~F.coalesce(F.get("_ok", i - 2), F.lit(False)))
+
+    def run(i):
+        rest = F.slice("_ok", i, samples)
+        stop = F.array_position(rest, False)
+        return F.slice("_px", i, F.when(stop > 0, stop - 1).otherwise(F.size(rest)).cast("int"))
+
+    runs = F.filter(F.transform(starts, run), lambda r: F.size(r) >= 2)
+    out = seen.select("clip_id", "frame", "axis", "line", F.posexplode(runs).alias("run", "_points"))
+    return out.select("clip_id", "frame", "axis", "line", "run", F.transform("_points", lambda p: F.struct(p["u"].alias("u"), p["v"].alias("v"))).alias("points"))
+
+
 def visible_runs(samples: DataFrame) -> DataFrame:
     """clip_id, line, run, first, last: maximal runs of samples (clip_id, line, i, depth, zmin) before the camera, of two or more."""
     by = Window.partitionBy("clip_id", "line").orderBy("i")

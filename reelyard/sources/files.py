@@ -34,6 +34,14 @@ def read_clip_json(spark: SparkSession, root: str, name: str, schema: str) -> Da
     return spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/{name}").withColumn("clip_id", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1))
 
 
+def read_sidecars(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The records that a generation run left beside its clips, one JSON document a file; id is the name of the file where the
+    record has none. Fields that a record lacks are null."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(root)
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1)
+    return rows.withColumn("id", F.coalesce(F.col("id").cast("string"), name) if "id" in rows.columns else name)
+
+
 def read_clip_points(spark: SparkSession, root: str, name: str = "ground_points.npz") -> DataFrame:
     """clip_id, pt, x, y, z, nx, ny, nz from the arrays of each clip; normals are optional, a broken file gives no rows."""
     files = spark.read.format("binaryFile").load(f"{root}/*/{name}").select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("clip_id"), "content")

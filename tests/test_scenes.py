@@ -48,3 +48,46 @@ def test_payloads_and_points(spark, tmp_path):
     valid = {"/".join(r["path"].split("/")[-2:]): r["valid"] for r in files.validate_payloads(found).collect()}
     assert {k for k, v in valid.items() if not v} == {"c0002/qc.json", "c0003/ground_points.npz"}
     assert "c0003/b.png" not in valid  # the scan leaves empty files out, so they count as missing
+
+
+def test_retimed_paths_keep_their_shape(spark):
+    rows = [("s", 1, 10, 0.0, 0.0, None, None, 1.0, 3.0), ("s", 1, 30, 4.0, 1.0, *(None,) * 4), ("s", 1, 60, 5.0, -2.0, *(None,) * 4)]
+    keyframes = spark.createDataFrame(rows, KEYS)
+    path = {r["frame"]: (r["u"], r["v"]) for r in scenes.sample_paths(keyframes).collect()}
+    got = scenes.retime_scenes(keyframes, [19.5, 20.4, 90, -3, 44]).collect()
+    assert {r["frame"]: (r["u"], r["v"]) for r in got} == {f: path[f] for f in (20, 44)} and all(r["handle_out_u"] is None for r in got)
+    assert scenes.retime_scenes(keyframes, [99]).count() == 3
+
+
+def test_fits_and_turns(spark):
+    from pyspark.sql import functions as F
+
+    from reelyard.functions import vec
+
+    rows = spark.createDataFrame([("a", (966.0, 2.0, "pan")), ("b", (966.0, 2.0, "orbit"))], "scene string, camera struct<focal_px:double,pitch_deg:double,path:string>")
+    fits = spark.createDataFrame([("a", "p.jpg", 800.0, -1.5)], "scene string, image string, focal_px double, pitch_deg double")
+    got = {r["scene"]: r["camera"].asDict() for r in scenes.apply_fit(rows, fits).collect()}
+    assert got["a"] == {"focal_px": 800.0, "pitch_deg": -1.5, "path": "pan", "fitted_from": "p.jpg", "anchor_first_frame": True}
+    assert got["b"] == {"focal_px": 966.0, "pitch_deg": 2.0, "path": "orbit", "fitted_from": None, "anchor_first_frame": False}
+    axis = np.array([1.0, -2.0, 2.0]) / 3
+    r = np.array(spark.range(1).select(vec.rot_axis(F.array(*[F.lit(float(x)) for x in axis]), F.lit(0.7))).first()[0]).reshape(3, 3)
+    assert np.allclose(r @ r.T, np.eye(3)) and np.allclose(r @ axis, axis) and np.isclose(np.trace(r), 1 + 2 * np.cos(0.7)) and np.isclose(r[1, 0] - r[0, 1], 2 * axis[2] * np.sin(0.7))
+
+
+def test_grid_lines_are_cut_where_they_pass_the_camera(spark):
+    extents = spark.createDataFrame([(1, -2.0, 4.0, -1.0, 1.0, [-1.0, 0.0, 2.0], [0.5], 0.05)], "clip_id long, u0 double, u1 double, v0 double, v1 double, us array<double>, vs array<double>, zmin double")
+    frames = spark.createDataFrame([(1, [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0])], "clip_id long, origin array<double>, u array<double>, v array<double>")
+    cams = spark.createDataFrame([(1, 3, 100.0, 100.0, 50.0, 50.0, [float(i % 4 == 0) for i in range(9)], [0.0, 0.0, 0.0])], "clip_id long, frame long, fx double, fy double, cx double, cy double, r array<double>, t array<double>")
+    got = {(r["axis"], r["line"]): r for r in scenes.grid_polylines(extents, frames, cams).collect()}
+    assert set(got) == {("u", 2), ("v", 0)} and len(got["u", 2]["points"]) == 60
+    ends = got["u", 2]["points"][0], got["u", 2]["points"][-1]
+    assert np.allclose([list(p) for p in ends], [[100, 100], [0, 100]])
+    assert len(got["v", 0]["points"]) == sum(-2 + 6 * i / 59 > 0.05 for i in range(60)) and np.allclose(list(got["v", 0]["points"][-1]), [37.5, 75])
+
+
+def test_sidecars(spark, tmp_path):
+    (tmp_path / "c1.json").write_text('{"id": "c1", "status": "ok",\n "cost_usd": 0.6}')
+    (tmp_path / "c2.json").write_text('{"status": "error", "error": "late"}')
+    (tmp_path / "c1.mp4").write_bytes(b"x")
+    got = files.read_sidecars(spark, str(tmp_path), "id string, status string, cost_usd double, error string").collect()
+    assert sorted((r["id"], r["status"], r["cost_usd"], r["error"]) for r in got) == [("c1", "ok", 0.6, None), ("c2", "error", None, "late")]
