@@ -116,11 +116,11 @@ def grid_polylines(extents: DataFrame, frames: DataFrame, cams: DataFrame, sampl
     within their row, so nothing but the two small joins by clip is dealt out."""
     e = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: a + (b - a) * (i / float(samples - 1)))
     plane = extents.join(frames.select("clip_id", "origin", F.col("u").alias("_u"), F.col("v").alias("_v")), "clip_id")
-    lines = [
-        plane.select("clip_id", "zmin", "origin", "_u", "_v", F.lit(axis).alias("axis"), F.posexplode(f"{axis}s").alias("line", "_at"), e(F.col(f"{other}0"), F.col(f"{other}1")).alias("_along"))
-        for axis, other in (("u", "v"), ("v", "u"))
-    ]
-    seen = lines[0].unionByName(lines[1]).join(cams.select("clip_id", "frame", "fx", "fy", "cx", "cy", "r", "t"), "clip_id")
+    axes = [F.struct(F.lit(axis).alias("axis"), F.col(f"{axis}s").alias("at"), F.col(f"{other}0").alias("low"), F.col(f"{other}1").alias("high")) for axis, other in (("u", "v"), ("v", "u"))]
+    kept = ("clip_id", "zmin", "origin", "_u", "_v")
+    both = plane.select(*kept, F.explode(F.array(*axes)).alias("_a"))
+    lines = both.select(*kept, "_a.axis", e(F.col("_a.low"), F.col("_a.high")).alias("_along"), F.posexplode("_a.at").alias("line", "_at"))
+    seen = lines.join(cams.select("clip_id", "frame", "fx", "fy", "cx", "cy", "r", "t"), "clip_id")
 
     def pixel(along):
         a, b = F.when(F.col("axis") == "u", F.col("_at")).otherwise(along), F.when(F.col("axis") == "u", along).otherwise(F.col("_at"))
