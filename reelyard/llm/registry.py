@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL expresses on whole tables."""
 
-from reelyard.llm import bit_slices, decontaminate, mixing, quality, repeats, set_join, sharding, token_counts, toxicity, wrappers
+from reelyard.llm import bit_slices, byte_bpe, decontaminate, filter_audit, mixing, quality, repeats, resampling, set_join, sharding, token_counts, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity_severity": toxicity.op1_query,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_hilbert_sharding": sharding.op8_query,
     "op9_set_relations_join": set_join.op9_query,
     "op10_importance_resampling": quality.op10_query,
+    "op11_target_resampling": resampling.op11_query,
+    "op12_merge_replay_bpe": byte_bpe.op12_query,
+    "op13_filter_audit": filter_audit.op13_query,
 }
-ORACLES = {"op4_bit_sliced_search": bit_slices.OP4_SQL}
+ORACLES = {"op4_bit_sliced_search": bit_slices.OP4_SQL, "op11_target_resampling": resampling.OP11_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
