@@ -9,26 +9,10 @@ from reelyard.functions import text, vec
 from reelyard.jobs import adapters as A
 from reelyard.operators import cameras, captions, cards, decks, ground_paths, manifest, plane, sample_plan, scenes, tracks
 from reelyard.operators.manifest import REQUIRED
+from reelyard.queries import ORACLES, QUERIES, query
+from reelyard.queries import sql_list as _sql_list
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _sql_list(xs) -> str:
-    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def _sql_tokens(col: str, drop=text.STOP_WORDS) -> str:
     return f"list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce({col}, '')), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains({_sql_list(drop)}, x))))"
@@ -800,3 +784,6 @@ def grid_lines(spark: SparkSession, d: str) -> DataFrame:
     cams = planes.select("clip_id", F.lit(0).alias("frame"), F.lit(811.3).alias("fx"), F.lit(907.7).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), r.alias("r"), t.alias("t"))
     drawn = scenes.grid_polylines(extents, framed, cams)
     return drawn.groupBy("clip_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("points")).cast("long").alias("points"))
+
+
+from reelyard import catalog_deals  # noqa: E402, F401  (more queries, which use the vocabularies above)

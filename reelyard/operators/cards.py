@@ -102,23 +102,6 @@ def assign_least_used(cards: DataFrame, salt: str = "family", seed=0) -> DataFra
     return ranked.join(F.broadcast(table), ["_key"]).where("_r >= low and _r < high").drop("_key", "_r", "low", "high")
 
 
-def redeal_flagged(cards: DataFrame, flags: DataFrame, lighting: list[str], families: list[dict], ranges: list[str], seed=0, round_: int = 1) -> DataFrame:
-    """Only flagged cards change: lighting and motion range are drawn anew, then a family that fits; where none fits, the
-    card stays in place and draws again. A card in place has no close approach; a crowd goes where the reason mentions one."""
-    salt = f"redeal{round_}"
-    pick = lambda values, name: F.element_at(F.array(*map(F.lit, values)), (F.conv(F.substring(hash_key(seed, f"{salt}.{name}", "id"), 1, 8), 16, 10).cast("long") % len(values) + 1).cast("int"))
-    joined = cards.join(flags.groupBy("id").agg(F.max("reason").alias("_reason")), "id", "left")
-    flagged = joined.where("_reason is not null").withColumns({"lighting": pick(lighting, "lighting"), "motion_range": pick(ranges, "range")})
-    first = eligible_families(flagged, families)
-    stay = eligible_families(first.where(F.size("families") == 0).withColumn("motion_range", F.lit("in_place")).drop("families"), families)
-    drawn = first.where(F.size("families") > 0).unionByName(stay)
-    place = (F.conv(F.substring(hash_key(seed, f"{salt}.family", "id"), 1, 8), 16, 10).cast("long") % F.greatest(F.size("families"), F.lit(1)) + 1).cast("int")
-    drawn = drawn.withColumn("action_family", F.try_element_at("families", place)).drop("families")
-    calm = F.lower("_reason").rlike("crowd|audience")
-    drawn = drawn.withColumns({"close_approach": F.col("close_approach") & (F.col("motion_range") != "in_place"), "crowd": F.col("crowd") & ~calm})
-    return joined.where("_reason is null").unionByName(drawn).drop("_reason")
-
-
 # The fields of a card that a prompt shows.
 CARD_FIELDS = ["id", "person_count", "region", "archetype", "ground", "indoor", "size", "lighting", "env_motion", "vibe", "motion_range", "action_family", "camera", "crowd", "close_approach"]
 

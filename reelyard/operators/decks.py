@@ -45,13 +45,14 @@ def weighted_deck(df: DataFrame, counts: DataFrame, salt: str, out: str, seed=0)
     return ranked.join(ranges, (F.col("_r") >= F.col("low")) & (F.col("_r") < F.col("high"))).drop("_r", "low", "high")
 
 
-def deal_places(cards: DataFrame, regions: DataFrame, archetypes: DataFrame) -> DataFrame:
+def deal_places(cards: DataFrame, regions: DataFrame, archetypes: DataFrame, seed=None) -> DataFrame:
     """Card i (0-based in order of id) gets region i div (N/R) and archetype i mod A of the seeded vocabularies, so pairs are
-    unique; an error unless R divides N and N/R < A. Vocabularies have (value)."""
+    unique; an error unless R divides N and N/R < A. Vocabularies have (value); a seed shuffles them differently."""
     n, r, a = cards.count(), regions.count(), archetypes.count()
     if n % r or n // r >= a:
         raise ValueError(f"{n} cards don't divide into {r} regions with under {a} cards each")
-    shuffled = [global_rank(v.select(F.col("value").alias(c)), F.md5(F.concat_ws("|", F.lit(c), c)), F.col(c), rank=f"_{c}") for v, c in ((regions, "region"), (archetypes, "archetype"))]
+    salt = lambda c: F.lit(c if seed is None else f"{seed}|{c}")
+    shuffled = [global_rank(v.select(F.col("value").alias(c)), F.md5(F.concat_ws("|", salt(c), c)), F.col(c), rank=f"_{c}") for v, c in ((regions, "region"), (archetypes, "archetype"))]
     ranked = global_rank(cards, F.col("id")).withColumns({"_region": F.expr(f"rank div {n // r}"), "_archetype": F.col("rank") % a})
     return ranked.join(shuffled[0], "_region").join(shuffled[1], "_archetype").drop("_region", "_archetype", "rank")
 
@@ -81,12 +82,12 @@ def small_stratum_plan(counts: DataFrame, small: DataFrame) -> DataFrame:
 
 
 def exact_share_deck(df: DataFrame, some: list[str], others: list[str], share: float, salt: str, out: str, stratum: list[str] = (), seed=0) -> DataFrame:
-    """Deal the values of `some` to exactly round(share * n) rows of each stratum and those of `others` to the rest, each evenly:
+    """Deal the values of `some` to exactly round(share * n) rows of each stratum (halves to the even number) and those of `others` to the rest, each evenly:
     hostile weather outdoors, or a share of still scenes."""
     first = [hash_key(seed, f"{salt}.share", "id"), F.col("id")]
     ranked = stratum_rank(df, list(stratum), first, "_s")
     if stratum:
-        sizes = df.groupBy(*stratum).agg(F.round(F.count(F.lit(1)) * share).cast("long").alias("_k")).withColumnsRenamed({c: f"_{c}" for c in stratum})
+        sizes = df.groupBy(*stratum).agg(F.bround(F.count(F.lit(1)) * share).cast("long").alias("_k")).withColumnsRenamed({c: f"_{c}" for c in stratum})
         ranked = ranked.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in stratum]).drop(*[f"_{c}" for c in stratum])
     else:
         ranked = ranked.withColumn("_k", F.lit(round(df.count() * share)))

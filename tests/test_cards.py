@@ -15,11 +15,3 @@ def test_assignment_is_legal_and_balanced(spark):
     free = spark.range(100).select("id", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("families"))
     counts = Counter(r["action_family"] for r in cards.assign_least_used(free).collect())
     assert sorted(counts.values()) == [33, 33, 34]
-
-
-def test_redeal_changes_only_flagged_cards(spark):
-    base = catalog._cards(spark, SF).withColumns({"lighting": F.lit("noon"), "action_family": F.lit("walk"), "close_approach": F.lit(True), "crowd": F.lit(True)})
-    flags = spark.createDataFrame([(3, "the crowd is odd"), (4, "too dark")], "id long, reason string")
-    rows = {r["id"]: r for r in cards.redeal_flagged(base, flags, ["dawn", "dusk"], catalog.FAMILIES, ["in_place", "short", "long"]).collect()}
-    assert len(rows) == base.count() and all(r["lighting"] == "noon" for i, r in rows.items() if i not in (3, 4))
-    assert rows[3]["lighting"] in ("dawn", "dusk") and not rows[3]["crowd"] and rows[4]["crowd"]
