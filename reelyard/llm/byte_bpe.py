@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import heapq
 from array import array
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from reelyard.llm.words import columns
 
 STRETCH = 1 << 17  # pieces that are encoded together
-MEMORY = 400_000  # pieces that a worker remembers
+MEMORY = 400_000  # pieces of a generation; a worker remembers two
+PAIRS = 4_000_000  # pairs of tokens whose rank a worker remembers
 LONG = 200  # longer pieces aren't remembered
 WHOLE_TEXT = 1 << 21
 
@@ -37,15 +39,17 @@ class MergeReplay:
         self.tokens = {r: t for t, r in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.double = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int64)
-        self.joint: dict[tuple[int, int], int] = {}
+        self.joint: dict[int, int] = {}
+        self.words = [str(r) for r in range(max(self.tokens) + 1)]
         self.ids: dict[str, bytes] = {}
-        self.digits: dict[str, str] = {}
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def rank_of(self, left: int, right: int) -> int:
         """The rank of two neighbouring tokens' bytes, -1 where they don't merge."""
-        found = self.joint.get((left, right))
-        if found is None:
-            found = self.joint[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+        if len(self.joint) >= PAIRS:
+            self.joint.clear()
+        found = self.joint[left << 32 | right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -69,35 +73,47 @@ class MergeReplay:
         heap = list(index)
         heapq.heapify(heap)
 
-        def set_pair(at: int, rank: int) -> None:
-            pair[at] = rank
-            if rank >= 0:
-                if rank in index:
-                    index[rank].append(at)
-                else:
-                    index[rank] = [at]
-                    heapq.heappush(heap, rank)
-
+        joint, rank_of, push, pop, places_of = self.joint.get, self.rank_of, heapq.heappush, heapq.heappop, index.get
         while heap:
-            rank = heapq.heappop(heap)
-            group = sorted(set(index.pop(rank)))
-            for n, at in enumerate(group):
+            rank = pop(heap)
+            group = index.pop(rank)
+            group.sort()
+            for n, at in enumerate(group, 1):
                 if pair[at] != rank:  # a neighbour was merged
                     continue
-                gone = after[at]
-                following, previous = after[gone], before[at]
-                token[at], pair[gone], after[at] = rank, -1, following
+                gone, previous, waits = after[at], before[at], False
+                following = after[gone]
+                token[at], pair[gone], pair[at], after[at] = rank, -1, -1, following
                 if following >= 0:
                     before[following] = at
-                set_pair(at, self.rank_of(rank, token[following]) if following >= 0 else -1)
+                    new = joint(rank << 32 | token[following])
+                    if new is None:
+                        new = rank_of(rank, token[following])
+                    if new >= 0:
+                        pair[at] = new
+                        places = places_of(new)
+                        if places is None:
+                            index[new] = [at]
+                            push(heap, new)
+                        else:
+                            places.append(at)
+                        waits = new < rank
                 if previous >= 0:
-                    set_pair(previous, self.rank_of(token[previous], rank))
-                if heap and heap[0] < rank:
-                    if n + 1 < len(group):
-                        if rank not in index:
-                            index[rank] = []
-                            heapq.heappush(heap, rank)
-                        index[rank] += group[n + 1 :]
+                    new = joint(token[previous] << 32 | rank)
+                    if new is None:
+                        new = rank_of(token[previous], rank)
+                    pair[previous] = new
+                    if new >= 0:
+                        places = places_of(new)
+                        if places is None:
+                            index[new] = [previous]
+                            push(heap, new)
+                        else:
+                            places.append(previous)
+                        waits = waits or new < rank
+                if waits and n < len(group):
+                    index[rank] = group[n:]
+                    push(heap, rank)
                     break
         out = []
         for at in starts[:-1].tolist():
@@ -108,25 +124,37 @@ class MergeReplay:
             out.append(ids)
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that aren't known: a whole piece that is a token is that token, all others by the merges."""
-        new = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(new) > MEMORY:
-            self.ids.clear()
-            self.digits.clear()
-            new = list(pieces)
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that aren't known: a whole piece that is a token is that token, all others by the merges. Pieces
+        that come again within two generations are still known."""
+        if len(self.ids) >= MEMORY:
+            self.older, self.ids = self.ids, {}
+        ids, older = self.ids, self.older
+        new = []
+        for p in pieces.difference(ids):
+            found = older.get(p)
+            if found is None:
+                new.append(p)
+            else:
+                ids[p] = found
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
         found = [self.ranks.get(w) for w in raw]
-        merged = iter(self.replay([w for w, r in zip(raw, found, strict=True) if r is None]) if None in found else ())
+        collecting = gc.isenabled()
+        gc.disable()  # the many short lists of a replay hold no cycles
+        try:
+            merged = iter(self.replay([w for w, r in zip(raw, found, strict=True) if r is None]) if None in found else ())
+        finally:
+            if collecting:
+                gc.enable()
         for piece, rank in zip(new, found, strict=True):
-            ids = next(merged) if rank is None else [rank]
-            self.ids[piece] = array("I", ids).tobytes()
-            self.digits[piece] = ",".join(map(str, ids))
+            ids[piece] = array("I", next(merged) if rank is None else [rank]).tobytes()
+            if len(piece) > LONG:
+                self.long.append(piece)
 
-    def forget_long(self, pieces: Iterable[str]) -> None:
-        for p in pieces:
-            if len(p) > LONG:
-                del self.ids[p], self.digits[p]
+    def forget_long(self) -> None:
+        for piece in self.long:
+            self.ids.pop(piece, None)
+        self.long.clear()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -141,7 +169,7 @@ class Digest:
     def take(self, machine: MergeReplay, pieces: list[str]) -> None:
         ids = array("I", b"".join(map(machine.ids.__getitem__, pieces)))
         if ids:
-            self.ids.update((("," if self.n else "") + ",".join(map(machine.digits.__getitem__, pieces))).encode())
+            self.ids.update((("," if self.n else "") + ",".join(map(machine.words.__getitem__, ids))).encode())
             self.decoded.update(machine.decode(ids))
             self.n += len(ids)
 
@@ -159,11 +187,10 @@ def digests(machine: MergeReplay, pattern: regex.Pattern, texts: list[str | None
     out, held, size = [Digest() for _ in texts], [], 0
 
     def flush() -> None:
-        pieces = set().union(*(p for _, p in held))
-        machine.learn(pieces)
+        machine.learn(set().union(*(p for _, p in held)))
         for digest, part in held:
             digest.take(machine, part)
-        machine.forget_long(pieces)
+        machine.forget_long()
         held.clear()
 
     for digest, text in zip(out, texts, strict=True):
@@ -199,10 +226,9 @@ def encode_ids(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken")
             for key, text in zip(keys, texts, strict=True):
                 ids = array("I")
                 for part in stretches(pattern, text or ""):
-                    pieces = set(part)
-                    replay.learn(pieces)
+                    replay.learn(set(part))
                     ids.frombytes(b"".join(map(replay.ids.__getitem__, part)))
-                    replay.forget_long(pieces)
+                    replay.forget_long()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key], pa.int64()), "ids": pa.array([np.frombuffer(ids, np.uint32).astype(np.int32)], pa.list_(pa.int32()))})
 
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids array<int>")
