@@ -473,11 +473,16 @@ def _md5_01(salt: str, col: str = "id") -> str:
     return _HASH01.format(f"md5(concat_ws('|', '0', '{salt}', CAST({col} AS VARCHAR)))")
 
 
-@query(f"""WITH b AS (SELECT l_orderkey AS batch, CAST(min(l_quantity) AS BIGINT) AS shortest FROM lineitem GROUP BY 1), s AS (SELECT *, CASE WHEN {_md5_01("half", "batch")} < 0.5 THEN 640 ELSE [256, 512, 640, 768][1 + CAST(floor({_md5_01("size", "batch")} * 4) AS BIGINT)] END AS size FROM b)
-SELECT batch, size, CAST(greatest(1, floor((least(floor(12000000 / CAST(size * size AS DOUBLE)), shortest) - 1) / 4.0) * 4 + 1) AS BIGINT) AS frames FROM s""")
+@query(f"""WITH b AS (SELECT l_orderkey AS batch, CAST(min(l_quantity) AS BIGINT) AS shortest, CASE WHEN l_orderkey % 3 <> 0 THEN 180 + max(l_partkey) % 600 END AS side FROM lineitem GROUP BY 1),
+c AS (SELECT *, CASE WHEN side IS NULL OR 256 >= 1.25 * side THEN [256, 512, 640, 768] ELSE list_filter([256, 512, 640, 768], lambda x: x < 1.25 * side) END AS choices FROM b),
+m AS (SELECT *, list_sort(list_transform(choices, lambda x: {{'far': abs(x - 640), 'x': x}}))[1].x AS near FROM c), o AS (SELECT *, list_filter(choices, lambda x: x <> near) AS others FROM m),
+s AS (SELECT *, CASE WHEN {_md5_01("half", "batch")} < 0.5 OR len(others) = 0 THEN near ELSE others[1 + CAST(floor({_md5_01("size", "batch")} * len(others)) AS BIGINT)] END AS size FROM o)
+SELECT batch, size, CAST(greatest(1, floor((least(floor(least(12000000 / CAST(size AS DOUBLE) / size, 45) / 4) * 4 + 1, shortest) - 1) / 4.0) * 4 + 1) AS BIGINT) AS frames FROM s""")
 def token_budgets(spark: SparkSession, d: str) -> DataFrame:
-    shortest = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.min("l_quantity").cast("long").alias("shortest"))
-    return sample_plan.token_budget_frames(shortest, [256, 512, 640, 768], 640, 12_000_000)
+    k = F.col("l_orderkey")
+    batches = A.table(spark, d, "lineitem").groupBy(k.alias("batch")).agg(F.min("l_quantity").cast("long").alias("shortest"), (F.max("l_partkey") % 600 + 180).alias("side"))
+    batches = batches.withColumn("side", F.when(F.col("batch") % 3 != 0, F.col("side")))
+    return sample_plan.token_budget_frames(batches, [256, 512, 640, 768], 640, 12_000_000, 45)
 
 
 @query(f"WITH {_META} SELECT id, CASE WHEN id % 4 = 0 THEN -1 WHEN length <= 1 OR {_md5_01('ref0')} < 0.4 THEN 0 ELSE CAST(floor({_md5_01('ref')} * greatest(length - 1, 1)) AS BIGINT) + 1 END AS ref_frame FROM meta")
@@ -781,9 +786,9 @@ def grid_lines(spark: SparkSession, d: str) -> DataFrame:
     framed = planes.select("clip_id", vec.plane_frame(F.col("normal"), F.col("d"), r, t).alias("p")).select("clip_id", "p.*")
     points = positions.where("x is not null").select("clip_id", "x", "y", "z").unionByName(planes.select("clip_id", *[o.alias(c) for c in "xyz"]))
     extents = ground_paths.plane_extent(points, framed.join(ground_paths.grid_spacing(heights, planes), "clip_id"), 6.0)
-    cams = planes.select("clip_id", F.lit(0).alias("frame"), F.lit(811.3).alias("fx"), F.lit(907.7).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), r.alias("r"), t.alias("t"))
+    cams = planes.select("clip_id", F.lit(0).alias("frame"), F.lit(811.3037).alias("fx"), F.lit(907.7023).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), r.alias("r"), t.alias("t"))
     drawn = scenes.grid_polylines(extents, framed, cams)
     return drawn.groupBy("clip_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("points")).cast("long").alias("points"))
 
 
-from reelyard import catalog_deals  # noqa: E402, F401  (more queries, which use the vocabularies above)
+from reelyard import catalog_clips, catalog_deals  # noqa: E402, F401  (more queries, which use the vocabularies above)

@@ -91,6 +91,24 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "kf", F.when(F.col("kf") == 9, 80).otherwise(F.col("kf") * 9).alias("frame"), F.array(c, o, s, o, F.lit(1.0), o, -s, o, c).alias("r"), F.array(-(c * x + s * z), o, -(-s * x + c * z)).alias("t"))
 
 
+def turned_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten keyframes for each supplier, out of step with its frames: cameras that look down a little and turn about the
+    vertical by up to 2.45 radians between keyframes, one clip in seven with its first keyframe alone."""
+    k = F.col("s_suppkey") % 50
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip_id"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("kf")).where("kf = 0 or clip_id % 7 <> 0")
+    a, b = F.col("kf") * F.col("k") * 0.05, F.col("k") * 0.004
+    c, s, cb, sb, o = F.cos(a), F.sin(a), F.cos(b), F.sin(b), F.lit(0.0)
+    r = [c, s * sb, -s * cb, o, cb, sb, s, -c * sb, c * cb]
+    x, y, z = F.col("kf") * F.col("k") / 100.0, F.col("kf") % 3 / 4.0, F.col("kf") / 10.0
+    t = [-(r[3 * i] * x + r[3 * i + 1] * y + r[3 * i + 2] * z) for i in range(3)]
+    lens = {"fx": F.col("kf") + 500.0, "fy": F.col("kf") + 510.0, "cx": F.lit(640.0), "cy": F.lit(360.0)}
+    return rows.select("clip_id", "kf", (F.col("kf") * 8 + 3 + F.col("clip_id") % 2).alias("frame"), *[v.alias(n) for n, v in lens.items()], F.array(*r).alias("r"), F.array(*t).alias("t"))
+
+
+TURNED = """turned AS (SELECT s_suppkey AS clip_id, kf, kf * 8 + 3 + s_suppkey % 2 AS frame, kf * (s_suppkey % 50) * CAST(0.05 AS DOUBLE) AS a, (s_suppkey % 50) * CAST(0.004 AS DOUBLE) AS b,
+  kf * (s_suppkey % 50) / 100.0 AS x, kf % 3 / 4.0 AS y, kf / 10.0 AS z FROM supplier, (SELECT unnest(range(10)) AS kf) WHERE kf = 0 OR s_suppkey % 7 <> 0)"""
+
+
 CAMERAS = """cams AS (SELECT s_suppkey AS clip_id, kf, CASE WHEN kf = 9 THEN 80 ELSE kf * 9 END AS frame, kf * (s_suppkey % 50) / 1000.0 AS a,
   kf * (s_suppkey % 50) / 100.0 AS x, kf / 10.0 AS z FROM supplier, (SELECT unnest(range(10)) AS kf))"""
 
@@ -104,14 +122,14 @@ def ground_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, v = (F.col("event_id") % 1280).cast("double"), (F.col("event_id") % 200 + 420).cast("double")
     return rows.select(
         F.col("user_id").alias("clip_id"), F.expr("n div 81").alias("track_id"), (F.col("n") % 81).alias("frame"), (F.col("event_type") != "view").alias("visible"), (F.col("event_id") % 7 == 0).alias("touches_bottom"),
-        u.alias("foot_u"), v.alias("foot_v"), u.alias("head_u"), (v - 30).alias("head_v"), (F.col("event_id") % 150 + 60.37).alias("height_px"),
+        u.alias("foot_u"), v.alias("foot_v"), u.alias("head_u"), (v - 30).alias("head_v"), (F.col("event_id") % 150 + 60.371828).alias("height_px"),
     )
 
 
 def level_cameras(detections: DataFrame) -> DataFrame:
     """A level camera at the origin for every frame that has detections."""
     o, i = F.lit(0.0), F.lit(1.0)
-    return detections.select("clip_id", "frame").distinct().select("clip_id", "frame", F.lit(811.3).alias("fx"), F.lit(907.7).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), F.array(i, o, o, o, i, o, o, o, i).alias("r"), F.array(o, o, o).alias("t"))
+    return detections.select("clip_id", "frame").distinct().select("clip_id", "frame", F.lit(811.3037).alias("fx"), F.lit(907.7023).alias("fy"), F.lit(640.0).alias("cx"), F.lit(360.0).alias("cy"), F.array(i, o, o, o, i, o, o, o, i).alias("r"), F.array(o, o, o).alias("t"))
 
 
 def level_planes(detections: DataFrame) -> DataFrame:
@@ -123,10 +141,10 @@ def level_planes(detections: DataFrame) -> DataFrame:
 
 
 GROUND = """gd AS (SELECT user_id AS clip_id, n // 81 AS track_id, n % 81 AS frame, event_id % 7 = 0 AS cut, CAST(event_id % 1280 AS DOUBLE) AS u, CAST(event_id % 200 + 420 AS DOUBLE) AS v,
-  event_id % 150 + CAST(60.37 AS DOUBLE) AS px, 1.5 + (user_id % 3) * 0.5 AS ch
+  event_id % 150 + CAST(60.371828 AS DOUBLE) AS px, 1.5 + (user_id % 3) * 0.5 AS ch
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE event_type <> 'view'),
 sz AS (SELECT clip_id, track_id, count(*) FILTER (frame < 16) AS early, count(*) AS n, quantile_cont(px * ch / (v - 360), 0.5) FILTER (frame < 16) AS ha, quantile_cont(px * ch / (v - 360), 0.5) AS hc FROM gd WHERE NOT cut GROUP BY 1, 2),
 hts AS (SELECT clip_id, track_id, CASE WHEN early >= 4 THEN ha ELSE hc END AS height, CASE WHEN early >= 4 THEN 'anchor' ELSE 'clip' END AS anchor_source FROM sz WHERE early >= 4 OR n >= 3),
 raw AS (SELECT clip_id, track_id, frame, NOT cut AS feet_visible, u, CASE WHEN cut THEN v - 30 ELSE v END - 360 AS dv, CASE WHEN cut THEN ch - height ELSE ch END AS down, ch, cut, height FROM gd JOIN hts USING (clip_id, track_id)),
 pos AS (SELECT clip_id, track_id, frame, feet_visible, CASE WHEN NOT cut THEN 'foot_ray' WHEN down * dv > 0 THEN 'head_ray' ELSE '' END AS method,
-  CASE WHEN down * dv > 0 THEN (u - 640) / 811.3 * down / (dv / 907.7) END AS x, CASE WHEN down * dv > 0 THEN ch END AS y, CASE WHEN down * dv > 0 THEN down / (dv / 907.7) END AS z FROM raw)"""
+  CASE WHEN down * dv > 0 THEN (u - 640) / 811.3037 * down / (dv / 907.7023) END AS x, CASE WHEN down * dv > 0 THEN ch END AS y, CASE WHEN down * dv > 0 THEN down / (dv / 907.7023) END AS z FROM raw)"""

@@ -42,14 +42,24 @@ def bucket_batches(plan: DataFrame, size: int, seed=0) -> DataFrame:
     return full.select("type", "batch", F.transform("m", lambda x: x.id).alias("ids"), F.element_at("m", -1).position.alias("position"))
 
 
-def token_budget_frames(batches: DataFrame, sizes: list[int], base: int, budget: int, seed=0) -> DataFrame:
-    """batch, size, frames: half of the batches take the size nearest to base, the others an even draw of all; frames fit the
-    budget of frames * size**2, at most the shortest clip of the batch, of the form 4k + 1 and 1 at least."""
-    nearest = min(sizes, key=lambda s: (abs(s - base), s))
-    drawn = F.element_at(F.array(*map(F.lit, sizes)), (F.floor(hash01(hash_key(seed, "size", "batch")) * len(sizes)) + 1).cast("int"))
-    sized = batches.withColumn("size", F.when(hash01(hash_key(seed, "half", "batch")) < 0.5, nearest).otherwise(drawn))
-    fit = F.least(F.floor(F.lit(budget) / (F.col("size") * F.col("size"))), F.col("shortest"))
-    return sized.select("batch", "size", F.greatest(F.lit(1), F.floor((fit - 1) / 4) * 4 + 1).cast("long").alias("frames"))
+def token_budget_frames(batches: DataFrame, sizes: list[int], base: int, budget: int, n_frames: int = 81, step: int = 4, seed=0) -> DataFrame:
+    """batch, size, frames of batches (batch, shortest: frames of the shortest clip, side: the least mean side of a clip's
+    frames, null: unknown).
+
+    A batch may take the sizes under 1.25 sides, all where there is none. With probability 0.50 it takes the one nearest to
+    base, else one of the others, evenly. A size allows min(budget / size**2, n_frames) frames, cut to a multiple of step and
+    one more; the shortest clip caps that, cut again to the form step * k + 1, and 1 is the least."""
+    listed = F.array(*map(F.lit, sizes))
+    fits = F.filter(listed, lambda x: x < 1.25 * F.coalesce(F.col("side"), F.lit(float("inf"))))
+    rows = batches.select("batch", "shortest", F.when(F.size(fits) == 0, listed).otherwise(fits).alias("_choices"))
+    nearest = F.array_min(F.transform("_choices", lambda x, i: F.struct(F.abs(x - base).alias("far"), i.alias("i"), x.alias("x")))).x
+    rows = rows.withColumn("_near", nearest).withColumn("_others", F.filter("_choices", lambda x: x != F.col("_near")))
+    other = F.get("_others", F.floor(hash01(hash_key(seed, "size", "batch")) * F.size("_others")).cast("int"))
+    half = hash01(hash_key(seed, "half", "batch")) < 0.5
+    sized = rows.withColumn("size", F.when(half | (F.size("_others") == 0), F.col("_near")).otherwise(other))
+    allowed = F.floor(F.least(F.lit(float(budget)) / F.col("size") / F.col("size"), F.lit(float(n_frames))) / step) * step + 1
+    frames = F.floor((F.least(allowed, F.col("shortest")) - 1) / step) * step + 1
+    return sized.select("batch", "size", F.greatest(F.lit(1), frames).cast("long").alias("frames"))
 
 
 def reference_frame_choice(plan: DataFrame, first: float = 0.4, seed=0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelyard.functions import vec
+from reelyard.operators.cameras import slerp
 
 PRESETS = ("static", "dolly_in", "dolly_out", "orbit", "pan", "crane")
 FRAMES = 81
@@ -154,25 +155,10 @@ def visible_runs(samples: DataFrame) -> DataFrame:
 def interpolate_rotations(brackets: DataFrame) -> DataFrame:
     """clip_id, frame, r: rotation between r0 and r1 (row-major, 9) at w, along the shortest turn."""
 
-    def slerp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            r0, r1 = (np.stack(b[c].to_list()).reshape(-1, 3, 3) for c in ("r0", "r1"))
-            turn = r1 @ r0.transpose(0, 2, 1)
-            angle = np.arccos(np.clip((np.trace(turn, axis1=1, axis2=2) - 1) / 2, -1, 1))
-            axis = np.stack([turn[:, 2, 1] - turn[:, 1, 2], turn[:, 0, 2] - turn[:, 2, 0], turn[:, 1, 0] - turn[:, 0, 1]], axis=1)
-            flat = np.linalg.norm(axis, axis=1) < 1e-9
-            # a half turn has no antisymmetric part: its axis is the direction that the turn keeps
-            square = (turn + np.eye(3)) / 2
-            kept = square[np.arange(len(b)), :, np.argmax(np.einsum("nii->ni", square), axis=1)]
-            axis = np.where((flat & (angle > 1))[:, None], kept, axis)
-            axis /= np.maximum(np.linalg.norm(axis, axis=1), 1e-12)[:, None]
-            theta = angle * b["w"].to_numpy()
-            x, y, z = axis.T
-            o = np.zeros_like(x)
-            k = np.stack([o, -z, y, z, o, -x, -y, x, o], axis=1).reshape(-1, 3, 3)
-            part = np.eye(3) + np.sin(theta)[:, None, None] * k + (1 - np.cos(theta))[:, None, None] * (k @ k)
-            yield pd.DataFrame({"clip_id": b["clip_id"], "frame": b["frame"], "r": list((part @ r0).reshape(-1, 9))})
-
-    return brackets.select("clip_id", "frame", "r0", "r1", "w").mapInPandas(slerp, "clip_id long, frame long, r array<double>")
+            if len(b):
+                r0, r1 = (np.stack(b[c].to_list()).reshape(-1, 3, 3) for c in ("r0", "r1"))
+                yield b[["clip_id", "frame"]].assign(r=list(slerp(r0, r1, b["w"].to_numpy()).reshape(-1, 9)))
+
+    return brackets.select("clip_id", "frame", "r0", "r1", "w").mapInPandas(between, "clip_id long, frame long, r array<double>")
