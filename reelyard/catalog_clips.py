@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelyard.catalog import _GROUND_PATHS
+from reelyard.catalog import _ground as ground
 from reelyard.functions import vec
 from reelyard.jobs import adapters as A
-from reelyard.operators import cameras
+from reelyard.operators import authored, cameras, ground_paths, outlines
 from reelyard.queries import query
 
 
@@ -29,3 +31,66 @@ def interpolated_cameras(spark: SparkSession, d: str) -> DataFrame:
     """The whole camera of all 81 frames of every clip, from turning keyframes."""
     every = cameras.interpolate_cams(A.turned_cameras(spark, d))
     return every.select("clip_id", "frame", "fx", "fy", *[rounded(vec.at(F.col("r"), i), 6).alias(f"r{i}") for i in range(9)], *[rounded(vec.at(F.col("t"), i), 6).alias(f"t{i}") for i in range(3)])
+
+
+# --- authored scenes
+
+
+# eye (ex, ey, ez) and view (fx, fy, fz) of every frame; a camera's rotation follows from its view and the level ground
+_MOVES = f"""{A.SCENES}, hh AS (SELECT k, quantile_cont(height, 0.5) AS h FROM pe GROUP BY 1), mm AS (SELECT k, avg(x) AS mx, avg(y) AS my FROM po WHERE frame = 40 GROUP BY 1),
+c0 AS (SELECT sc.*, CAST(coalesce(h, 1.0) AS DOUBLE) AS h, coalesce(mx, 3.0) AS tx, coalesce(my, 0.0) AS ty, CASE WHEN mx IS NULL THEN 0.0 ELSE 0.5 * h END AS tz, radians(k % 13 - 6) AS yaw, radians(CASE WHEN k % 10 <> 0 THEN (k % 9) / 2.0 ELSE 2.0 END) AS pitch,
+  CAST(CASE WHEN k % 8 <> 0 THEN (k % 5) / 10.0 + 0.5 ELSE 0.69 END AS DOUBLE) AS ez0, CASE WHEN k % 2 = 0 THEN 900.0 + k % 100 ELSE 966.0 END AS focal FROM sc LEFT JOIN hh USING (k) LEFT JOIN mm USING (k)),
+c1 AS (SELECT *, cos(pitch) * cos(yaw) AS gx, -cos(pitch) * sin(yaw) AS gy, -sin(pitch) AS gz, CASE WHEN k % 4 = 2 THEN 0.8 * h ELSE least(1.2 * h, 0.4 * (tx * cos(yaw) - ty * sin(yaw))) END AS step FROM c0),
+c2 AS (SELECT *, frame / 80.0 AS w, radians(CASE WHEN path = 'orbit' THEN CASE WHEN anchored THEN 40 * frame / 80.0 WHEN k % 4 = 1 THEN 60 * (frame / 80.0 - 0.5) ELSE 40 * (frame / 80.0 - 0.5) END WHEN path = 'pan' THEN CASE WHEN anchored THEN 24 * frame / 80.0 ELSE 24 * (frame / 80.0 - 0.5) END ELSE 0 END) AS g
+  FROM (SELECT *, unnest(range(81)) AS frame FROM c1)),
+c3 AS (SELECT *, CASE path WHEN 'dolly_in' THEN w * step * cos(yaw) WHEN 'dolly_out' THEN -w * step * cos(yaw) WHEN 'orbit' THEN tx - cos(g) * tx + sin(g) * ty ELSE 0 END AS ex, CASE path WHEN 'dolly_in' THEN -w * step * sin(yaw) WHEN 'dolly_out' THEN w * step * sin(yaw) WHEN 'orbit' THEN ty - sin(g) * tx - cos(g) * ty ELSE 0 END AS ey,
+  ez0 + CASE WHEN path = 'crane' THEN CASE WHEN anchored THEN w ELSE 1 - w END * 1.5 * h ELSE 0 END AS ez FROM c2),
+c4 AS (SELECT *, CASE WHEN path IN ('orbit', 'crane') AND NOT anchored THEN tx - ex ELSE cos(g) * gx - sin(g) * gy END AS vx, CASE WHEN path IN ('orbit', 'crane') AND NOT anchored THEN ty - ey ELSE sin(g) * gx + cos(g) * gy END AS vy, CASE WHEN path IN ('orbit', 'crane') AND NOT anchored THEN tz - ez ELSE gz END AS vz FROM c3),
+c5 AS (SELECT *, vx / n AS zx, vy / n AS zy, vz / n AS zz, vy / m AS xx, -vx / m AS xy FROM (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS n, sqrt(vx * vx + vy * vy) AS m FROM c4)),
+mv AS (SELECT k, scene, frame, path, focal, ex, ey, ez, xx AS r0, xy AS r1, 0.0 AS r2, -zz * xy AS r3, zz * xx AS r4, zx * xy - zy * xx AS r5, zx AS r6, zy AS r7, zz AS r8 FROM c5)"""
+_R, _T = [f"r{i}" for i in range(9)], [f"t{i}" for i in range(3)]
+
+
+@query(f"WITH {_MOVES} SELECT scene, frame, CAST(focal AS DOUBLE) AS fx, {', '.join(f'round({r}, 6) + 0.0 AS {r}' for r in _R)}, {', '.join(f'round(-(r{3 * i} * ex + r{3 * i + 1} * ey + r{3 * i + 2} * ez), 6) + 0.0 AS t{i}' for i in range(3))} FROM mv")
+def scene_cameras(spark: SparkSession, d: str) -> DataFrame:
+    """The camera of every frame of all authored scenes."""
+    cams = authored.expand_scenes(A.scene_documents(spark, d))[2]
+    return cams.select("scene", "frame", "fx", *[rounded(vec.at(F.col("r"), i), 6).alias(c) for i, c in enumerate(_R)], *[rounded(vec.at(F.col("t"), i), 6).alias(c) for i, c in enumerate(_T)])
+
+
+@query(f"""WITH {_MOVES}, ft AS (SELECT po.*, row_number() OVER (PARTITION BY po.k ORDER BY focal * (r0 * (x - ex) + r1 * (y - ey)) / greatest(r6 * (x - ex) + r7 * (y - ey) - r8 * ez, 1e-9), i) - 1 AS rank FROM po JOIN mv USING (k, frame) WHERE po.frame = 0)
+SELECT po.scene, po.cylinder, po.frame, round(po.x, 6) AS x, round(po.y, 6) AS y, 0.0 AS z, round(po.height, 6) AS height, CAST(coalesce(po.ci, rank) % 6 AS BIGINT) AS color FROM po JOIN ft USING (k, i)""")
+def scene_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Where the people of all authored scenes stand, with their heights and colours."""
+    positions, cylinders, _, _ = authored.expand_scenes(A.scene_documents(spark, d))
+    met = positions.join(cylinders, ["scene", "cylinder"])
+    return met.select("scene", "cylinder", "frame", *[rounded(c, 6).alias(c) for c in "xyz"], F.round("height", 6).alias("height"), F.col("color").cast("long").alias("color"))
+
+
+# --- outlines
+
+
+_RING = 24
+_OUTLINED = f"""{_GROUND_PATHS}, sd AS (SELECT clip_id, track_id, height FROM hts), sp AS (SELECT clip_id, coalesce(quantile_cont(height, 0.5), 1.0) AS s FROM hts GROUP BY 1),
+cy AS (SELECT p.clip_id, p.track_id, p.frame, p.x, p.y, p.z, height, s FROM paths p JOIN sd USING (clip_id, track_id) JOIN sp USING (clip_id) SEMI JOIN gd g ON g.clip_id = p.clip_id AND g.frame = p.frame),
+rg AS (SELECT *, list_transform(range({2 * _RING}), lambda i: {{'x': x - 0.2 * height * sin(i % {_RING} * 2 * pi() / {_RING}), 'y': y - CASE WHEN i >= {_RING} THEN height ELSE 0 END, 'z': z + 0.2 * height * cos(i % {_RING} * 2 * pi() / {_RING})}}) AS ring FROM cy),
+px AS (SELECT clip_id, track_id, frame, sqrt(x * x + y * y + z * z) AS far, list_transform(ring, lambda p: {{'u': 811.3037 * p.x / p.z, 'v': 907.7023 * p.y / p.z}}) AS px FROM rg WHERE list_min(list_transform(ring, lambda p: p.z)) > 0.05 * s),
+ed AS (SELECT *, list_reduce(px, lambda b, q: CASE WHEN q = a THEN b WHEN b = a OR (b.u - a.u) * (q.v - a.v) - (b.v - a.v) * (q.u - a.u) < 0 THEN q ELSE b END) AS b FROM (SELECT *, px[i] AS a FROM (SELECT *, unnest(range(1, {2 * _RING + 1})) AS i FROM px))),
+hl AS (SELECT clip_id, track_id, frame, abs(sum(a.u * b.v - b.u * a.v)) / 2 AS area FROM ed WHERE list_min(list_transform(px, lambda q: CASE WHEN q = a OR q = b THEN 1e300 ELSE (b.u - a.u) * (q.v - a.v) - (b.v - a.v) * (q.u - a.u) END)) > 0 GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_OUTLINED} SELECT px.clip_id, px.frame, px.track_id, row_number() OVER (PARTITION BY px.clip_id, px.frame ORDER BY far DESC, px.track_id) AS place, round(log2(area), 4) AS log_area FROM px JOIN hl USING (clip_id, track_id, frame)")
+def cylinder_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """The polygon of every person in every frame of the level clips: its place in the order of drawing and its area."""
+    planes, _, heights, positions = ground(spark, d)
+    i, o = F.lit(1.0), F.lit(0.0)
+    r, t = F.array(i, o, o, o, i, o, o, o, i), F.array(o, o, o)
+    cells = ground_paths.grid_spacing(heights, planes).select("clip_id", (0.05 * F.col("grid_spacing")).alias("zmin"))
+    framed = planes.select("clip_id", "normal", vec.plane_frame(F.col("normal"), F.col("d"), r, t).alias("p")).select("clip_id", "normal", "p.u", "p.v").join(cells, "clip_id")
+    paths = ground_paths.subject_paths(positions, heights)
+    cams = A.level_cameras(A.ground_detections(spark, d).where("visible"))
+    drawn = outlines.cylinder_outlines(paths, heights.withColumn("color", F.lit(0)), cams, framed)
+    v = F.col("points")
+    cross = F.transform(v, lambda p, k: p.u * F.get(v, (k + 1) % F.size(v)).v - F.get(v, (k + 1) % F.size(v)).u * p.v)
+    area = F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2
+    return drawn.select("clip_id", "frame", "track_id", F.col("place").cast("long").alias("place"), F.round(F.log2(area), 4).alias("log_area"))

@@ -109,6 +109,34 @@ TURNED = """turned AS (SELECT s_suppkey AS clip_id, kf, kf * 8 + 3 + s_suppkey %
   kf * (s_suppkey % 50) / 100.0 AS x, kf % 3 / 4.0 AS y, kf / 10.0 AS z FROM supplier, (SELECT unnest(range(10)) AS kf) WHERE kf = 0 OR s_suppkey % 7 <> 0)"""
 
 
+def scene_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An authored scene for each customer, as JSON: none to three people with two straight keyframes, each kind of camera path,
+    anchored or not, here and there with its own turn or travel; one in 23 breaks a rule."""
+    k = F.col("c_custkey")
+    number = lambda e: e.cast("double")
+
+    def person(i: int):
+        start, end = k % 20 + i, 81 - k % 7
+        at = lambda j: F.array(number(k % 11) / 10 + 2 + i + j * 0.5071373, number(k % (5 + i)) / 4 - i * 0.7 - j * 0.2512729)
+        keys = F.array(F.struct(start.alias("frame"), at(0).alias("uv")), F.struct(end.alias("frame"), at(1).alias("uv")))
+        return F.struct((k % 90 * 10 + i).alias("id"), F.when(k % 3 != i, number(k % 4) / 10 + 0.7 + i * 0.01).alias("height"), F.when(k % 6 == i, 0.3).alias("radius"), F.when(k % 5 == i, k % 9).alias("color_index"), keys.alias("keyframes"))
+
+    paths = F.array(*map(F.lit, ("static", "dolly_in", "dolly_out", "orbit", "pan", "crane")))
+    camera = F.struct(
+        F.when(k % 2 == 0, 900.0 + k % 100).alias("focal_px"), F.when(k % 8 != 0, number(k % 5) / 10 + 0.5).alias("height"), number(k % 13 - 6).alias("yaw_deg"), F.when(k % 10 != 0, number(k % 9) / 2).alias("pitch_deg"),
+        F.when(k % 23 == 0, "spiral").otherwise(F.element_at(paths, (k % 6 + 1).cast("int"))).alias("path"), F.when(k % 4 == 1, 60.0).alias("orbit_deg"), F.when(k % 4 == 2, 0.8).alias("dolly_travel"), (k % 7 > 3).alias("anchor_first_frame"),
+    )
+    people = F.slice(F.array(*[person(i) for i in range(3)]), F.lit(1), (k % 4).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("scene"), F.to_json(F.struct(F.lit(81).alias("n_frames"), people.alias("cylinders"), camera.alias("camera"))).alias("json"))
+
+
+SCENES = """sc AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS scene, ['static', 'dolly_in', 'dolly_out', 'orbit', 'pan', 'crane'][1 + c_custkey % 6] AS path, c_custkey % 7 > 3 AS anchored FROM customer WHERE c_custkey % 23 <> 0),
+pe AS (SELECT *, k % 90 * 10 + i AS cylinder, CAST(CASE WHEN k % 3 <> i THEN (k % 4) / 10.0 + 0.7 + i * 0.01 ELSE 1 END AS DOUBLE) AS height, CASE WHEN k % 5 = i THEN k % 9 END AS ci, k % 20 + i AS f0, 81 - k % 7 AS f1,
+  CAST((k % 11) / 10.0 + 2 + i AS DOUBLE) AS u0, CAST((k % (5 + i)) / 4.0 - i * 0.7 AS DOUBLE) AS v0 FROM (SELECT *, unnest(range(k % 4)) AS i FROM sc)),
+pp AS (SELECT *, CAST(greatest(0, least(1, (frame - f0) / CAST(f1 - f0 AS DOUBLE))) AS DOUBLE) AS part FROM (SELECT *, unnest(range(81)) AS frame FROM pe)),
+po AS (SELECT k, scene, i, cylinder, frame, height, ci, u0 + 0.5071373 * part AS x, v0 - 0.2512729 * part AS y FROM pp)"""
+
+
 CAMERAS = """cams AS (SELECT s_suppkey AS clip_id, kf, CASE WHEN kf = 9 THEN 80 ELSE kf * 9 END AS frame, kf * (s_suppkey % 50) / 1000.0 AS a,
   kf * (s_suppkey % 50) / 100.0 AS x, kf / 10.0 AS z FROM supplier, (SELECT unnest(range(10)) AS kf))"""
 

@@ -59,7 +59,7 @@ def sample_paths(keyframes: DataFrame, frames: int = FRAMES, steps: int = 200) -
             a, b, c, d = p[k], part[["out_u", "out_v"]].to_numpy()[k], part[["in_u", "in_v"]].to_numpy()[k + 1], p[k + 1]
             curve = (1 - t) ** 3 * a + 3 * (1 - t) ** 2 * t * b + 3 * (1 - t) * t**2 * c + t**3 * d
             length = np.concatenate(([0], np.cumsum(np.linalg.norm(np.diff(curve, axis=0), axis=1))))
-            inside = np.arange(max(at[k], 0), min(at[k + 1], frames - 1) + 1)
+            inside = np.arange(int(np.ceil(max(at[k], 0))), int(np.floor(min(at[k + 1], frames - 1))) + 1)
             want = (inside - at[k]) / (at[k + 1] - at[k]) * length[-1]
             out[inside] = np.stack([np.interp(want, length, curve[:, i]) for i in range(2)], axis=1) if length[-1] > 0 else a
         return pd.DataFrame({"scene": part["scene"].iloc[0], "cylinder": part["cylinder"].iloc[0], "frame": np.arange(frames), "u": out[:, 0], "v": out[:, 1]})
