@@ -9,8 +9,8 @@ from reelyard.catalog import _GROUND_PATHS
 from reelyard.catalog import _ground as ground
 from reelyard.functions import vec
 from reelyard.jobs import adapters as A
-from reelyard.operators import authored, cameras, ground_paths, outlines
-from reelyard.queries import query
+from reelyard.operators import authored, cameras, clip_records, ground_paths, outlines, plane_parts, sample_plan
+from reelyard.queries import ORACLES, query
 
 
 def rounded(c, n: int):
@@ -94,3 +94,103 @@ def cylinder_outlines(spark: SparkSession, d: str) -> DataFrame:
     cross = F.transform(v, lambda p, k: p.u * F.get(v, (k + 1) % F.size(v)).v - F.get(v, (k + 1) % F.size(v)).u * p.v)
     area = F.abs(F.aggregate(cross, F.lit(0.0), lambda a, x: a + x)) / 2
     return drawn.select("clip_id", "frame", "track_id", F.col("place").cast("long").alias("place"), F.round(F.log2(area), 4).alias("log_area"))
+
+
+# --- planes by parts, poses of sampled frames
+
+
+_COVARIANCES = [f"{a}{b}" for a, b in plane_parts.PAIRS]
+
+
+@query(f"""WITH p AS (SELECT CAST(label AS VARCHAR) AS clip_id, {", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS {a}" for i, a in enumerate("xyz", 1))} FROM embeddings),
+m AS (SELECT clip_id, count(*) AS n, {", ".join(f"avg({a}) AS {a}" for a in "xyz")}, {", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in plane_parts.PAIRS)} FROM p GROUP BY 1),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), w AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS w FROM q),
+r AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * w * w * w) AS r FROM w)
+SELECT clip_id, n, {", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in _COVARIANCES)}, round(q + 2 * w * cos(acos(greatest(-1, least(1, r))) / 3 + 2 * pi() / 3), 9) AS spread, 0.0 AS residue FROM r""")
+def plane_moments(spark: SparkSession, d: str) -> DataFrame:
+    """The moments of every group of points, the spread of its least-squares plane, and how far the plane misses the mean."""
+    e = F.col("embedding")
+    points = A.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("clip_id"), *[F.get(e, F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")])
+    moments = plane_parts.plane_moments(points)
+    planes = plane_parts.least_planes(moments).drop("n")
+    off = F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") + F.col("d")
+    return moments.join(planes, "clip_id").select("clip_id", "n", *[rounded(F.col(c), 9).alias(c) for c in _COVARIANCES], F.round("spread", 9).alias("spread"), F.abs(F.round(off, 9)).alias("residue"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS clip_id, (l_suppkey % 7 - 3) * CAST(0.03 AS DOUBLE) AS a, (l_suppkey % 5 - 2) * CAST(0.02 AS DOUBLE) AS b, 1.5 + l_suppkey % 4 * CAST(0.25 AS DOUBLE) AS c, l_linenumber <= 4 AS flat FROM lineitem)
+SELECT clip_id, round(a / m, 6) + 0.0 AS nx, round(-1 / m, 6) AS ny, round(b / m, 6) + 0.0 AS nz, round(c / m, 6) AS camera_height, round(degrees(acos(1 / m)), 4) + 0.0 AS angle_deg, round(inliers / CAST(points AS DOUBLE), 9) AS inlier_ratio, points, CASE WHEN clip_id % 3 <> 0 THEN 1.0 END AS normal_agreement, inliers / CAST(points AS DOUBLE) >= 0.3 AS plane_ok
+FROM (SELECT clip_id, a, b, c, sqrt(1 + a * a + b * b) AS m, count(*) AS points, count(*) FILTER (flat) AS inliers FROM p GROUP BY 1, 2, 3, 4)""")
+def fitted_planes(spark: SparkSession, d: str) -> DataFrame:
+    """The ground of every clip, a tilted plane under a quarter of stray points: hypotheses on blocks of points, then moments."""
+    fit = plane_parts.fit_planes(A.ground_points(spark, d))
+    return fit.select("clip_id", *[rounded(c, 6).alias(c) for c in ("nx", "ny", "nz", "camera_height")], rounded("angle_deg", 4).alias("angle_deg"), F.round("inlier_ratio", 9).alias("inlier_ratio"), "points", F.round("normal_agreement", 6).alias("normal_agreement"), "plane_ok")
+
+
+_LENGTH = "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 4 = 0 THEN least(length, 900) ELSE length END"
+
+
+@query(f"""WITH fp AS ({ORACLES["frame_plans"]}), m AS (SELECT doc_id AS id, {_LENGTH.replace("id %", "doc_id %").replace("length", "n_chars")} AS poses FROM documents),
+j AS (SELECT fp.id, list_transform(string_split(frames, ','), lambda f: CAST(f AS BIGINT)) AS fs, poses FROM fp JOIN m USING (id) WHERE error IS NULL), k AS (SELECT *, coalesce(poses > list_max(fs), false) AS fits FROM j)
+SELECT id, len(fs) AS frames, fits AND id % 5 = 0 AS rejected, CASE WHEN fits AND id % 5 <> 0 THEN len(fs) END AS poses, CASE WHEN fits AND id % 5 <> 0 THEN list_sum(list_transform(fs, lambda f: f * 4 + id % 7)) END AS total FROM k""")
+def aligned_poses(spark: SparkSession, d: str) -> DataFrame:
+    """Poses of the frames that each document's plan samples, some trajectories missing, short or without a size."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length"))
+    plan = sample_plan.frame_plan(docs, 81, 0.05, 0.95, 3, 9)
+    n = F.expr(_LENGTH)
+    poses = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda f: F.array(f * 4.0, (F.col("id") % 7).cast("double"))))
+    tracks = docs.select("id", poses.alias("poses"), F.array(F.lit(1.0)).alias("intrinsics"))
+    sizes = docs.select("id", F.when(F.col("id") % 5 != 0, 720).alias("org_height"), F.lit(1280).alias("org_width"))
+    kept, rejects = sample_plan.align_poses(plan, tracks, sizes)
+    total = F.aggregate("poses", F.lit(0.0), lambda a, p: a + F.get(p, F.lit(0)) + F.get(p, F.lit(1))).cast("long")
+    good = kept.select("id", F.size("frames").cast("long").alias("frames"), F.lit(False).alias("rejected"), F.when(F.col("poses").isNotNull(), F.size("poses").cast("long")).alias("poses"), total.alias("total"))
+    none = F.lit(None).cast("long")
+    bad = rejects.join(plan.select("id", "frames"), "id").select("id", F.size("frames").cast("long").alias("frames"), F.lit(True).alias("rejected"), none.alias("poses"), none.alias("total"))
+    return good.unionByName(bad)
+
+
+# --- whole records
+
+
+_HEAD, _REST = _GROUND_PATHS.split("\nsz AS", 1)
+_MAIN_PATHS = f"""{_HEAD.replace("gd AS (", "g0 AS (", 1).replace("event_id % 7 = 0 AS cut", "event_id % 7 = 0 AS cut, n // 81 % 7 = 6 AS mirror", 1)}
+g1 AS (SELECT clip_id, track_id, list_sort(list(px))[1 + count(*) // 2] AS tall, count(*) AS seen FROM g0 WHERE NOT mirror GROUP BY 1, 2), g2 AS (SELECT *, max(tall) OVER (PARTITION BY clip_id) AS most FROM g1),
+gd AS (SELECT g0.* EXCLUDE (mirror) FROM g0 SEMI JOIN (SELECT * FROM g2 WHERE (track_id + clip_id) % 5 = 3 OR seen >= 40 AND tall >= greatest(72, 0.4 * most)) m ON g0.clip_id = m.clip_id AND g0.track_id = m.track_id WHERE NOT mirror),
+sz AS{_REST}"""
+_RECORDS = f"""{_MAIN_PATHS}, st AS (SELECT clip_id, track_id, frame, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM paths WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame)),
+mv AS (SELECT clip_id, count(*) FILTER (j > 0) AS jumps FROM (SELECT clip_id, track_id, count(*) FILTER (step > height) AS j FROM st JOIN hts USING (clip_id, track_id) GROUP BY 1, 2) GROUP BY 1),
+fd AS (SELECT clip_id, count(*) AS subjects, CASE WHEN bool_or(anchor_source = 'clip') THEN 'clip' ELSE 'anchor' END AS src, quantile_cont(height, 0.5) AS h FROM hts GROUP BY 1), fc AS (SELECT clip_id, coalesce(avg(CASE WHEN frame >= 16 THEN CASE WHEN feet_visible THEN 0.0 ELSE 1.0 END END), 0.0) AS feet_cut FROM paths GROUP BY 1),
+pl AS (SELECT DISTINCT user_id AS clip_id, 1.5 + (user_id % 3) * 0.5 AS ch, CASE WHEN user_id % 29 = 0 THEN 'no points' END AS error, CASE WHEN user_id % 5 <> 0 THEN user_id % 4 END AS expected_persons, CASE WHEN user_id % 9 <> 0 THEN user_id % 90 + 310.0 END AS said FROM events),
+al AS (SELECT pl.*, coalesce(subjects, 0) AS subjects, src, h, coalesce(jumps, 0) AS jumps, coalesce(feet_cut, 0.0) AS feet_cut, abs(360 - said) AS hd FROM pl LEFT JOIN fd USING (clip_id) LEFT JOIN mv USING (clip_id) LEFT JOIN fc USING (clip_id)),
+fl AS (SELECT *, list_sort(list_filter([CASE WHEN clip_id % 17 = 0 THEN 'ground_fail' END, CASE WHEN clip_id % 13 = 0 THEN 'plane_fail' END, CASE WHEN subjects = 0 THEN 'no_anchor' END, CASE WHEN subjects <> expected_persons THEN 'count_mismatch' END], lambda x: x IS NOT NULL)) AS hard,
+  list_sort(list_filter([CASE WHEN jumps > 0 THEN 'track_jump' END, CASE WHEN src = 'clip' THEN 'anchor_late' END, CASE WHEN feet_cut > 0.3 THEN 'feet_cut_later' END, CASE WHEN ch / h < 0.4 THEN 'low_camera' END, CASE WHEN hd > 60 THEN 'horizon_disagree' END], lambda x: x IS NOT NULL)) AS soft FROM al),
+rc AS (SELECT clip_id, error, expected_persons, subjects AS main_subjects_final, coalesce(expected_persons = subjects, false) AS count_match_final, clip_id % 13 <> 0 AS plane_ok, clip_id % 20 / 20.0 AS inlier_ratio, CAST(clip_id % 50 AS DOUBLE) AS normal_angle_deg, CASE WHEN clip_id % 4 <> 0 THEN clip_id % 8 / 8.0 END AS normal_agreement,
+  360.0 AS horizon_y_frame0, round(ch / h, 2) AS cam_height_ratio, said AS horizon_y_other, hd AS horizon_diff_px, round(feet_cut, 3) AS feet_cut_later_frac, round(coalesce(h, ch / 3), 3) AS grid_spacing, hard, soft, hard = [] AS ready FROM fl WHERE error IS NULL)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    track, clip = F.col("track_id"), F.col("clip_id")
+    found = A.ground_detections(spark, d).withColumns({"main_subject_prelim": (track + clip) % 5 == 3, "dropped_reflection": track % 7 == 6})
+    fits = {"inlier_ratio": clip % 20 / 20.0, "angle_deg": (clip % 50).cast("double"), "normal_agreement": F.when(clip % 4 != 0, clip % 8 / 8.0)}
+    planes = A.level_planes(found).drop("horizon").withColumns(fits)
+    cams = A.level_cameras(found)
+    subjects, paths = clip_records.clip_subjects(found, cams, planes)
+    expected = planes.select("clip_id", F.when(clip % 5 != 0, clip % 4).alias("expected_persons"))
+    horizons = planes.where(clip % 9 != 0).select("clip_id", (clip % 90 + 310).cast("double").alias("horizon"))
+    return clip_records.quality_records(planes, cams.where("frame = 0"), subjects, paths, expected, horizons)
+
+
+_FIGURES = "rc.expected_persons, main_subjects_final, count_match_final, plane_ok, inlier_ratio, normal_angle_deg, normal_agreement, horizon_y_frame0, cam_height_ratio, horizon_y_other, horizon_diff_px, feet_cut_later_frac, grid_spacing"
+
+
+@query(f"WITH {_RECORDS} SELECT pl.clip_id, pl.error, {_FIGURES}, array_to_string(hard, ',') AS hard_flags, array_to_string(soft, ',') AS soft_flags, coalesce(ready, false) AS training_ready FROM pl LEFT JOIN rc ON pl.clip_id = rc.clip_id")
+def quality_records(spark: SparkSession, d: str) -> DataFrame:
+    """The whole record of every clip of the events, of its main subjects alone."""
+    rows = _records(spark, d)
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.concat_ws(",", c)) for c in ("hard_flags", "soft_flags")})
+
+
+@query(f"""WITH {_RECORDS}, fg AS (SELECT 'records' AS figure FROM rc UNION ALL SELECT 'errors' FROM pl WHERE error IS NOT NULL UNION ALL SELECT 'ready' FROM rc WHERE ready UNION ALL SELECT 'ready_if_count_soft' FROM rc WHERE list_filter(hard, lambda x: x <> 'count_mismatch') = []
+UNION ALL SELECT 'found_minus_expected:' || (main_subjects_final - expected_persons) FROM rc WHERE list_contains(hard, 'count_mismatch') UNION ALL SELECT 'inliers_below_half' FROM rc WHERE inlier_ratio < 0.5 UNION ALL SELECT 'low_camera' FROM rc WHERE cam_height_ratio < 0.4 AND cam_height_ratio <> 0
+UNION ALL SELECT 'horizon_far' FROM rc WHERE horizon_diff_px > 60 UNION ALL SELECT 'hard:' || unnest(hard) FROM rc UNION ALL SELECT 'soft:' || unnest(soft) FROM rc) SELECT figure, count(*) AS clips FROM fg GROUP BY 1""")
+def flag_report(spark: SparkSession, d: str) -> DataFrame:
+    return clip_records.flag_report(_records(spark, d))

@@ -109,6 +109,17 @@ TURNED = """turned AS (SELECT s_suppkey AS clip_id, kf, kf * 8 + 3 + s_suppkey %
   kf * (s_suppkey % 50) / 100.0 AS x, kf % 3 / 4.0 AS y, kf / 10.0 AS z FROM supplier, (SELECT unnest(range(10)) AS kf) WHERE kf = 0 OR s_suppkey % 7 <> 0)"""
 
 
+def ground_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a supplier's clip, one for each of its lines: on a plane tilted by the supplier's number below a camera at the
+    origin, or above it by a unit at least; with normals but in every third clip."""
+    k, up = F.col("l_suppkey"), F.col("l_linenumber") > 4
+    a, b, c = (k % 7 - 3) * 0.03, (k % 5 - 2) * 0.02, 1.5 + k % 4 * 0.25
+    x, z = (F.col("l_partkey") * 37 % 1009) / 100.0 - 5, 4 + (F.col("l_orderkey") * 53 % 997) / 100.0
+    m = F.sqrt(1 + a * a + b * b)
+    rows = table(spark, sf_dir, "lineitem").select(k.alias("clip_id"), x.alias("x"), (c + a * x + b * z - F.when(up, 1 + F.col("l_quantity").cast("double") / 50).otherwise(0.0)).alias("y"), z.alias("z"), *[n.alias(f"n{i}") for i, n in zip("xyz", (a / m, -1 / m, b / m), strict=True)])
+    return rows.withColumns({f"n{i}": F.when(F.col("clip_id") % 3 != 0, F.col(f"n{i}")) for i in "xyz"})
+
+
 def scene_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An authored scene for each customer, as JSON: none to three people with two straight keyframes, each kind of camera path,
     anchored or not, here and there with its own turn or travel; one in 23 breaks a rule."""

@@ -82,3 +82,19 @@ def replace_bad_samples(plan: DataFrame, seed=0) -> DataFrame:
     bad = plan.where("error is not null").join(counts, "type", "left")
     bad = bad.withColumn("_r", F.floor(hash01(hash_key(seed, "bad", "id")) * F.col("_n")))
     return plan.where("error is null").select("id", F.col("id").alias("used")).unionByName(bad.join(good, ["type", "_r"], "left").select("id", "used"))
+
+
+def align_poses(plan: DataFrame, trajectories: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aligned, rejects) of a frame plan (id, frames) and the cameras' trajectories (id, poses: an array with one entry for each
+    frame of the whole clip, intrinsics).
+
+    aligned: id, frames, poses at the sampled frames, intrinsics, org_height, org_width; all but id and frames null where a
+    clip has no trajectory or one that ends before the last sampled frame. rejects: id, reason of clips that have poses but
+    no original height or width (sizes: id, org_height, org_width) to scale the intrinsics by. Rows without frames are left
+    out. Poses are picked out of their array within a row; only ids are joined."""
+    met = plan.where("frames is not null").select("id", "frames").join(trajectories.select("id", "poses", "intrinsics"), "id", "left").join(sizes.select("id", "org_height", "org_width"), "id", "left")
+    long_enough = F.coalesce(F.size("poses") > F.array_max("frames"), F.lit(False))
+    bare = F.col("org_height").isNull() | F.col("org_width").isNull()
+    picked = F.when(long_enough, F.transform("frames", lambda f: F.get("poses", f.cast("int"))))
+    kept = met.where(~(long_enough & bare)).select("id", "frames", picked.alias("poses"), *[F.when(long_enough, F.col(c)).alias(c) for c in ("intrinsics", "org_height", "org_width")])
+    return kept, met.where(long_enough & bare).select("id", F.lit("camera poses without the original height and width").alias("reason"))
