@@ -72,7 +72,14 @@ def all_similar_captions_in_family(spark: SparkSession, d: str) -> DataFrame:
     return captions.similar_pairs(A.captions(spark, d), "caption", 0.45, "family").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.CAPTIONS}, t AS (SELECT id, family, {_sql_tokens('scene')} AS st, {_sql_tokens('caption')} AS ct FROM captions), f AS (SELECT *, min(id) OVER (PARTITION BY ct) AS first_id FROM t), r AS (SELECT * FROM f WHERE id = first_id),
+e AS (SELECT a.id AS a, b.id AS b, 0 AS kind FROM r a JOIN r b ON a.id < b.id WHERE {_sql_jaccard('a.st', 'b.st')} > 0.6 UNION ALL SELECT a.id, b.id, 1 FROM r a JOIN r b ON a.id < b.id AND a.family = b.family WHERE {_sql_jaccard('a.ct', 'b.ct')} > 0.45),
+nb AS (SELECT b AS id, list(DISTINCT a) AS before, bool_or(a NOT IN (SELECT b FROM e)) AS sure FROM e GROUP BY 1),
+g AS (SELECT CAST([] AS BIGINT[]) AS stay, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT list_concat(stay, new_stay), list_concat(gone, new_gone) FROM (SELECT stay, gone,
+  (SELECT coalesce(list(id), []) FROM nb WHERE NOT list_contains(stay, id) AND NOT list_contains(gone, id) AND NOT sure AND len(list_filter(before, lambda a: NOT list_contains(gone, a))) = 0) AS new_stay,
+  (SELECT coalesce(list(id), []) FROM nb WHERE NOT list_contains(stay, id) AND NOT list_contains(gone, id) AND (sure OR list_has_any(before, stay))) AS new_gone FROM g) WHERE len(new_stay) + len(new_gone) > 0),
+z AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM g ORDER BY len(gone) + len(stay) DESC LIMIT 1)), w AS (SELECT b AS id, min({{'a': a, 'kind': kind}}) AS w FROM e WHERE b IN (SELECT id FROM z) AND a NOT IN (SELECT id FROM z) GROUP BY 1)
+SELECT id, first_id AS cause, 'exact' AS kind FROM f WHERE id > first_id UNION ALL SELECT id, w.a, ['scene', 'caption'][w.kind + 1] FROM w""")
 def near_duplicate_captions(spark: SparkSession, d: str) -> DataFrame:
     return captions.near_duplicates(A.captions(spark, d))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelyard.catalog import FAMILIES, _sql_eligible
 from reelyard.jobs import adapters as A
-from reelyard.operators import dealing
+from reelyard.operators import dealing, reports
 from reelyard.queries import query, sql_list
 
 _NAMES = {"in_place": dealing.IN_PLACE, "short": dealing.SHORT, "long": dealing.LONG}
@@ -132,3 +132,29 @@ def prechecked_cards(spark: SparkSession, d: str) -> DataFrame:
     cards, axes, archetypes, tags = _inputs(spark, d)
     dealt = dealing.deal_decks(cards, axes, archetypes, tags).withColumn("action_family", F.lit("undealt"))
     return dealing.precheck(dealt, check, axes)[0].select(*_CHECKED)
+
+
+_VIOLATIONS = """count(*) FILTER (size <> 'large' AND motion_range = 'long_range') AS long_range_outside_its_sizes, count(*) FILTER (size = 'small' AND person_count > 3) AS crowded_small_venues, count(*) FILTER (crowd AND NOT natural_crowd) AS crowds_where_none_is_natural"""
+_FLAGS = f"""count(*) AS cards, count(DISTINCT (region, archetype)) AS pairs, {_VIOLATIONS}, count(*) FILTER (NOT indoor) AS outdoor, count(*) FILTER (NOT indoor AND lighting IN ('rain', 'snow', 'fog')) AS hostile_outdoor, count(*) FILTER (surface <> 'normal') AS odd_surfaces,
+  count(*) FILTER (crowd) AS crowds, count(*) FILTER (close_approach) AS close_approaches, count(*) FILTER (holdout) AS held_out"""
+_ENDS = " UNION ALL ".join(f"SELECT '{c}.' || unnest(['used', 'least', 'most']) AS figure, unnest([count(*), min(n), max(n)]) AS value FROM (SELECT count(*) AS n FROM dealt GROUP BY {c})" for c in ("region", "archetype"))
+
+
+def _decks(spark: SparkSession, d: str) -> DataFrame:
+    return dealing.deal_decks(*_inputs(spark, d))
+
+
+@query(f"""WITH {_DEALT}, a AS (SELECT {_FLAGS} FROM dealt), u AS (SELECT * FROM a UNPIVOT (value FOR figure IN (COLUMNS(*))))
+SELECT figure, CAST(value AS DOUBLE) AS value FROM (SELECT figure, value FROM u UNION ALL {_ENDS}) UNION ALL SELECT 'hostile_percent', round(100 * hostile_outdoor / CAST(outdoor AS DOUBLE), 4) FROM a""")
+def deal_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of the deal of all orders' cards."""
+    return reports.coverage_checks(_decks(spark, d), AXES)
+
+
+_HISTOGRAMS = ("person_count", "motion_range", "env_motion", "lighting", "camera", "vibe", "size", "indoor", "surface")
+
+
+@query(f"WITH {_DEALT}, h AS ({' UNION ALL '.join(f'''SELECT '{a}' AS axis, CAST({a} AS VARCHAR) AS value, count(*) AS cards FROM dealt GROUP BY {a}''' for a in _HISTOGRAMS)}) SELECT axis, value, cards, round(100 * cards / CAST(sum(cards) OVER (PARTITION BY axis) AS DOUBLE), 4) AS percent, row_number() OVER (PARTITION BY axis ORDER BY cards DESC, value) AS place FROM h")
+def deal_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """How often each value of each axis was dealt."""
+    return reports.axis_histograms(_decks(spark, d), _HISTOGRAMS).select("axis", "value", "cards", F.round("percent", 4).alias("percent"), F.col("place").cast("long").alias("place"))

@@ -86,24 +86,26 @@ def grid_spacing(heights: DataFrame, planes: DataFrame) -> DataFrame:
     """clip_id, grid_spacing, cam_ratio: the median subject height (else a third of camera_height) and camera_height over it."""
     middle = heights.groupBy("clip_id").agg(F.percentile("height", F.lit(0.5)).alias("_h"))
     joined = planes.select("clip_id", "camera_height").join(middle, "clip_id", "left")
-    return joined.select("clip_id", F.coalesce("_h", F.col("camera_height") / 3).alias("grid_spacing"), (F.col("camera_height") / F.col("_h")).alias("cam_ratio"))
+    return joined.select("clip_id", F.coalesce("_h", F.col("camera_height") / 3).alias("grid_spacing"), (F.try_divide("camera_height", "_h")).alias("cam_ratio"))
 
 
 def plane_extent(points: DataFrame, frames: DataFrame, cells: float = 2.0) -> DataFrame:
     """clip_id, u0, u1, v0, v1, us, vs, zmin: the ground that a clip's points (clip_id, x, y, z) cover in the plane's frame
     (clip_id, origin, u, v, grid_spacing) and `cells` grid cells around, and the places of the grid's lines, at multiples of
-    the spacing, one that is off the end by rounding alone counted in; zmin is 0.05 of the spacing. Take 2 cells around a plane's inliers, 6 around subjects and the camera."""
-    s = F.col("grid_spacing")
+    the spacing, one that is off the end by rounding alone counted in; zmin is 0.05 of the clip's median depth
+    where frames has median_depth (measured clips), else of the spacing. Take 2 cells around a plane's inliers, 6 around subjects and the camera."""
+    s, measured = F.col("grid_spacing"), "median_depth" in frames.columns
+    frames = frames.withColumn("_near", 0.05 * (F.coalesce("median_depth", "grid_spacing") if measured else s))
     d = vec.sub(F.array("x", "y", "z"), F.col("origin"))
-    seen = points.join(frames.select("clip_id", "origin", "u", "v", "grid_spacing"), "clip_id").select("clip_id", "grid_spacing", vec.dot(d, F.col("u")).alias("pu"), vec.dot(d, F.col("v")).alias("pv"))
-    ends = seen.groupBy("clip_id", "grid_spacing").agg(*[(f(f"p{k}") + sign * cells * s).alias(f"{k}{i}") for k in "uv" for i, (f, sign) in enumerate(((F.min, -1), (F.max, 1)))])
+    seen = points.join(frames.select("clip_id", "origin", "u", "v", "grid_spacing", "_near"), "clip_id").select("clip_id", "grid_spacing", "_near", vec.dot(d, F.col("u")).alias("pu"), vec.dot(d, F.col("v")).alias("pv"))
+    ends = seen.groupBy("clip_id", "grid_spacing", "_near").agg(*[(f(f"p{k}") + sign * cells * s).alias(f"{k}{i}") for k in "uv" for i, (f, sign) in enumerate(((F.min, -1), (F.max, 1)))])
 
     def lines(k: str) -> Column:
         start = F.floor(F.col(f"{k}0") / s + 1e-9)
         n = F.ceil((F.col(f"{k}1") + 1e-9 - start * s) / s)
         return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: start * s + i * s).alias(f"{k}s")
 
-    return ends.select("clip_id", "u0", "u1", "v0", "v1", lines("u"), lines("v"), (0.05 * s).alias("zmin"))
+    return ends.select("clip_id", "u0", "u1", "v0", "v1", lines("u"), lines("v"), F.col("_near").alias("zmin"))
 
 
 def independent_horizon(qc: DataFrame, horizons: DataFrame) -> DataFrame:

@@ -87,8 +87,10 @@ def oversample_moving(meta: DataFrame, motion: DataFrame) -> DataFrame:
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.coalesce("static", F.lit(True)), 1).otherwise(2)))).drop("static")
 
 
-def select_ids(df: DataFrame, spec: str) -> DataFrame:
-    """Rows whose id is in a spec: a range "cAAAA-cBBBB", both ends included, or a list by commas."""
+def select_ids(df: DataFrame, spec: str, held_out: DataFrame | None = None) -> DataFrame:
+    """Rows whose id is in a spec: a range "cAAAA-cBBBB", both ends included, or a list by commas; without held out ids (id)."""
+    if held_out is not None:
+        df = df.join(held_out.select("id"), "id", "left_anti")
     low, dash, high = spec.partition("-")
     if dash:
         return df.where(F.col("id").between(low.strip(), high.strip()))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from reelyard.operators.reports import union_reports
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -95,6 +96,11 @@ def append_reports(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
+    """The records that the shards of a run appended, as reports.union_reports() puts them together."""
+    return union_reports(*[spark.read.json(p) for p in paths])
+
+
 def read_train_metadata(spark: SparkSession, path: str) -> DataFrame:
     """CSV (with a header) or JSON annotations; a missing type is an image."""
     rows = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.option("multiLine", True).json(path)
