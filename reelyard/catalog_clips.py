@@ -126,15 +126,15 @@ def fitted_planes(spark: SparkSession, d: str) -> DataFrame:
     return fit.select("clip_id", *[rounded(c, 6).alias(c) for c in ("nx", "ny", "nz", "camera_height")], rounded("angle_deg", 4).alias("angle_deg"), F.round("inlier_ratio", 9).alias("inlier_ratio"), "points", F.round("normal_agreement", 6).alias("normal_agreement"), "plane_ok")
 
 
-_LENGTH = "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 4 = 0 THEN least(length, 900) ELSE length END"
+_LENGTH = "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 4 = 0 THEN least(length, 20) ELSE length END"
 
 
-@query(f"""WITH fp AS ({ORACLES["frame_plans"]}), m AS (SELECT doc_id AS id, {_LENGTH.replace("id %", "doc_id %").replace("length", "n_chars")} AS poses FROM documents),
+@query(f"""WITH fp AS ({ORACLES["frame_plans"].replace("n_chars AS length", "n_chars // 16 AS length")}), m AS (SELECT doc_id AS id, {_LENGTH.replace("id %", "doc_id %").replace("length", "n_chars // 16")} AS poses FROM documents),
 j AS (SELECT fp.id, list_transform(string_split(frames, ','), lambda f: CAST(f AS BIGINT)) AS fs, poses FROM fp JOIN m USING (id) WHERE error IS NULL), k AS (SELECT *, coalesce(poses > list_max(fs), false) AS fits FROM j)
 SELECT id, len(fs) AS frames, fits AND id % 5 = 0 AS rejected, CASE WHEN fits AND id % 5 <> 0 THEN len(fs) END AS poses, CASE WHEN fits AND id % 5 <> 0 THEN list_sum(list_transform(fs, lambda f: f * 4 + id % 7)) END AS total FROM k""")
 def aligned_poses(spark: SparkSession, d: str) -> DataFrame:
     """Poses of the frames that each document's plan samples, some trajectories missing, short or without a size."""
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length"))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("n_chars div 16").alias("length"))
     plan = sample_plan.frame_plan(docs, 81, 0.05, 0.95, 3, 9)
     n = F.expr(_LENGTH)
     poses = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda f: F.array(f * 4.0, (F.col("id") % 7).cast("double"))))
