@@ -27,9 +27,12 @@ SETTLE = 48
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as double; null where the vector is null or holds a null or non-finite one."""
+    """floor(scale * x) of each component as double; null where the vector is null or holds a null or non-finite one. A component
+    that passes 62 bits is an error: as a whole number of 64 bits it would be cut short without a word."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    wide = F.exists(vector, lambda x: F.abs(x.cast("double") * scale) >= float(1 << 62))
+    whole = F.when(wide, F.raise_error(F.lit("components of these vectors pass 62 bits"))).otherwise(F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    return F.when(~F.coalesce(bad, F.lit(True)), whole)
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:

@@ -47,6 +47,9 @@ def test_empty(spark):
 def test_scores_that_pass_62_bits_are_an_error(spark):
     with pytest.raises(Exception, match="62 bits"):
         search(spark, [(50, [1e8, 1e8]), (51, [1e8, 1.0])])
+    for wide in (-3e38, 3e38, -float(2**54)):  # cut to 64 bits such a component would look like any other
+        with pytest.raises(Exception, match="62 bits"):
+            search(spark, [(50, [1.0, 1.0]), (51, [wide, 1.0])])
 
 
 def test_sql_with_repeated_ids_and_empty_vectors(spark, tmp_path):

@@ -52,6 +52,15 @@ def test_given_tables(spark):
     assert got == set(want)
 
 
+def test_recall_of_the_index_over_all_documents_and_items(spark):
+    """What the radius loses of all similar windows of all documents and items: nothing here."""
+    folder = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    near, every = ({(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(docs, items, radius=r).collect()} for r in (decontaminate.RADIUS, 63))
+    assert len(every) >= 20 and len(near) >= 0.9 * len(every)
+    assert near == every
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p"), (1, "a b c d e f g h i j k l m n o p")], "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontaminate.matches(odd(spark), items).collect()) == [11, 11, 12]
