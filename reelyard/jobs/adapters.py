@@ -161,7 +161,7 @@ def ground_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, v = (F.col("event_id") % 1280).cast("double"), (F.col("event_id") % 200 + 420).cast("double")
     return rows.select(
         F.col("user_id").alias("clip_id"), F.expr("n div 81").alias("track_id"), (F.col("n") % 81).alias("frame"), (F.col("event_type") != "view").alias("visible"), (F.col("event_id") % 7 == 0).alias("touches_bottom"),
-        u.alias("foot_u"), v.alias("foot_v"), u.alias("head_u"), (v - 30).alias("head_v"), (F.col("event_id") % 150 + 60.371828).alias("height_px"),
+        u.alias("foot_u"), v.alias("foot_v"), u.alias("head_u"), (v - 30).alias("head_v"), (F.col("event_id") % 150 + 60.37182818284).alias("height_px"),
     )
 
 
@@ -180,7 +180,7 @@ def level_planes(detections: DataFrame) -> DataFrame:
 
 
 GROUND = """gd AS (SELECT user_id AS clip_id, n // 81 AS track_id, n % 81 AS frame, event_id % 7 = 0 AS cut, CAST(event_id % 1280 AS DOUBLE) AS u, CAST(event_id % 200 + 420 AS DOUBLE) AS v,
-  event_id % 150 + CAST(60.371828 AS DOUBLE) AS px, 1.5 + (user_id % 3) * 0.5 AS ch
+  event_id % 150 + CAST(60.37182818284 AS DOUBLE) AS px, 1.5 + (user_id % 3) * 0.5 AS ch
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE event_type <> 'view'),
 sz AS (SELECT clip_id, track_id, count(*) FILTER (frame < 16) AS early, count(*) AS n, quantile_cont(px * ch / (v - 360), 0.5) FILTER (frame < 16) AS ha, quantile_cont(px * ch / (v - 360), 0.5) AS hc FROM gd WHERE NOT cut GROUP BY 1, 2),
 hts AS (SELECT clip_id, track_id, CASE WHEN early >= 4 THEN ha ELSE hc END AS height, CASE WHEN early >= 4 THEN 'anchor' ELSE 'clip' END AS anchor_source FROM sz WHERE early >= 4 OR n >= 3),
