@@ -64,8 +64,8 @@ def moved_cameras(path: np.ndarray, r0: np.ndarray, c0: np.ndarray, normal: np.n
 
 def frame_cameras(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, frame, fx, fy, cx, cy, r, t of each row's camera over all frames. rows: keys, fx, fy, cx, cy, r, t (where it stands,
-    world to camera), path, normal, target, h, and orbit_deg, travel (null: the preset's), anchored. One row a camera makes
-    its frames where it is; nothing is dealt out."""
+    world to camera), path, normal, target, h, and orbit_deg, travel (null: the preset's), anchored. One row a camera is
+    dealt out and makes its frames where it is."""
     given = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("fx", "fy", "cx", "cy")], "r", "t", "path", "normal", "target", F.col("h").cast("double").alias("h"), F.col("orbit_deg").cast("double").alias("orbit_deg"), F.col("travel").cast("double").alias("travel"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
     numbers = T.ArrayType(T.DoubleType())
     kept = [*keys, "fx", "fy", "cx", "cy"]
@@ -86,7 +86,8 @@ def frame_cameras(rows: DataFrame, keys: list[str]) -> DataFrame:
                 t = -np.einsum("nij,nj->ni", r, c)
                 yield b[kept].assign(frame=frame, r=list(r.reshape(-1, 9)), t=list(t))[[f.name for f in out.fields]]
 
-    return given.mapInPandas(made, out)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make much work
+    return given.repartition(tasks, *keys).mapInPandas(made, out)
 
 
 def preset_cameras(clips: DataFrame, names: tuple[str, ...] = PRESETS, zoom: float = 1.0) -> DataFrame:

@@ -47,24 +47,38 @@ def segment_tangents(keyframes: DataFrame) -> DataFrame:
 
 
 def sample_paths(keyframes: DataFrame, frames: int = FRAMES, steps: int = 200) -> DataFrame:
-    """scene, cylinder, frame, u, v of every frame: cubic Bezier segments at constant speed, held before and after."""
-    ordered = segment_tangents(keyframes)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("frame", keep="last").sort_values("frame")
-        at, p = part["frame"].to_numpy(), part[["u", "v"]].to_numpy(np.float64)
-        t = np.linspace(0, 1, steps + 1)[:, None]
-        out = np.where((np.arange(frames) < at[0])[:, None], p[0], p[-1]).astype(np.float64)
-        for k in range(len(at) - 1):
-            a, b, c, d = p[k], part[["out_u", "out_v"]].to_numpy()[k], part[["in_u", "in_v"]].to_numpy()[k + 1], p[k + 1]
+    """scene, cylinder, frame, u, v of every frame: cubic Bezier segments at constant speed, held before and after.
+
+    A cylinder's keyframes come together in one row, which is turned into its path where it is; of keyframes of one frame the
+    last in order of their values stays."""
+    ends = ("u", "v", "out_u", "out_v", "in_u", "in_v")
+    # few bytes make much work, so the tasks' number is fixed
+    tasks = int(keyframes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = segment_tangents(keyframes.repartition(tasks, "scene", "cylinder")).groupBy("scene", "cylinder").agg(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("double").alias("frame"), *[F.col(c).cast("double").alias(c) for c in ends]))).alias("_k"))
+    packed = rows.select("scene", "cylinder", F.flatten(F.transform("_k", lambda k: F.array(k.frame, *[k[c] for c in ends]))).alias("_k"))
+    t = np.linspace(0, 1, steps + 1)[:, None]
+
+    def path(k: np.ndarray) -> np.ndarray:
+        at = k[:, 0]
+        k = k[np.append(at[1:] != at[:-1], True)]
+        at, p, leave, arrive = k[:, 0], k[:, 1:3], k[:, 3:5], k[:, 5:7]
+        out = np.where((np.arange(frames) < at[0])[:, None], p[0], p[-1])
+        for i in range(len(at) - 1):
+            a, b, c, d = p[i], leave[i], arrive[i + 1], p[i + 1]
             curve = (1 - t) ** 3 * a + 3 * (1 - t) ** 2 * t * b + 3 * (1 - t) * t**2 * c + t**3 * d
             length = np.concatenate(([0], np.cumsum(np.linalg.norm(np.diff(curve, axis=0), axis=1))))
-            inside = np.arange(int(np.ceil(max(at[k], 0))), int(np.floor(min(at[k + 1], frames - 1))) + 1)
-            want = (inside - at[k]) / (at[k + 1] - at[k]) * length[-1]
-            out[inside] = np.stack([np.interp(want, length, curve[:, i]) for i in range(2)], axis=1) if length[-1] > 0 else a
-        return pd.DataFrame({"scene": part["scene"].iloc[0], "cylinder": part["cylinder"].iloc[0], "frame": np.arange(frames), "u": out[:, 0], "v": out[:, 1]})
+            inside = np.arange(int(np.ceil(max(at[i], 0))), int(np.floor(min(at[i + 1], frames - 1))) + 1)
+            want = (inside - at[i]) / (at[i + 1] - at[i]) * length[-1]
+            out[inside] = np.stack([np.interp(want, length, curve[:, j]) for j in range(2)], axis=1) if length[-1] > 0 else a
+        return out
 
-    return ordered.groupBy("scene", "cylinder").applyInPandas(run, "scene string, cylinder long, frame long, u double, v double")
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            paths = [path(np.asarray(k, np.float64).reshape(-1, 7)) for k in b["_k"]]
+            yield b[["scene", "cylinder"]].assign(us=[x[:, 0] for x in paths], vs=[x[:, 1] for x in paths])
+
+    found = packed.mapInPandas(sampled, "scene string, cylinder long, us array<double>, vs array<double>")
+    return found.select("scene", "cylinder", F.posexplode(F.arrays_zip("us", "vs")).alias("frame", "_p")).select("scene", "cylinder", F.col("frame").cast("long").alias("frame"), F.col("_p.us").alias("u"), F.col("_p.vs").alias("v"))
 
 
 def scene_checks(scenes: DataFrame, cylinders: DataFrame, keyframes: DataFrame) -> DataFrame:
