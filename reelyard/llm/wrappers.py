@@ -1,11 +1,15 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of each host.
 
-A page becomes a stream of block tags and text slots. Runs of equal token sequences fold into repeated groups. The streams
-of a host are aligned one after another: tokens that both have stay, what only one has becomes an optional group, texts are
-slots. A tag is its element and those of its class, id and role names that tell what it is for, so names of single pages
-don't part the pages of a host. With the wrapper go the slots' paths of tags, as the structures have them, from which the
-slots of the article follow, page by page: those inside the article's element, or elsewhere in the body where a page has
-none, without menus, headers, footers, sidebars, notices, adverts, forms and comments.
+A page becomes a stream of block tags and strings. Runs of equal token sequences fold into repeated groups. The streams of a
+host are aligned in a tree of small groups: tokens that both have stay, what only one has becomes an optional group. Strings
+are aligned by their paths of tags: one that every page of the host has at its path is a constant of the wrapper, every other
+is a slot's. A tag is its element and those of its class, id and role names that tell what it is for, so names of single
+pages don't part the pages of a host.
+
+Constants are template and are never text, wherever they stand, once a host has LEAST_PAGES pages of different strings; the
+slots are what can be text. Which of a page's slots are the article's is read off their paths: those inside the article's
+element, or elsewhere in the body where a page has none, without menus, headers, footers, sidebars, notices, adverts, forms
+and comments. Of a page that holds nothing but constants, and of hosts with fewer pages, paths alone decide.
 """
 
 from __future__ import annotations
@@ -15,15 +19,19 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelyard.llm.words import columns
-from reelyard.storage import keep
+from reelyard.storage import keep, release
 
-SALTS = 32
+FAN = 48  # streams that are aligned one after another
+LEAST_PAGES = 8
+HOSTS = 1024  # of which a task holds constants at once
 BROADCAST_BYTES = 8 << 20
 
 # Elements and the names in class, id and role that tell what a part of a page is for.
@@ -172,11 +180,35 @@ def folded(symbols: list[str]) -> str:
         line = short
 
 
-def shape(page: str | None) -> tuple[str, list[str]]:
-    """A page's folded token stream, where neighbouring texts are one slot, and the paths of its slots in order, each once."""
+def blocks(steps: list) -> Iterator[tuple[str, str]]:
+    """(path, text) of the blocks of a walk that aren't blank; blocks end where a block's tag opens or closes."""
+    now: list[str] = []
+    path = ""
+    for kind, what in [*steps, ("close", "")]:
+        if kind == "text":
+            path = what[0]
+            now.append(what[1])
+        elif kind == "inline":
+            if what[1] == "br":
+                now.append(" ")
+        elif now:
+            text = _space.sub(" ", html.unescape("".join(now))).strip()
+            if text:
+                yield path, text
+            now = []
+
+
+def string_key(path: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass"))
+
+
+def shape(page: str | None) -> tuple[str, list[str], np.ndarray]:
+    """A page's folded token stream, where neighbouring texts are one slot, the paths of its slots in order, each once, and
+    the keys of its strings at their paths, in order of value, each once."""
     symbols: list[str] = []
     paths: dict[str, None] = {}
-    for kind, what in walk(page or ""):
+    steps = list(walk(page or ""))
+    for kind, what in steps:
         if kind == "open":
             symbols.append(what)
         elif kind == "close":
@@ -185,7 +217,8 @@ def shape(page: str | None) -> tuple[str, list[str]]:
             paths[what[0]] = None
             if not symbols or symbols[-1] != "#":
                 symbols.append("#")
-    return folded(symbols), list(paths)
+    strings = np.unique(np.array([string_key(p, t) for p, t in blocks(steps) if purpose(p) != "aside"], np.uint64))
+    return folded(symbols), list(paths), strings
 
 
 def structure(page: str | None) -> str:
@@ -193,6 +226,27 @@ def structure(page: str | None) -> str:
     return shape(page)[0]
 
 
+class Constants:
+    """The strings that all pages of a host have, and keys of up to LEAST_PAGES of its pages of different strings. Adding
+    pages or other such records gives the same in any order."""
+
+    def __init__(self):
+        self.strings: np.ndarray | None = None
+        self.pages: set[int] = set()
+
+    def add(self, strings: np.ndarray, pages: Iterable[int]) -> None:
+        self.strings = strings if self.strings is None else np.intersect1d(self.strings, strings, assume_unique=True)
+        if len(self.pages) < LEAST_PAGES:
+            self.pages = set(sorted(self.pages.union(pages))[:LEAST_PAGES])
+
+    def row(self) -> tuple[bytes, bytes]:
+        return self.strings.tobytes(), np.array(sorted(self.pages), np.uint64).tobytes()
+
+    @property
+    def template(self) -> np.ndarray:
+        return self.strings if len(self.pages) >= LEAST_PAGES else self.strings[:0]
+
+
 def align(a: str, b: str) -> str:
     """The wrapper of two wrappers: common symbols stay, in order, the others become optional."""
     if a == b or not b:
@@ -270,42 +324,49 @@ def article_slots(paths: Iterable[str]) -> list[str]:
     return [p for p, k in by.items() if k == kind]
 
 
-def extract(page: str | None, known: frozenset[str]) -> str:
-    """The texts of the article's slots among the known ones; blocks end where a block's tag opens or closes."""
+def extract(page: str | None, known: frozenset[str], constants: frozenset[int] = frozenset()) -> str:
+    """The texts of the article's slots: of the strings at known paths that aren't constants of the wrapper, those of the best
+    kind of place; of all strings where the page has constants alone."""
     steps = list(walk(page or ""))
-    wanted = frozenset(article_slots({what[0] for kind, what in steps if kind == "text" and what[0] in known and what[1].strip()}))
-    blocks, now = [], []
-    for kind, what in steps:
-        if kind == "text":
-            if what[0] in wanted:
-                now.append(what[1])
-        elif kind == "inline":
-            if what[1] == "br":
-                now.append(" ")
-        else:
-            if now:
-                blocks.append("".join(now))
-                now = []
-    blocks.append("".join(now))
-    texts = (_space.sub(" ", html.unescape(b)).strip() for b in blocks)
-    return "\n".join(t for t in texts if t)
+    found = [(path, text, not constants or string_key(path, text) not in constants) for path, text in blocks(steps) if path in known]
+    if any(free and purpose(path) != "aside" for path, _, free in found):
+        wanted = frozenset(article_slots({path for path, _, free in found if free}))
+        return "\n".join(text for path, text, free in found if free and path in wanted)
+    wanted = frozenset(article_slots({path for path, _, _ in found}))
+    return "\n".join(text for path, text, _ in found if path in wanted)
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
-    """host, wrapper, wanted (slots that may be of an article, by the page) for the pages' hosts.
+def infer(pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """host, wrapper, wanted (slots that may be of an article, by the page), constants (keys of the strings that all of a
+    host's pages have, as packed uint64) for the pages' hosts.
 
-    Equal structures count once: they are grouped before anything is aligned, and a host's different structures are aligned
-    in `salts` parts first, so a host with many pages doesn't meet in one task.
+    Equal structures count once: they are grouped before anything is aligned. A host's structures are aligned in groups of
+    about `fan`, their wrappers again, and so on, so a host with many pages never meets in one task; constants are
+    intersected within tasks first.
     """
+    both = "host string, shape string, paths array<string>, strings binary, pages binary"
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        kinds = {"host": pa.string(), "shape": pa.string(), "paths": pa.list_(pa.string()), "strings": pa.binary(), "pages": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Constants] = {}
         for hosts, texts in columns(batches, "host", "html"):
-            found = list(dict.fromkeys((h, s, tuple(p)) for h, (s, p) in zip(hosts, map(shape, texts), strict=True)))
-            yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _, _ in found], pa.string()), "shape": pa.array([s for _, s, _ in found], pa.string()), "paths": pa.array([p for _, _, p in found], pa.list_(pa.string()))})
+            found = {}
+            for host, text in zip(hosts, texts, strict=True):
+                stream, paths, strings = shape(text)
+                found[host, stream, tuple(paths), None, None] = None
+                held.setdefault(host, Constants()).add(strings, [xxhash.xxh3_64_intdigest(strings.tobytes())])
+            yield rows(list(found))
+            if len(held) > HOSTS:
+                yield rows([(h, None, None, *c.row()) for h, c in held.items()])
+                held = {}
+        yield rows([(h, None, None, *c.row()) for h, c in held.items()])
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
         wrapper = ""
@@ -313,16 +374,37 @@ def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
             wrapper = align(wrapper, stream)
         return pd.DataFrame({"host": [part["host"].iloc[0]], "shape": [wrapper], "paths": [sorted(set().union(*part["paths"]))]})
 
-    row = "host string, shape string, paths array<string>"
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(shapes, row).distinct()
-    parts = found.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(salts))).groupBy("host", "salt").applyInPandas(merged, row)
-    whole = parts.groupBy("host").applyInPandas(merged, row)
+    def common(part: pd.DataFrame) -> Constants:
+        out = Constants()
+        for strings, seen in zip(part["strings"], part["pages"], strict=True):
+            out.add(np.frombuffer(strings, np.uint64), np.frombuffer(seen, np.uint64).tolist())
+        return out
+
+    def met(part: pd.DataFrame) -> pd.DataFrame:
+        strings, seen = common(part).row()
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "strings": [strings], "pages": [seen]})
+
+    def template(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "constants": [common(part).template.tobytes()]})
+
+    found = keep(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(shapes, both), "shapes")
+    streams = found.where("shape is not null").select("host", "shape", "paths").distinct()
+    most = streams.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > fan:
+        groups = -(-most // fan)
+        streams = streams.withColumn("lot", F.pmod(F.xxhash64("shape"), F.lit(groups))).groupBy("host", "lot").applyInPandas(merged, "host string, shape string, paths array<string>")
+        most = groups
+    whole = streams.groupBy("host").applyInPandas(merged, "host string, shape string, paths array<string>")
+    parts = found.where("strings is not null").withColumn("lot", F.pmod(F.xxhash64("strings", "pages"), F.lit(64))).groupBy("host", "lot").applyInPandas(met, "host string, strings binary, pages binary")
+    constants = parts.groupBy("host").applyInPandas(template, "host string, constants binary")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hosts, texts, paths in columns(batches, "host", "shape", "paths"):
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "wrapper": pa.array(texts, pa.string()), "wanted": pa.array([[p for p in ps if purpose(p) != "aside"] for ps in paths], pa.list_(pa.string()))})
+        for hosts, texts, paths, fixed in columns(batches, "host", "shape", "paths", "constants"):
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "wrapper": pa.array(texts, pa.string()), "wanted": pa.array([[p for p in ps if purpose(p) != "aside"] for ps in paths], pa.list_(pa.string())), "constants": pa.array(fixed, pa.binary())})
 
-    return whole.mapInArrow(wanted, "host string, wrapper string, wanted array<string>")
+    out = keep(whole.join(constants, "host").mapInArrow(wanted, "host string, wrapper string, wanted array<string>, constants binary"), "wrappers")
+    release(found)
+    return out
 
 
 def main_texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -331,20 +413,20 @@ def main_texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     A null or empty html gives an empty text; a null or odd url belongs to the host ""; repeated rows give repeated rows; an
     empty table gives none; other columns are not read. Wrappers are broadcast while they are small, else joined by host.
     """
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length(F.concat_ws("", "wanted")))).first()[0] or 0
-    known = wrappers.select(F.col("host").alias("_host"), "wanted")
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length(F.concat_ws("", "wanted")) + F.length("constants"))).first()[0] or 0
+    known = wrappers.select(F.col("host").alias("_host"), "wanted", "constants")
     named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = named.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, urls, hosts, texts, slots_ in columns(batches, "page_id", "url", "host", "html", "wanted"):
-            sets = {h: frozenset(w or ()) for h, w in zip(hosts, slots_, strict=True)}
-            out = [extract(t, sets[h]) for h, t in zip(hosts, texts, strict=True)]
+        for ids, urls, hosts, texts, slots_, fixed in columns(batches, "page_id", "url", "host", "html", "wanted", "constants"):
+            sets = {h: (frozenset(w or ()), frozenset(np.frombuffer(c or b"", np.uint64).tolist())) for h, w, c in zip(hosts, slots_, fixed, strict=True)}
+            out = [extract(t, *sets[h]) for h, t in zip(hosts, texts, strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()), "host": pa.array(hosts, pa.string())})
 
-    return joined.select("page_id", "url", "host", "html", "wanted").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
+    return joined.select("page_id", "url", "host", "html", "wanted", "constants").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return main_texts(pages, keep(infer(pages), "wrappers"))
+    return main_texts(pages, infer(pages))

@@ -87,3 +87,45 @@ def test_kinds_of_pages_of_a_host(spark):
     rows += [(100 + i, "odd", "<html>" + h) for i, h in enumerate(heads)]
     got = {k: v[0] for k, v in texts(spark, rows).items()}
     assert got == dict(enumerate(bodies.values())) | {100 + i: "u" for i in range(len(heads))}
+
+
+def test_constants_of_a_host_are_template(spark):
+    """What all pages of a host say at one place is template, whatever its element is called; without the host it would be text."""
+    page = "<body><div class='content'><p>Read our weekly letter</p></div><div><h2>Story %d</h2><p>Filed under all</p><p>text %d</p>%s</div><div>All rights</div></body>"
+    rows = [(i, f"http://a.example/{i}", page % (i, i, "<p>more</p>" if i % 2 else "")) for i in range(9)]
+    rows += [(20 + i, f"http://few.example/{i}", page % (i, i, "")) for i in range(7)]
+    rows += [(40 + i, "http://same.example/", "<body><article><p>one</p><p>two</p></article></body>") for i in range(12)]
+    rows += [(60 + i, f"http://art.example/{i}", f"<body><article><p>Shared by all</p><p>own {i}</p></article></body>") for i in range(10)]
+    rows += [(80, "http://art.example/x", "<body><article><p>Shared by all</p></article></body>")]
+    got = {k: v[0] for k, v in texts(spark, rows).items()}
+    assert {i: got[i] for i in range(9)} == {i: f"Story {i}\ntext {i}" + ("\nmore" if i % 2 else "") for i in range(9)}
+    assert {got[20 + i] for i in range(7)} == {"Read our weekly letter"}  # too few pages: paths alone
+    assert {got[40 + i] for i in range(12)} == {"one\ntwo"}  # one page repeated
+    assert [got[60 + i] for i in range(10)] == [f"own {i}" for i in range(10)]
+    assert got[80] == "Shared by all"  # nothing but constants
+
+
+def test_wrappers_in_a_tree_of_groups(spark):
+    """A host of many structures is aligned in groups; every structure's slots are in its wrapper, and texts are the same."""
+    rows = [(i, f"http://t.example/{i}", "<body>" + "<div>" * (i % 30) + f"<p>deep {i}</p>" + "</div>" * (i % 30) + "<ul>" + "<li>x</li>" * (i % 4) + "</ul>" + "</body>") for i in range(120)]
+    frame = pages(spark, rows)
+    some = {}
+    for fan in (4, 200):
+        known = wrappers.infer(frame, fan)
+        some[fan] = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame, known).collect()}
+        assert {"body/" + "div/" * d + "p" for d in range(30)} <= set(known.first()["wanted"])
+    assert some[4] == some[200] and all(t.startswith(f"deep {i}") for i, t in some[4].items())
+
+
+def test_constants_join_in_any_order():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        sets = [np.unique(draw.integers(0, 12, 30).astype(np.uint64)) for _ in range(9)]
+        one, two, half = wrappers.Constants(), wrappers.Constants(), wrappers.Constants()
+        for k, x in enumerate(sets):
+            one.add(x, [k])
+            (half if k < 4 else two).add(x, [k])
+        two.add(half.strings, half.pages)
+        assert one.row() == two.row() and set(one.strings.tolist()) == set.intersection(*(set(x.tolist()) for x in sets))
