@@ -10,12 +10,13 @@ REQUIRED = "tracks.json ground_points.npz cams10.npz background.png background_m
 
 
 def route_members(members: DataFrame) -> DataFrame:
-    """path to clip, file, kind: wanted files of a clip folder (c and 4 digits), reports, else dropped (kind null)."""
+    """members (path and others) with clip_id, file, kind: wanted files of a clip folder (c and 4 digits), reports, else dropped
+    (kind null). A row each, also where paths repeat."""
     parts = F.split("path", "/")
     clip = F.get(F.filter(parts, lambda p: p.rlike("^c[0-9]{4}$")), F.lit(0))
     name = F.element_at(parts, -1)
     kind = F.when(F.get(F.reverse(parts), F.lit(1)) == "_reports", F.when(name.endswith(".jsonl"), "report")).when(clip.isNotNull() & name.isin(REQUIRED), "clip")
-    return members.select("path", clip.alias("clip_id"), name.alias("file"), kind.alias("kind"))
+    return members.withColumns({"clip_id": clip, "file": name, "kind": kind})
 
 
 def missing_files(expected: DataFrame, inventory: DataFrame) -> DataFrame:

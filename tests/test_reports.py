@@ -76,3 +76,18 @@ def test_labels_of_motion_and_held_out_ids(spark):
     rows = spark.createDataFrame([(f"c{i:04d}",) for i in range(10)], "id string")
     left = manifest.select_ids(rows, "c0002-c0005", held_out=rows.where("id = 'c0003'"))
     assert sorted(r["id"] for r in left.collect()) == ["c0002", "c0004", "c0005"]
+
+
+def test_members_of_one_path_stay_a_row_each(spark):
+    paths = ["clips/c0001/tracks.json", "clips/c0001/tracks.json", "_reports/a.jsonl", "_reports/a.jsonl", "clips/c001/tracks.json", "clips/c0002/other.bin"]
+    got = manifest.route_members(spark.createDataFrame(list(enumerate(paths)), "id long, path string")).orderBy("id").collect()
+    assert [(r["id"], r["clip_id"], r["file"], r["kind"]) for r in got] == [
+        (0, "c0001", "tracks.json", "clip"), (1, "c0001", "tracks.json", "clip"), (2, None, "a.jsonl", "report"), (3, None, "a.jsonl", "report"), (4, None, "tracks.json", None), (5, "c0002", "other.bin", None),
+    ]
+
+
+def test_routed_members_return_each_page_once(spark, tmp_path):
+    from reelyard.catalog import QUERIES
+
+    spark.createDataFrame([(i,) for i in (1, 910001, 1820001)], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r["id"] for r in QUERIES["routed_members"](spark, str(tmp_path)).collect()) == [1, 910001, 1820001]
