@@ -62,9 +62,8 @@ def scene_cameras(spark: SparkSession, d: str) -> DataFrame:
 SELECT po.scene, po.cylinder, po.frame, round(po.x, 6) AS x, round(po.y, 6) AS y, 0.0 AS z, round(po.height, 6) AS height, CAST(coalesce(po.ci, rank) % 6 AS BIGINT) AS color FROM po JOIN ft USING (k, i)""")
 def scene_positions(spark: SparkSession, d: str) -> DataFrame:
     """Where the people of all authored scenes stand, with their heights and colours."""
-    positions, cylinders, _, _ = authored.expand_scenes(A.scene_documents(spark, d))
-    met = positions.join(cylinders, ["scene", "cylinder"])
-    return met.select("scene", "cylinder", "frame", *[rounded(c, 6).alias(c) for c in "xyz"], F.round("height", 6).alias("height"), F.col("color").cast("long").alias("color"))
+    placed = authored.people_positions(authored.scene_people(A.scene_documents(spark, d)))
+    return placed.select("scene", "cylinder", "frame", *[rounded(c, 6).alias(c) for c in "xyz"], F.round("height", 6).alias("height"), F.col("color").cast("long").alias("color"))
 
 
 # --- outlines

@@ -363,3 +363,39 @@ def test_poses_of_sampled_frames(spark):
     assert got == {1: ([[0.0, 0.5], [2.0, 0.5], [4.0, 0.5]], [7.0], 1280), 2: (None, None, None), 3: (None, None, None)}
     assert [r["id"] for r in rejects.collect()] == [4]
     assert ground_paths.FRAMES == FRAMES
+
+
+def test_scenes_are_expanded_without_joins(spark):
+    named = [("a", {"cylinders": [PERSON, PERSON | {"id": 9, "color_index": 4}], "camera": {"path": "pan"}}), ("b", {"cylinders": [PERSON], "camera": {}})]
+    positions, cylinders, cams, _ = authored.expand_scenes(scene(spark, *named))
+    for df in (positions, cylinders, cams):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert positions.count() == 3 * FRAMES and cams.count() == 2 * FRAMES
+
+
+def test_people_of_one_number_stay_their_own_rows(spark):
+    people = authored.scene_people(scene(spark, ("a", {"cylinders": [PERSON, PERSON | {"height": 2.0}], "camera": {}})))
+    got = authored.people_positions(people).groupBy("cylinder", "height").count().collect()
+    assert {(r["cylinder"], r["height"], r["count"]) for r in got} == {(4, 1.0, FRAMES), (4, 2.0, FRAMES)}
+
+
+def test_curved_paths_of_many_cylinders_at_once():
+    draw = np.random.default_rng(3)
+    path = np.repeat(np.arange(5), (1, 2, 4, 3, 2))
+    at = np.array([7.0, 10, 60, -5, 20, 20, 90, 3, 3, 3, 81, 95])
+    k = np.concatenate((at[:, None], draw.normal(size=(12, 6))), axis=1)
+    k[:, 3:][draw.random((12, 4)) < 0.5] = np.nan
+    keys = scenes.tangents(path, k)
+    got = scenes.bezier_paths(path, keys, 5)
+    t = np.linspace(0, 1, 201)[:, None]
+    for n in range(5):
+        mine = keys[path == n]
+        mine = mine[np.append(mine[1:, 0] != mine[:-1, 0], True)]
+        want = np.where((np.arange(FRAMES) < mine[0, 0])[:, None], mine[0, 1:3], mine[-1, 1:3])
+        for x, y in zip(mine[:-1], mine[1:], strict=True):
+            curve = (1 - t) ** 3 * x[1:3] + 3 * (1 - t) ** 2 * t * x[3:5] + 3 * (1 - t) * t**2 * y[5:7] + t**3 * y[1:3]
+            length = np.concatenate(([0], np.cumsum(np.linalg.norm(np.diff(curve, axis=0), axis=1))))
+            for f in range(int(max(x[0], 0)), int(min(y[0], FRAMES - 1)) + 1):
+                w = (f - x[0]) / (y[0] - x[0]) * length[-1]
+                want[f] = [np.interp(w, length, curve[:, j]) for j in (0, 1)]
+        assert np.allclose(got[n], want, atol=1e-12)
