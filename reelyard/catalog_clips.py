@@ -54,7 +54,7 @@ _R, _T = [f"r{i}" for i in range(9)], [f"t{i}" for i in range(3)]
 @query(f"WITH {_MOVES} SELECT scene, frame, CAST(focal AS DOUBLE) AS fx, {', '.join(f'round({r}, 6) + 0.0 AS {r}' for r in _R)}, {', '.join(f'round(-(r{3 * i} * ex + r{3 * i + 1} * ey + r{3 * i + 2} * ez), 6) + 0.0 AS t{i}' for i in range(3))} FROM mv")
 def scene_cameras(spark: SparkSession, d: str) -> DataFrame:
     """The camera of every frame of all authored scenes."""
-    cams = authored.expand_scenes(A.scene_documents(spark, d))[2]
+    cams = authored.scene_frames(A.scene_documents(spark, d))
     return cams.select("scene", "frame", "fx", *[rounded(vec.at(F.col("r"), i), 6).alias(c) for i, c in enumerate(_R)], *[rounded(vec.at(F.col("t"), i), 6).alias(c) for i, c in enumerate(_T)])
 
 

@@ -399,3 +399,8 @@ def test_curved_paths_of_many_cylinders_at_once():
                 w = (f - x[0]) / (y[0] - x[0]) * length[-1]
                 want[f] = [np.interp(w, length, curve[:, j]) for j in (0, 1)]
         assert np.allclose(got[n], want, atol=1e-12)
+
+
+def test_scene_frames_deal_out_documents_alone(spark):
+    plan = authored.scene_frames(scene(spark, ("a", {"cylinders": [PERSON], "camera": {}})))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Aggregate" not in plan
