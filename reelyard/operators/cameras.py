@@ -25,9 +25,13 @@ def bracket_keyframes(frames: DataFrame, cams: DataFrame) -> DataFrame:
 
 
 def nearest_keyframe(frames: DataFrame, cams: DataFrame) -> DataFrame:
-    """clip_id, frame, kf of the nearest keyframe, the lower one of two as near."""
-    met = frames.join(cams.select("clip_id", "kf", F.col("frame").alias("kf_frame")), "clip_id")
-    return met.groupBy("clip_id", "frame").agg(F.min_by("kf", F.struct(F.abs(F.col("frame") - F.col("kf_frame")), F.col("kf"))).alias("kf"))
+    """clip_id, frame, kf of the nearest keyframe, the lower one of two as near.
+
+    A clip's frames and keyframes come together in one row each, in which every frame finds its keyframe."""
+    asked = frames.groupBy("clip_id").agg(F.collect_set(F.struct("frame")).alias("_f"))
+    shots = cams.groupBy("clip_id").agg(F.collect_list(F.struct("kf", F.col("frame").alias("kf_frame"))).alias("_k"))
+    nearest = lambda f: F.array_min(F.transform("_k", lambda k: F.struct(F.abs(f["frame"] - k["kf_frame"]).alias("far"), k["kf"].alias("kf"))))["kf"]
+    return asked.join(shots, "clip_id").select("clip_id", F.inline(F.transform("_f", lambda f: F.struct(f["frame"].alias("frame"), nearest(f).alias("kf")))))
 
 
 def camera_centers(cams: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelyard.functions import vec
-from reelyard.operators import plane, tracks
+from reelyard.operators import cameras, plane, tracks
 
 
 def test_planted_plane(spark):
@@ -97,3 +97,29 @@ def test_normals_and_steep_planes(spark):
             assert [got[k]["plane_ok"] for k in clips] == [False, True, True, False] and abs(got["litter"]["camera_height"] - 1.5) < 0.02 and got["wall"]["angle_deg"] > 80
         else:
             assert got["none"]["error"] == "under 3 points"
+
+
+def test_plane_frames_make_each_value_once(spark):
+    n = F.col("n")
+    rows = spark.createDataFrame([([0.0, -1.0, 0.0], [1.0, 0, 0, 0, 0.8, 0.6, 0, -0.6, 0.8], [0.1, 0.2, 0.3])], "n array<double>, r array<double>, t array<double>")
+    framed = rows.select(vec.plane_frame(n, F.lit(1.5), F.col("r"), F.col("t")).alias("p"), vec.pixel_ray(*[F.lit(1.0)] * 4, F.col("r"), F.lit(2.0), F.lit(3.0)).alias("ray"))
+    assert len(framed._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = framed.first()
+    r, t, up = np.array([1.0, 0, 0, 0, 0.8, 0.6, 0, -0.6, 0.8]).reshape(3, 3), np.array([0.1, 0.2, 0.3]), np.array([0.0, -1, 0])
+    c = -r.T @ t
+    ahead = r[2] - r[2] @ up * up
+    u = ahead / np.linalg.norm(ahead)
+    h = up @ c + 1.5
+    assert np.allclose(got["p"]["origin"], c - h * up) and np.allclose(got["p"]["u"], u) and np.allclose(got["p"]["v"], np.cross(up, u)) and got["p"]["h"] == h
+    d = r.T @ np.array([1.0, 2.0, 1.0])
+    assert np.allclose(got["ray"], d / np.linalg.norm(d))
+
+
+def test_nearest_keyframes_are_found_within_a_clips_row(spark):
+    frames = spark.createDataFrame([(c, f) for c in (1, 2, 3) for f in range(-1, 83)], "clip_id long, frame int")
+    cams = spark.createDataFrame([(1, 0, 0), (1, 1, 10), (1, 2, 10), (2, 5, 40), (4, 0, 0)], "clip_id long, kf int, frame int")
+    found = cameras.nearest_keyframe(frames.unionByName(frames.where("frame = 7")), cams)
+    got = {(r["clip_id"], r["frame"]): r["kf"] for r in found.collect()}
+    assert found.count() == len(got) == 2 * 84 and got[1, 5] == 0 and got[1, 6] == 1 and {v for (c, _), v in got.items() if c == 2} == {5}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and plan.index("Generate") < plan.index("Join")  # keyframes meet clips, not frames
