@@ -101,16 +101,16 @@ def test_normals_and_steep_planes(spark):
 
 def test_plane_frames_make_each_value_once(spark):
     n = F.col("n")
-    rows = spark.createDataFrame([([0.0, -1.0, 0.0], [1.0, 0, 0, 0, 0.8, 0.6, 0, -0.6, 0.8], [0.1, 0.2, 0.3])], "n array<double>, r array<double>, t array<double>")
+    rows = spark.createDataFrame([([0.0, -1.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.8, 0.6, 0.0, -0.6, 0.8], [0.1, 0.2, 0.3])], "n array<double>, r array<double>, t array<double>")
     framed = rows.select(vec.plane_frame(n, F.lit(1.5), F.col("r"), F.col("t")).alias("p"), vec.pixel_ray(*[F.lit(1.0)] * 4, F.col("r"), F.lit(2.0), F.lit(3.0)).alias("ray"))
-    assert len(framed._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert framed._jdf.queryExecution().optimizedPlan().toString().count("sqrt") < 8
     got = framed.first()
     r, t, up = np.array([1.0, 0, 0, 0, 0.8, 0.6, 0, -0.6, 0.8]).reshape(3, 3), np.array([0.1, 0.2, 0.3]), np.array([0.0, -1, 0])
     c = -r.T @ t
     ahead = r[2] - r[2] @ up * up
     u = ahead / np.linalg.norm(ahead)
     h = up @ c + 1.5
-    assert np.allclose(got["p"]["origin"], c - h * up) and np.allclose(got["p"]["u"], u) and np.allclose(got["p"]["v"], np.cross(up, u)) and got["p"]["h"] == h
+    assert np.allclose(got["p"]["origin"], c - h * up) and np.allclose(got["p"]["u"], u) and np.allclose(got["p"]["v"], np.cross(up, u)) and np.isclose(got["p"]["h"], h)
     d = r.T @ np.array([1.0, 2.0, 1.0])
     assert np.allclose(got["ray"], d / np.linalg.norm(d))
 
