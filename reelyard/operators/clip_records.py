@@ -9,6 +9,7 @@ from reelyard.functions import vec
 from reelyard.operators.ground_paths import feet_cut_fraction, grid_spacing, ground_positions, hit_frames, independent_horizon, path_jumps, subject_heights, subject_paths
 from reelyard.operators.manifest import qc_flags
 from reelyard.operators.tracks import left_to_right, main_subjects, median_heights
+from reelyard.storage import keep
 
 
 def clip_subjects(detections: DataFrame, cams: DataFrame, planes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,17 +19,18 @@ def clip_subjects(detections: DataFrame, cams: DataFrame, planes: DataFrame) ->
     detections: clip_id, track_id, frame, visible, touches_bottom, foot_u, foot_v, head_u, head_v, height_px,
     main_subject_prelim, dropped_reflection. Who is a main subject is settled before any ray is cast: reflections are out, a
     track marked as preliminary or seen often and tall enough is in. A track that the ground gives too few heights is none.
+    Rays are cast once: hits, heights, subjects and paths are kept, as records and drawings read them more than once.
     """
     live = detections.where(~F.coalesce("dropped_reflection", F.lit(False)))
     prelim = live.groupBy("clip_id", "track_id").agg(F.coalesce(F.bool_or("main_subject_prelim"), F.lit(False)).alias("main_subject_prelim"))
     tall = median_heights(live.select("clip_id", "track_id", "visible", F.col("height_px").alias("height")))
     chosen = main_subjects(tall.join(prelim, ["clip_id", "track_id"])).where("main").select("clip_id", "track_id")
     seen = live.join(chosen, ["clip_id", "track_id"], "left_semi")
-    hits = hit_frames(seen, cams, planes.select("clip_id", "normal", "d"))
-    heights = subject_heights(hits)
+    hits = keep(hit_frames(seen, cams, planes.select("clip_id", "normal", "d")), "hits")
+    heights = keep(subject_heights(hits), "heights")
     feet = seen.join(heights, ["clip_id", "track_id"], "left_semi").select("clip_id", "track_id", "frame", F.when(F.col("visible"), F.col("foot_u")).alias("foot_x"))
     subjects = heights.join(left_to_right(feet), ["clip_id", "track_id"])
-    return subjects, subject_paths(ground_positions(hits, heights), heights)
+    return keep(subjects, "subjects"), keep(subject_paths(ground_positions(hits, heights), heights), "paths")
 
 
 def quality_records(planes: DataFrame, first_cams: DataFrame, subjects: DataFrame, paths: DataFrame, expected: DataFrame, horizons: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +34,40 @@ def fill_gaps(path: DataFrame, value: str = "x") -> DataFrame:
     return near.withColumns({"interpolated": F.col(value).isNull(), value: between}).drop("_a", "_b")
 
 
+def gaussian(sigma: float = 2.0) -> list[float]:
+    """Weights of the frames around one, out to 4 sigma."""
+    reach = int(4 * sigma)
+    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    return [w / sum(weights) for w in weights]
+
+
+def filled(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Tracks' values (n, frames) with a linear interpolation, flat at both ends, where they aren't known; nan in tracks without any."""
+    n, frames = values.shape
+    at = np.arange(frames)
+    before = np.maximum.accumulate(np.where(known, at, -1), axis=1)
+    after = np.minimum.accumulate(np.where(known, at, frames)[:, ::-1], axis=1)[:, ::-1]
+    last, first = (np.take_along_axis(values, np.clip(x, 0, frames - 1), axis=1) for x in (before, after))
+    w = (at - before) / np.maximum(after - before, 1)
+    out = np.where(before < 0, first, np.where((after >= frames) | (after == before), last, last + w * (first - last)))
+    return np.where(known.any(axis=1)[:, None], out, np.nan)
+
+
+def smoothed(values: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    """Tracks' values (n, frames) after a Gaussian over frames, edge values repeated."""
+    kernel = gaussian(sigma)
+    reach, frames = len(kernel) // 2, values.shape[1]
+    out = np.zeros(values.shape)
+    for k, weight in enumerate(kernel):
+        out += values[:, np.clip(np.arange(frames) + k - reach, 0, frames - 1)] * weight
+    return out
+
+
 def smooth_columns(path: DataFrame, values: list[str], sigma: float = 2.0) -> DataFrame:
     """clip_id, track_id, frame and the values after a Gaussian over frames out to 4 sigma, edge values repeated, in one pass
     over an array for each track."""
-    reach = int(4 * sigma)
-    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
-    kernel = [w / sum(weights) for w in weights]
+    kernel = gaussian(sigma)
+    reach = len(kernel) // 2
     rows = path.groupBy("clip_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", *values))).alias("_p"))
     last = F.size("_p") - 1
 

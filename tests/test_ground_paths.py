@@ -34,3 +34,18 @@ def test_requests_usage_and_intake(spark):
     assert manifest.union_clips(members).count() == 2
     paths = manifest.resolve_paths(spark.createDataFrame([("v", None)], "video string, control string"), "/data/").first()
     assert tuple(paths) == ("/data/v", None)
+
+
+def test_paths_fill_and_smooth_within_a_tracks_row(spark):
+    rows = [(1, 2, 5, 1.0, 0.0, 4.0, "foot_ray", True), (1, 2, 9, 5.0, 0.0, 8.0, "head_ray", False), (1, 2, 7, None, None, None, "", False), (1, 3, 4, None, None, None, "", False), (1, 9, 4, 1.0, 1.0, 1.0, "foot_ray", True)]
+    positions = spark.createDataFrame(rows, "clip_id long, track_id long, frame long, x double, y double, z double, method string, feet_visible boolean")
+    heights = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0)], "clip_id long, track_id long, height double")
+    found = ground_paths.subject_paths(positions, heights)
+    got = {r["frame"]: r for r in found.collect()}
+    assert len(got) == 81 and {r["track_id"] for r in got.values()} == {2}  # no path without a position, none without a height
+    raw = [min(max(f, 5), 9) - 4.0 for f in range(81)]
+    kernel = [2.718281828459045 ** (-(k * k) / 8) for k in range(-8, 9)]
+    want = [sum(w * raw[min(max(f + k - 8, 0), 80)] for k, w in enumerate(kernel)) / sum(kernel) for f in range(81)]
+    assert all(abs(got[f]["x"] - want[f]) < 1e-9 and abs(got[f]["z"] - want[f] - 3) < 1e-9 for f in range(81))
+    assert [f for f in range(81) if not got[f]["interpolated"]] == [5, 9] and got[5]["method"] == "foot_ray" and got[5]["feet_visible"] and got[7]["method"] == ""
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
