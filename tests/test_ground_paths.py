@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reelyard.operators import decks, manifest
+from reelyard.operators import decks, ground_paths, manifest
 
 
 def test_small_stratum_takes_its_part_of_the_plan(spark):
