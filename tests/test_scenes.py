@@ -85,6 +85,31 @@ def test_grid_lines_are_cut_where_they_pass_the_camera(spark):
     assert len(got["v", 0]["points"]) == sum(-2 + 6 * i / 59 > 0.05 for i in range(60)) and np.allclose(list(got["v", 0]["points"][-1]), [37.5, 75])
 
 
+def test_grid_lines_are_sampled_on_slices_of_batches_not_by_expressions(spark, monkeypatch):
+    monkeypatch.setattr(scenes, "GRID_LINES", 3, raising=False)
+    draw, grids, frames, cams, want = np.random.default_rng(5), [], [], [], set()
+    turn = lambda: np.linalg.qr(draw.normal(size=(3, 3)))[0]
+    for k in range(12):
+        us, vs = np.arange(-3, 3, 0.9), np.arange(-2, 2, 0.7)
+        origin, (pu, pv, _) = draw.normal(size=3), turn()
+        grids.append((k, -3.5, 3.0, -2.5, 2.0, us.tolist(), vs.tolist() if k % 5 else None, 0.2))
+        frames.append((k, origin.tolist() if k % 4 else [None, 1.0, 0.0], pu.tolist(), pv.tolist()))
+        for f in range(2):
+            r, t = turn(), draw.normal(size=3)
+            cams.append((k, f, 100.0, 110.0, 50.0, 40.0, r.ravel().tolist(), t.tolist()))
+            for axis, places, low, high in (("u", us, -2.5, 2.0), ("v", vs if k % 5 else [], -3.5, 3.0)) if k % 4 else ():
+                for i, at in enumerate(places):
+                    there = low + (high - low) * np.arange(60) / 59
+                    deep = np.array([(r @ (origin + (at * pu + x * pv if axis == "u" else x * pu + at * pv)) + t)[2] > 0.2 for x in there])
+                    runs = [x for x in np.split(np.arange(60), np.flatnonzero(np.diff(deep)) + 1) if deep[x[0]] and len(x) > 1]
+                    want |= {(k, f, axis, i, n, len(x)) for n, x in enumerate(runs)}
+    extents = spark.createDataFrame(grids, "clip_id long, u0 double, u1 double, v0 double, v1 double, us array<double>, vs array<double>, zmin double")
+    planes = spark.createDataFrame(frames, "clip_id long, origin array<double>, u array<double>, v array<double>")
+    drawn = scenes.grid_polylines(extents, planes, spark.createDataFrame(cams, "clip_id long, frame long, fx double, fy double, cx double, cy double, r array<double>, t array<double>"))
+    assert {(*r[:5], len(r["points"])) for r in drawn.collect()} == want and len(want) > 100
+    assert "lambda" not in drawn._jdf.queryExecution().optimizedPlan().toString()  # worked out once a sample, not once a use
+
+
 def test_sidecars(spark, tmp_path):
     (tmp_path / "c1.json").write_text('{"id": "c1", "status": "ok",\n "cost_usd": 0.6}')
     (tmp_path / "c2.json").write_text('{"status": "error", "error": "late"}')
