@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelyard.operators.plane import HYPOTHESES, MAX_ANGLE, NORMAL_DEG, UP, hypotheses
@@ -15,6 +16,7 @@ from reelyard.storage import keep
 
 BLOCK_POINTS = 4096
 DRAWN = 2048  # points of a clip from which hypotheses are drawn
+CLIPS = 64  # rows of a batch that Python works on at once
 AXES = ("x", "y", "z")
 PAIRS = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
 
@@ -63,6 +65,21 @@ def is_inlier(normals: bool) -> Column:
     return close & (F.col("_bare") | (along > float(np.cos(np.radians(NORMAL_DEG)))))
 
 
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    """The numbers of each list (of none that is null), nan where one is null."""
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
+def _points(lists: pa.Array, skip: int = 0) -> list[np.ndarray]:
+    """The structs of numbers of each list as an array, a row each, without the first `skip` fields."""
+    columns = lists.flatten().flatten()[skip:]
+    return np.split(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(np.concatenate(arrays)))
+
+
 def fit_planes(points: DataFrame, seed: int = 0, drawn: int = DRAWN) -> DataFrame:
     """clip_id, nx, ny, nz, d, inlier_ratio, camera_height, angle_deg, normal_agreement, plane_ok, points: as
     plane.fit_ground() with a camera at the origin whose up is -y, for clips of any number of points.
@@ -84,38 +101,49 @@ def fit_planes(points: DataFrame, seed: int = 0, drawn: int = DRAWN) -> DataFram
 
     # the points to draw from: a first cut by the hash leaves a few times as many as are wanted, then the smallest are taken
     cut = rows.join(size.select("clip_id", "points"), "clip_id").where((F.shiftrightunsigned("_h", 33) < F.lit(float(1 << 31)) * 4 * drawn / F.col("points")) | (F.col("points") <= 4 * drawn))
-    first = cut.withColumn("_n", F.row_number().over(Window.partitionBy("clip_id").orderBy("_h", *names))).where(F.col("_n") <= drawn)
+    first = cut.groupBy("clip_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("_h", *names))), 1, drawn).alias("_s"))
     kind = rows.schema["clip_id"].dataType.simpleString()
-    schema = f"clip_id {kind}, hypothesis int, nx double, ny double, nz double, d double"
-
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_n")
-        xyz = part[list(AXES)].to_numpy(np.float64)
-        found = part[["px", "py", "pz"]].to_numpy(np.float64) if known else None
-        found = None if found is None or not np.isfinite(found).all(axis=1).any() else np.nan_to_num(found)
-        if len(xyz) < 3:
-            return pd.DataFrame(columns=["clip_id", "hypothesis", "nx", "ny", "nz", "d"])
-        normals, through = hypotheses(xyz, found, np.random.default_rng(seed), HYPOTHESES)
-        return pd.DataFrame({"clip_id": [part["clip_id"].iloc[0]] * len(normals), "hypothesis": np.arange(len(normals)), "nx": normals[:, 0], "ny": normals[:, 1], "nz": normals[:, 2], "d": -(normals * through).sum(axis=1)})
-
-    tried = keep(first.groupBy("clip_id").applyInPandas(draw, schema), "hypotheses")
-    packed = tried.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("hypothesis", "nx", "ny", "nz", "d"))).alias("tried"))
-    block = F.pmod("_h", F.greatest(F.lit(1), F.ceil(F.col("points") / BLOCK_POINTS))).alias("block")
-    dealt = rows.join(size, "clip_id").select("clip_id", block, "near", *(["_bare"] if known else []), F.array(*[F.coalesce(c, F.lit(0.0)) for c in names]).alias("p"))
-    blocks = dealt.groupBy("clip_id", "block", "near", *(["_bare"] if known else [])).agg(F.collect_list("p").alias("ps")).join(packed, "clip_id")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for clip, near, bare, ps, tries in zip(b["clip_id"], b["near"], b["_bare"] if known else [True] * len(b), b["ps"], b["tried"], strict=True):
-                p = np.stack(list(ps))
-                h = np.array([[t["nx"], t["ny"], t["nz"], t["d"]] for t in tries])
-                inside = np.abs(p[:, :3] @ h[:, :3].T + h[:, 3]) < near
-                if not bare:
-                    inside &= np.abs(p[:, 3:] @ h[:, :3].T) > np.cos(np.radians(NORMAL_DEG))
-                yield pd.DataFrame({"clip_id": [clip] * len(h), "hypothesis": [t["hypothesis"] for t in tries], "inliers": inside.sum(axis=0)})
-
-    counted = blocks.mapInPandas(score, f"clip_id {kind}, hypothesis int, inliers long").groupBy("clip_id", "hypothesis").agg(F.sum("inliers").alias("inliers"))
-    best = keep(best_hypotheses(counted.where("inliers > 0")).join(tried, ["clip_id", "hypothesis"]), "best")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, CLIPS):
+                b, made = whole.slice(start, CLIPS), []
+                for part in _points(b.column(1), 1):
+                    found = part[:, 3:] if known and np.isfinite(part[:, 3:]).all(axis=1).any() else None
+                    normals, through = hypotheses(part[:, :3], None if found is None else np.nan_to_num(found), np.random.default_rng(seed), HYPOTHESES) if len(part) >= 3 else (np.zeros((0, 3)), np.zeros((0, 3)))
+                    made.append(np.column_stack((normals, -(normals * through).sum(axis=1))).ravel())
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(made)], ["clip_id", "tried"])
+
+    # a clip's hypotheses are one array of nx, ny, nz, d each: plain numbers, which take no objects in Python
+    tried = keep(first.mapInArrow(draw, f"clip_id {kind}, tried array<double>").where("size(tried) > 0"), "hypotheses")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("points") / BLOCK_POINTS))
+    dealt = rows.join(size, "clip_id").select("clip_id", F.pmod("_h", parts).alias("block"), parts.alias("blocks"), "near", (F.col("_bare") if known else F.lit(True)).alias("bare"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    blocks = dealt.groupBy("clip_id", "block", "blocks", "near", "bare").agg(F.collect_list(F.struct(*names)).alias("ps")).join(tried, "clip_id").select("clip_id", "blocks", "near", "bare", "ps", "tried")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Inliers of each hypothesis in a block; of the only block of a clip, the first best hypothesis alone."""
+        for whole in batches:
+            for start in range(0, whole.num_rows, CLIPS):
+                b = whole.slice(start, CLIPS)
+                alone, near, bare = b.column(1).to_numpy() == 1, b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+                row, hypothesis, inliers = [], [], []
+                for i, (p, tries) in enumerate(zip(_points(b.column(4)), _arrays(b.column(5)), strict=True)):
+                    h = tries.reshape(-1, 4)
+                    far = p[:, :3] @ h[:, :3].T
+                    far += h[:, 3]
+                    inside = np.abs(far, out=far) < near[i]
+                    if not bare[i]:
+                        along = p[:, 3:] @ h[:, :3].T
+                        inside &= np.abs(along, out=along) > np.cos(np.radians(NORMAL_DEG))
+                    n = inside.sum(axis=0)
+                    k = n.argmax(keepdims=True) if alone[i] else np.flatnonzero(n)
+                    row.append(np.full(len(k), i)), hypothesis.append(k), inliers.append(n[k])
+                out = [b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(hypothesis).astype(np.int32)), pa.array(np.concatenate(inliers).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(out, ["clip_id", "hypothesis", "inliers"])
+
+    counted = blocks.mapInArrow(score, f"clip_id {kind}, hypothesis int, inliers long").groupBy("clip_id", "hypothesis").agg(F.sum("inliers").alias("inliers"))
+    figures = [F.get("tried", 4 * F.col("hypothesis") + i).alias(c) for i, c in enumerate(("nx", "ny", "nz", "d"))]
+    best = keep(best_hypotheses(counted.where("inliers > 0")).join(tried, "clip_id").select("clip_id", *figures), "best")
 
     def inliers_of(planes: DataFrame) -> DataFrame:
         met = rows.join(planes.select("clip_id", "nx", "ny", "nz", "d"), "clip_id").join(size, "clip_id")

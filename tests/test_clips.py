@@ -187,6 +187,22 @@ def test_planes_of_large_clips(spark, monkeypatch):
         assert r["inlier_ratio"] == pytest.approx(same[str(clip)]["inlier_ratio"], abs=0.02) and r["angle_deg"] == pytest.approx(same[str(clip)]["angle_deg"], abs=0.5)
 
 
+def test_hypotheses_of_a_clip_are_one_row_and_blocks_change_nothing(spark, monkeypatch):
+    made, keep = {}, plane_parts.keep
+    monkeypatch.setattr(plane_parts, "keep", lambda df, name: made.setdefault(name, []).append(keep(df, name)) or made[name][-1])
+    draw, rows = np.random.default_rng(8), []
+    for clip in range(70):
+        for i in range(3 + 4 * clip):
+            x, z, up = draw.uniform(-4, 4), draw.uniform(3, 9), 0.0 if i % 4 else draw.uniform(0.4, 2)
+            rows.append((clip, x, 1.5 + 0.01 * clip * x - up, z, *((None, None, None) if clip % 3 == 0 else (0.01 * clip, -1.0, 0.0))))
+    points = spark.createDataFrame(rows, "clip_id long, x double, y double, z double, nx double, ny double, nz double")
+    plain = lambda found: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found.collect())
+    once = plain(plane_parts.fit_planes(points))
+    monkeypatch.setattr(plane_parts, "BLOCK_POINTS", 40)
+    assert plain(plane_parts.fit_planes(points)) == once and len(once) == 70
+    assert [t.count() for t in made["hypotheses"]] == [70, 70]  # not a row for each of 600 hypotheses, which Python held as objects
+
+
 def test_moments_equal_numpy_and_the_first_best_wins(spark):
     draw = np.random.default_rng(1)
     cloud = draw.normal(size=(300, 3)) * (3, 0.2, 1) + (100, -50, 7)
