@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The colours of the palette, as they are drawn.
 PALETTE = ("#E53935", "#1E88E5", "#43A047", "#FDD835", "#8E24AA", "#FB8C00")
 RING = 24
+CYLINDERS = 1024  # rows of a batch that are drawn at once
 
 
 def darker(color: str) -> str:
@@ -36,13 +38,13 @@ def convex_hulls(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in order:
             p = points[:, k]
             new = (size == 0) | (stack[every, size - 1] != p).any(axis=1)
-            while True:
-                a, b = stack[every, size - 2], stack[every, size - 1]
-                turn = (b[:, 0] - a[:, 0]) * (p[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[:, 0] - a[:, 0])
-                back = new & (size >= 2) & (turn <= 0)
-                if not back.any():
-                    break
-                size[back] -= 1
+            live = np.flatnonzero(new & (size >= 2))
+            while len(live):
+                top, q = size[live], p[live]
+                a, b = stack[live, top - 2], stack[live, top - 1]
+                live = live[(b[:, 0] - a[:, 0]) * (q[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (q[:, 0] - a[:, 0]) <= 0]
+                size[live] -= 1
+                live = live[size[live] >= 2]
             stack[every[new], size[new]] = p[new]
             size[new] += 1
         return stack, size
@@ -74,30 +76,39 @@ def cylinder_outlines(paths: DataFrame, subjects: DataFrame, cams: DataFrame, pl
     paths: clip_id, track_id, frame, x, y, z; subjects: clip_id, track_id, height, radius, color (a number of the palette);
     cams: clip_id, frame, fx, fy, cx, cy, r, t; planes: clip_id, u, v, normal, zmin. A cylinder with any point at zmin or
     nearer is left out, as is one without an area. Subjects and planes meet the paths by clip, cameras by clip and frame;
-    projection and hulls are worked out on whole batches; at the end the figures of one frame are ranked together.
+    projection and hulls are worked out on slices of batches; at the end the figures of one frame are ranked together.
     """
     rows = paths.select("clip_id", "track_id", "frame", F.array("x", "y", "z").alias("at")).join(subjects.select("clip_id", "track_id", "height", "radius", "color"), ["clip_id", "track_id"])
     rows = rows.join(planes.select("clip_id", "u", "v", "normal", "zmin"), "clip_id").join(cams.select("clip_id", "frame", "fx", "fy", "cx", "cy", "r", "t"), ["clip_id", "frame"])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"clip_id {kinds['clip_id']}, frame {kinds['frame']}, track_id {kinds['track_id']}, color {kinds['color']}, far double, points array<struct<u:double,v:double>>"
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            column = lambda c: np.stack(b[c].to_list()).astype(np.float64)
-            number = lambda c: b[c].to_numpy(np.float64)
-            place, r, t = column("at"), column("r").reshape(-1, 3, 3), column("t")
-            seen = np.einsum("nij,nmj->nmi", r, cylinder_points(place, number("radius"), number("height"), column("u"), column("v"), column("normal"), ring)) + t[:, None]
-            depth = seen[..., 2]
-            pixels = seen[..., :2] / np.maximum(depth, 1e-9)[..., None] * np.stack((number("fx"), number("fy")), 1)[:, None] + np.stack((number("cx"), number("cy")), 1)[:, None]
-            vertices, counts = convex_hulls(pixels)
-            sound = (depth > number("zmin")[:, None]).all(axis=1) & (counts >= 3)
-            far = np.linalg.norm(np.einsum("nij,nj->ni", r, place) + t, axis=1)
-            polygons = [[{"u": x, "v": y} for x, y in p[:n].tolist()] for p, n, ok in zip(vertices, counts, sound, strict=True) if ok]
-            yield b.loc[sound, ["clip_id", "frame", "track_id", "color"]].assign(far=far[sound], points=polygons)
-
-    found = rows.mapInPandas(drawn, schema)
+    keys, numbers = ["clip_id", "frame", "track_id", "color"], ("height", "radius", "zmin", "fx", "fy", "cx", "cy")
+    rows = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("array<double>").alias(c) for c in ("at", "u", "v", "normal", "r", "t")])
+    corners = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in "uv"]))
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("far", T.DoubleType()), T.StructField("points", corners)])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, CYLINDERS):
+                b = whole.slice(start, CYLINDERS)
+                column = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+                height, radius, zmin, fx, fy, cx, cy = map(column, numbers)
+                place, u, v, normal, r, t = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("at", "u", "v", "normal", "r", "t"))
+                r = r.reshape(-1, 3, 3)
+                seen = np.einsum("nij,nmj->nmi", r, cylinder_points(place, radius, height, u, v, normal, ring)) + t[:, None]
+                depth = seen[..., 2]
+                ahead = (depth > zmin[:, None]).all(axis=1)
+                # hulls of those before the camera alone
+                pixels = seen[ahead, :, :2] / np.maximum(depth[ahead], 1e-9)[..., None] * np.stack((fx, fy), 1)[ahead, None] + np.stack((cx, cy), 1)[ahead, None]
+                vertices, counts = convex_hulls(pixels)
+                sound = counts >= 3
+                vertices, counts, kept = vertices[sound], counts[sound], np.flatnonzero(ahead)[sound]
+                far = np.linalg.norm(np.einsum("nij,nj->ni", r[kept], place[kept]) + t[kept], axis=1)
+                inner = np.arange(vertices.shape[1]) < counts[:, None]
+                points = pa.StructArray.from_arrays([pa.array(vertices[..., i][inner]) for i in range(2)], ["u", "v"])
+                polygons = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), points)
+                row = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in keys], pa.array(far), polygons], schema.names)
+
+    found = rows.mapInArrow(drawn, schema)
     order = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(F.col("far").desc(), "color", "track_id"))
     of = lambda colors: F.element_at(F.array(*map(F.lit, colors)), (F.pmod("color", F.lit(len(PALETTE))) + 1).cast("int"))
     return found.select("clip_id", "frame", "track_id", order.alias("place"), of(PALETTE).alias("color"), of([darker(c) for c in PALETTE]).alias("outline"), "points")

@@ -272,6 +272,24 @@ def test_outlines_of_planted_people(spark, planted):
     assert 0 < len(drawn) < len(ways) and outlines.darker("#E53935") == "#89221F"
 
 
+def test_outlines_are_worked_out_on_slices_and_leave_python_as_plain_numbers(spark, monkeypatch):
+    monkeypatch.setattr(outlines, "CYLINDERS", 7, raising=False)
+    paths = spark.createDataFrame([(1, k, f, k - 2.0, 1.5, float(f)) for k in range(5) for f in range(9)], "clip_id long, track_id long, frame int, x double, y double, z double")
+    subjects = spark.createDataFrame([(1, k, 1.0 + k / 10, 0.0 if k == 4 else 0.2, k) for k in range(5)], "clip_id long, track_id long, height double, radius double, color int")
+    cams = spark.createDataFrame([(1, f, 900.0, 900.0, 640.0, 360.0, [float(i % 4 == 0) for i in range(9)], [0.0] * 3) for f in range(9)], "clip_id long, frame int, fx double, fy double, cx double, cy double, r array<double>, t array<double>")
+    planes = spark.createDataFrame([(1, [0.0, 0.0, 1.0], [1.0, 0.0, 0.0], [0.0, -1.0, 0.0], 2.5)], "clip_id long, u array<double>, v array<double>, normal array<double>, zmin double")
+    drawn = outlines.cylinder_outlines(paths, subjects, cams, planes)
+    got = {(r["frame"], r["track_id"]): r for r in drawn.collect()}
+    assert set(got) == {(f, k) for f in range(3, 9) for k in range(4)}  # one without a radius has no area
+    a = np.arange(24) * 2 * np.pi / 24
+    for (f, k), r in got.items():
+        ring = np.stack((k - 2 + 0.2 * np.sin(a), np.full(24, 1.5), f + 0.2 * np.cos(a)), 1)
+        both = np.concatenate((ring, ring - [0, 1 + k / 10, 0]))
+        hull = plain_hull((both[:, :2] / both[:, 2:] * 900 + [640, 360]).tolist())
+        assert np.allclose(sorted(map(list, r["points"])), sorted(map(list, hull)), atol=1e-6)
+    assert "MapInArrow" in drawn._jdf.queryExecution().optimizedPlan().toString()  # not frames of lists of dicts
+
+
 # --- authored scenes
 
 
