@@ -49,3 +49,35 @@ def test_paths_fill_and_smooth_within_a_tracks_row(spark):
     assert all(abs(got[f]["x"] - want[f]) < 1e-9 and abs(got[f]["z"] - want[f] - 3) < 1e-9 for f in range(81))
     assert [f for f in range(81) if not got[f]["interpolated"]] == [5, 9] and got[5]["method"] == "foot_ray" and got[5]["feet_visible"] and got[7]["method"] == ""
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_are_worked_out_once_in_plain_columns(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    r, t, normal, d = np.linalg.qr(draw.normal(size=(3, 3)))[0], draw.normal(size=3), np.array([0.6, -0.8, 0.0]), 1.5
+    seen = [(1, k % 3, k // 3, k != 7, [False, True, None][k % 11 % 3], None if k == 5 else float(draw.uniform(0, 1280)), *map(float, draw.uniform((0, 0, 0, 50), (720, 1280, 720, 90)))) for k in range(90)]
+    detections = spark.createDataFrame(seen, "clip_id long, track_id long, frame long, visible boolean, touches_bottom boolean, foot_u double, foot_v double, head_u double, head_v double, height_px double")
+    cams = spark.createDataFrame([(1, f, 800.0, 900.0, 640.0, 360.0, r.ravel().tolist(), t.tolist()) for f in range(30)], "clip_id long, frame long, fx double, fy double, cx double, cy double, r array<double>, t array<double>")
+    planes = spark.createDataFrame([(1, normal.tolist(), d)], "clip_id long, normal array<double>, d double")
+    hits = ground_paths.hit_frames(detections, cams, planes)
+    got, centre, found = {(x["track_id"], x["frame"]): x for x in hits.collect()}, -r.T @ t, 0
+    heights = spark.createDataFrame([(1, k, 1.7) for k in range(2)], "clip_id long, track_id long, height double")
+    placed = {(x["track_id"], x["frame"]): x for x in ground_paths.ground_positions(hits, heights).collect()}
+    for _, track, frame, visible, cut, u, v, head_u, head_v, px in seen:
+        row = got.pop((track, frame), None)
+        assert (row is not None) == visible
+        ray = lambda u, v: (r.T @ [(u - 640) / 800, (v - 360) / 900, 1]) / np.linalg.norm([(u - 640) / 800, (v - 360) / 900, 1])
+        far = -(normal @ centre + d) / (normal @ ray(u, v)) if cut is False and u is not None else -1
+        want = centre + far * ray(u, v) if far > 0 else None
+        if row:
+            assert (row["foot"] is None) == (want is None) and (want is None or np.allclose(row["foot"], want) and np.isclose(row["size"], px * (r @ want + t)[2] / 900))
+            assert (row["head"] is None) == (cut is not True)
+        if row and track < 2:
+            up = (1.7 - normal @ centre - d) / (normal @ ray(head_u, head_v))
+            if want is None and cut and up > 0:
+                want = centre + up * ray(head_u, head_v) - 1.7 * normal
+            p, found = placed[track, frame], found + (want is not None)
+            assert p["method"] == ("foot_ray" if row["foot"] else "" if want is None else "head_ray") and (p["x"] is None if want is None else np.allclose([p["x"], p["y"], p["z"]], want))
+    assert not got and found > 10 and set(placed) == {(k, f) for _, k, f, visible, *_ in seen if visible and k < 2}
+    assert "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString() and not {"r", "t", "fx", "cx"} & set(hits.columns)
