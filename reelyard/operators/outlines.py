@@ -27,27 +27,29 @@ def convex_hulls(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A monotone chain over the points by x, then y, walked for all sets side by side; points on an edge are no vertices, a
     point that occurs twice is one. Vertices go round from the first point in that order, as its chain does."""
     n, m = points.shape[:2]
-    by_y = np.argsort(points[..., 1], axis=1, kind="stable")
-    points = np.take_along_axis(points, by_y[..., None], axis=1)
-    by_x = np.argsort(points[..., 0], axis=1, kind="stable")
-    points = np.take_along_axis(points, by_x[..., None], axis=1)
-    every = np.arange(n)
+    # complex numbers sort by their real part, then the imaginary one
+    ordered = np.sort((points[..., 0] + 1j * points[..., 1]), axis=1).T
+    us, vs, every = np.ascontiguousarray(ordered.real), np.ascontiguousarray(ordered.imag), np.arange(n)
 
     def chain(order: range) -> tuple[np.ndarray, np.ndarray]:
-        stack, size = np.zeros((n, m + 1, 2)), np.zeros(n, np.int64)
+        # place k of chain i is k * n + i
+        su, sv, end = np.zeros((m + 1) * n), np.zeros((m + 1) * n), every.copy()
         for k in order:
-            p = points[:, k]
-            new = (size == 0) | (stack[every, size - 1] != p).any(axis=1)
-            live = np.flatnonzero(new & (size >= 2))
+            u, v = us[k], vs[k]
+            top = end - n
+            live = np.flatnonzero(new := (su[top] != u) | (sv[top] != v) | (top < 0))
+            live = live[end[live] >= 2 * n]
             while len(live):
-                top, q = size[live], p[live]
-                a, b = stack[live, top - 2], stack[live, top - 1]
-                live = live[(b[:, 0] - a[:, 0]) * (q[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (q[:, 0] - a[:, 0]) <= 0]
-                size[live] -= 1
-                live = live[size[live] >= 2]
-            stack[every[new], size[new]] = p[new]
-            size[new] += 1
-        return stack, size
+                b = end[live] - n
+                a = b - n
+                au, av = su[a], sv[a]
+                live = live[(su[b] - au) * (v[live] - av) - (sv[b] - av) * (u[live] - au) <= 0]
+                end[live] -= n
+                live = live[end[live] >= 2 * n]
+            at = end[new]
+            su[at], sv[at] = u[new], v[new]
+            end += new * n
+        return np.stack((su.reshape(m + 1, n).T, sv.reshape(m + 1, n).T), axis=2), end // n
 
     low, low_n = chain(range(m))
     high, high_n = chain(range(m - 1, -1, -1))
